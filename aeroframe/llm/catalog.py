@@ -23,6 +23,33 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, length=2048)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aeroframe.llm.jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+#: All pairs that share a shingle, counted; components by the smallest label reached.
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s
+  FROM words
+), flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM flat x JOIN flat y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CAST(min(r.seen) AS BIGINT) AS component_id
+FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aeroframe.llm.storage import Scratch
     from aeroframe.llm.tokenfile import read_token_files, write_token_files
@@ -33,8 +60,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op9_token_files)}
+    return {f.__name__: f for f in (op1_packing, op3_jaccard_join, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_jaccard_join": OP3_SQL}
