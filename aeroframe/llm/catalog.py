@@ -50,6 +50,18 @@ FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 
 
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aeroframe.llm.sharding import kd_shards
+
+    return kd_shards(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aeroframe.llm.mixing import mixture
+
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aeroframe.llm.storage import Scratch
     from aeroframe.llm.tokenfile import read_token_files, write_token_files
@@ -60,8 +72,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_jaccard_join, op9_token_files)}
+    return {f.__name__: f for f in (op1_packing, op3_jaccard_join, op4_kd_sharding, op9_token_files, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": OP3_SQL}
+    from aeroframe.llm.mixing import OP10_SQL
+
+    return {"op3_jaccard_join": OP3_SQL, "op10_mixing": OP10_SQL}
