@@ -23,6 +23,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, length=2048)
 
 
+def op2_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aeroframe.llm.media import encode_texts, features
+
+    return features(encode_texts(_table(spark, sf_dir, "documents")), "doc_id", "media")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aeroframe.llm.jaccard import jaccard_components
 
@@ -72,7 +78,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_jaccard_join, op4_kd_sharding, op9_token_files, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_jpeg_media, op3_jaccard_join, op4_kd_sharding, op9_token_files, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
