@@ -62,6 +62,12 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aeroframe.llm.chat import chat_digests, with_control_case
+
+    return chat_digests(with_control_case(_table(spark, sf_dir, "conversations")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aeroframe.llm.mixing import mixture
 
@@ -78,10 +84,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_jpeg_media, op3_jaccard_join, op4_kd_sharding, op9_token_files, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_jpeg_media, op3_jaccard_join, op4_kd_sharding, op8_chat_format, op9_token_files, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from aeroframe.llm.chat import OP8_SQL
     from aeroframe.llm.mixing import OP10_SQL
 
-    return {"op3_jaccard_join": OP3_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_mixing": OP10_SQL}
