@@ -62,6 +62,12 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aeroframe.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aeroframe.llm.chat import chat_digests, with_control_case
 
@@ -84,11 +90,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_jpeg_media, op3_jaccard_join, op4_kd_sharding, op8_chat_format, op9_token_files, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_jpeg_media, op3_jaccard_join, op4_kd_sharding, op7_embedding_near_dedup, op8_chat_format, op9_token_files, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
     from aeroframe.llm.chat import OP8_SQL
     from aeroframe.llm.mixing import OP10_SQL
+    from aeroframe.llm.neardup import OP7_SQL
 
-    return {"op3_jaccard_join": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_chat_format": OP8_SQL, "op10_mixing": OP10_SQL}
