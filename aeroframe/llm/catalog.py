@@ -62,6 +62,18 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aeroframe.llm.langid import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aeroframe.llm.secretscan import secret_spans
+
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aeroframe.llm.neardup import near_duplicates
 
@@ -90,7 +102,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_jpeg_media, op3_jaccard_join, op4_kd_sharding, op7_embedding_near_dedup, op8_chat_format, op9_token_files, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_jpeg_media, op3_jaccard_join, op4_kd_sharding, op5_language_id, op6_secret_scan, op7_embedding_near_dedup, op8_chat_format, op9_token_files, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
