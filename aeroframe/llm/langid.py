@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from aeroframe.llm.textbytes import LOWER, blocks, text_bytes
 
@@ -187,28 +188,27 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", added: tuple[str, str] = ("lang_pred", "score"), keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns ``keep`` of ``docs`` with the predicted language and its score."""
-    kept = docs.select(*(F.col(f"`{c}`") for c in keep), F.when(_letters(F.col(text_col)), F.col(text_col)).alias("__text"))
+    names = [F.col(f"`{c}`") for c in keep]
     if model is None:
-        return kept.select(*(F.col(f"`{c}`") for c in keep), F.lit("und").alias(added[0]), F.lit(0.0).alias(added[1]))
+        return docs.select(*names, F.lit("und").alias(added[0]), F.lit(0.0).alias(added[1]))
+    text_at = keep.index(text_col) if text_col in keep else len(keep)
+    sent = docs.select(*names, *([] if text_col in keep else [F.col(text_col)]), _letters(F.col(text_col)))
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.vocabulary.codes, model.weights))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, codes, weights = shared.value
         own = Model(languages, Vocabulary(codes[1:]), weights)
-        names = np.array([*languages, "und"], object)
+        said = np.array([*languages, "und"], object)
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            scores = own.scores(column)
+            scores = own.scores(batch.column(text_at))
             best = scores.argmax(axis=1)
             score = np.clip((scores[np.arange(len(best)), best] + 1) / 2, 0, 1)
-            silent = ~column.is_valid().to_numpy(zero_copy_only=False)
+            silent = ~batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             best[silent], score[silent] = len(languages), 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(said[best], pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[: len(keep)], *added])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([f for f in kept.schema.fields if f.name != "__text"]).add(added[0], StringType()).add(added[1], DoubleType())
-    return kept.mapInArrow(classify, schema)
+    schema = StructType(sent.schema.fields[: len(keep)]).add(added[0], StringType()).add(added[1], DoubleType())
+    return sent.mapInArrow(classify, schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

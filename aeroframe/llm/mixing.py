@@ -15,7 +15,7 @@ so reruns agree; rows of one doc_id share their draw.
 
 Null text has size 0 and is never taken more than 0 words; a null source is a
 source of its own, last in order. An empty table gives no rows. Other columns
-are kept by ``sample`` and ignored by ``mixture``.
+are kept by ``resample`` and ignored by ``mixture``.
 """
 
 from __future__ import annotations
@@ -89,9 +89,14 @@ def plan(sized: DataFrame, share: float, weights: list[float], most: int, tilt:
     return plans
 
 
+_TABLE = "mix_source string, source_size long, target double, copies long, wanted double, odds array<double>, buckets long, border long, before long"
+
+
 def _table(spark, plans: list[SourcePlan], extra: list[tuple[int, int]] | None = None) -> DataFrame:
+    if not plans:
+        return spark.createDataFrame([], _TABLE)
     rows = [(p.source, p.size, p.target, p.copies, p.wanted, p.odds, p.buckets, *(extra[i] if extra else (0, 0))) for i, p in enumerate(plans)]
-    return spark.createDataFrame(rows, "mix_source string, source_size long, target double, copies long, wanted double, odds array<double>, buckets long, border long, before long")
+    return spark.createDataFrame(rows, _TABLE)
 
 
 def _ranked(docs: DataFrame, table: DataFrame, seed: int) -> DataFrame:
@@ -103,15 +108,13 @@ def _ranked(docs: DataFrame, table: DataFrame, seed: int) -> DataFrame:
     return ranked.withColumn("rank", F.when(F.col("chance") > 0, high / (high + low)).otherwise(1.0)).withColumn("bucket", F.least(F.floor(F.col("rank") * F.col("buckets")), F.col("buckets") - 1))
 
 
-def sample(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: int = 2, tilt: float = 0.25, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (0 to ``most``) added."""
+def _chosen(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: int = 2, tilt: float = 0.25, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """mix_row (the document), size, source_size, target, taken_copies (0 to ``most``)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     sized = docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("source"), words(text_col).alias("size"))
     sized = scratch.save(sized, "sized")
     plans = plan(sized, share, list(weights), most, tilt)
-    if not plans:
-        return docs.select("*", *(F.lit(0).cast(t).alias(n) for n, t in (("mix_size", "long"), ("mix_source_size", "long"), ("mix_target", "double"), ("mix_copies", "long"))))
     table = _table(spark, plans)
     narrow = _ranked(sized.withColumn("mix_class", _class()).withColumnRenamed("source", "mix_key"), table, seed)
     sums = narrow.where("wanted > 0").groupBy("mix_key", "bucket").agg(F.sum("size").alias("words"))
@@ -127,14 +130,19 @@ def sample(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3,
     order = Window.partitionBy("mix_key").orderBy("rank", "mix_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = full.where("bucket = border").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     edge = edge.withColumn("more", (F.col("ahead") + F.col("size") / 2 <= F.col("wanted")).cast("long")).drop("ahead")
-    return done.unionByName(edge).select("mix_row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), (F.col("copies") + F.col("more")).alias("mix_copies"))
+    return done.unionByName(edge).select("mix_row", "size", "source_size", "target", (F.col("copies") + F.col("more")).alias("taken_copies"))
+
+
+def resample(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each document as many times as it is taken, with its own columns."""
+    taken = _chosen(docs, **options).where("taken_copies > 0")
+    return taken.select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken_copies")))).select("mix_row.*")
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted)."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    slim = sample(slim, **options)
-    return slim.select("doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    return _chosen(slim, **options).select("mix_row.doc_id", "mix_row.source", "size", "source_size", "target", (F.col("size") * F.col("taken_copies")).alias("taken"))
 
 
 OP10_SQL = r"""
