@@ -30,6 +30,8 @@ from aeroframe.llm.storage import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in a bucket of the rank, about.
 BUCKET_DOCS = 2048
+#: Sources up to which their table (about 0.6 kB a row) is broadcast; with more it is joined by a shuffle.
+BROADCAST_SOURCES = 4096
 
 
 def capped_shares(total: float, weights: list[float], caps: list[float]) -> list[float]:
@@ -96,7 +98,8 @@ def _table(spark, plans: list[SourcePlan], extra: list[tuple[int, int]] | None =
     if not plans:
         return spark.createDataFrame([], _TABLE)
     rows = [(p.source, p.size, p.target, p.copies, p.wanted, p.odds, p.buckets, *(extra[i] if extra else (0, 0))) for i, p in enumerate(plans)]
-    return spark.createDataFrame(rows, _TABLE)
+    table = spark.createDataFrame(rows, _TABLE)
+    return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
 
 
 def _ranked(docs: DataFrame, table: DataFrame, seed: int) -> DataFrame:
