@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from aeroframe.operators.series import _REBIN, microseconds
 
 
+def _watermarked(df: DataFrame, ts: str, late: str) -> DataFrame:
+    """Watermarks need instants; times without a zone count as UTC (the session's zone)."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp_ltz")).withWatermark(ts, late)
+
+
 def rebin_stream(df: DataFrame, ts: str, values: list[str], freq: str, method: str = "mean", late: str = "10 minutes", origin: datetime | None = None) -> DataFrame:
     """Tumbling buckets with a watermark; buckets without rows aren't made."""
     if method not in _REBIN or method == "median":
@@ -17,12 +22,12 @@ def rebin_stream(df: DataFrame, ts: str, values: list[str], freq: str, method: s
     step = microseconds(freq)
     offset = round(((origin or datetime(1970, 1, 1)) - datetime(1970, 1, 1)) / timedelta(microseconds=1)) % step
     bucket = F.window(ts, f"{step} microseconds", None, f"{offset} microseconds")
-    return df.withWatermark(ts, late).groupBy(bucket.alias("bucket")).agg(*(_REBIN[method](F.col(c)).alias(c) for c in values)).select(F.col("bucket.start").alias(ts), *values)
+    return _watermarked(df, ts, late).groupBy(bucket.alias("bucket")).agg(*(_REBIN[method](F.col(c)).alias(c) for c in values)).select(F.col("bucket.start").cast("timestamp_ntz").alias(ts), *values)
 
 
 def deduplicate_stream(df: DataFrame, ts: str, late: str = "10 minutes") -> DataFrame:
     """One row of each time among those within the watermark."""
-    return df.withWatermark(ts, late).dropDuplicatesWithinWatermark([ts])
+    return _watermarked(df, ts, late).dropDuplicatesWithinWatermark([ts]).withColumn(ts, F.col(ts).cast("timestamp_ntz"))
 
 
 def smooth_stream(*_, **__) -> None:
