@@ -3,8 +3,8 @@
 1. A sketch of fixed size counts all distinct shingles of all documents. Any
    total order gives exact results; this one puts the rare shingles first.
 2. Each document is reduced to its digest, its size, its prefix (the rarest
-   shingles that any partner must share one of) and a histogram of its shingles
-   over ranges of the hash. Documents with equal sets fall together here.
+   shingles that any partner must share one of) and the parities of its
+   shingles in slots. Documents with equal sets fall together here.
 3. Sets that share a prefix shingle are first paired with one leader of that
    shingle only; the links found there are contracted, and only pairs of sets
    that are still in different components are then joined, with the length,
@@ -38,8 +38,8 @@ from aeroframe.llm.textbytes import blocks, mix, shingles, text_bytes
 #: Counters of the sketch of shingle counts: its size doesn't depend on the input.
 SKETCH_BITS = 21
 _SLICE_BITS = 15
-#: Ranges of the hash in a set's histogram.
-RANGES = 64
+#: 64-bit words of parities in a set's outline.
+WORDS = 16
 #: Bits of the filter that tells which documents' sets are wanted.
 FILTER_BITS = 25
 #: Rounds of leaders before the rest of a group is joined in full.
@@ -84,7 +84,7 @@ def shingle_sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), prefix (rarest first), ranges (histogram)."""
+    """doc_id, n, d1, d2 (digest of the set), prefix (rarest first), parity (bits)."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -98,7 +98,8 @@ def _profiles(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
                 if len(full):
                     for d, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
                         digests[d, full] = np.add.reduceat(mix(hashes ^ np.uint64(salt)), begin[full])
-                ranges = np.bincount(owner * RANGES + (hashes >> np.uint64(58)).astype(np.int64), minlength=docs_here * RANGES)
+                parity = np.zeros(docs_here * WORDS, np.uint64)
+                np.bitwise_xor.at(parity, owner * WORDS + (hashes >> np.uint64(6)).astype(np.int64) % WORDS, np.uint64(1) << (hashes & np.uint64(63)))
                 order = np.argsort(counts[hashes >> np.uint64(64 - SKETCH_BITS)], kind="stable")  # ties by hash
                 order = order[np.argsort(owner[order], kind="stable")]
                 size = np.where(n > 0, n - _overlap(n, num, den) + 1, 0)
@@ -109,12 +110,12 @@ def _profiles(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
                     [
                         batch.column(0).slice(i, docs_here), pa.array(n, pa.int64()), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(edges), pa.array(kept.view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(docs_here + 1, dtype=np.int32) * RANGES), pa.array(ranges.astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(docs_here + 1, dtype=np.int32) * WORDS), pa.array(parity.view(np.int64))),
                     ],
-                    ["doc_id", "n", "d1", "d2", "prefix", "ranges"],
+                    ["doc_id", "n", "d1", "d2", "prefix", "parity"],
                 )
 
-    return docs.mapInArrow(profile, "doc_id long, n long, d1 long, d2 long, prefix array<long>, ranges array<int>")
+    return docs.mapInArrow(profile, "doc_id long, n long, d1 long, d2 long, prefix array<long>, parity array<long>")
 
 
 def _filter_of(nodes: DataFrame) -> np.ndarray:
@@ -158,14 +159,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     sketch = spark.sparkContext.broadcast(shingle_sketch(docs, k))
     profiles = scratch.save(_profiles(docs, k, num, den, sketch), "profiles")
 
-    sets = profiles.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges"))
+    sets = profiles.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     sets = scratch.save(sets, "sets")
-    outline = sets.select("node", "n", "ranges")
+    outline = sets.select("node", "n", "parity")
     rows = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     leaders = rows.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("token", "leader")
     rows = scratch.save(rows.join(leaders.hint("shuffle_hash"), "token"), "rows")
 
     need = F.expr(f"({num} * (n_a + n_b) + {num + den - 1}) div {num + den}")
+    # Overlap is at most half of what the sizes have beyond the differing parities.
+    differing = " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(WORDS))
+    fits = F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)") & (F.expr(f"(n_a + n_b - ({differing})) div 2") >= need)
     seen: list[DataFrame] = []  # verified pairs and links of each round
     linked: list[DataFrame] = []
     known: list[DataFrame] = []  # whole sets fetched so far
@@ -174,10 +178,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         """Filter distinct pairs (a, b) by size and histogram, then compare whole sets."""
         for old in seen:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        side = lambda x: outline.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"ranges_{x}"))
-        fit = pairs.join(side("a"), "a").join(side("b"), "b").where(F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"))
-        shared = F.expr("aggregate(zip_with(ranges_a, ranges_b, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
-        fit = scratch.save(fit.where(shared >= need).select("a", "b", "n_a", "n_b"), f"pairs-{turn}")
+        side = lambda x: outline.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+        fit = pairs.join(side("a"), "a").join(side("b"), "b").where(fits)
+        fit = scratch.save(fit.select("a", "b", "n_a", "n_b"), f"pairs-{turn}")
         seen.append(fit)
         nodes = fit.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         for old in known:
@@ -207,25 +210,27 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
 
     verify(rows.where("node <> leader").select(*pair("node", "leader")).distinct(), 0)
-    turn = 0
+    turn, before = 0, float("inf")
     while True:
         turn += 1
         joined = components(scratch, union(linked), f"components-{turn}")
         placed = rows.select("token", "node", "n", "pos").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("leader")).where("low <> high")
         open_rows = scratch.save(placed.join(mixed.select("token", F.col("leader.node").alias("leader"), F.col("leader.component").alias("leader_component")), "token"), f"open-{turn}")
-        if turn < MOST_ROUNDS:
-            sizes = open_rows.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("same"))
-            work = sizes.agg(F.sum("k").alias("rows"), (F.sum(F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")).first()
-            if (work.pairs or 0) > 4 * (work.rows or 0):
-                verify(open_rows.where("component <> leader_component").select(*pair("node", "leader")).distinct(), turn)
-                continue
+        sizes = open_rows.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("same"))
+        work = sizes.agg(F.sum("k").alias("rows"), (F.sum(F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")).first()
+        left_pairs = work.pairs or 0
+        if turn < MOST_ROUNDS and left_pairs > 4 * (work.rows or 0) and left_pairs < 0.7 * before:
+            before = left_pairs
+            verify(open_rows.where("component <> leader_component").select(*pair("node", "leader")).distinct(), turn)
+            continue
         # Every pair that is left: the larger set's prefix against the smaller one's shorter prefix.
-        right = open_rows.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("component_b")).where(F.expr(f"pos_b <= n_b - ({2 * num} * n_b + {num + den - 1}) div {num + den}"))
-        left = open_rows.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("component_a"))
+        open_rows = open_rows.join(outline.select("node", "parity"), "node")
+        side = lambda x: open_rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "component", "parity")))
+        right = side("b").where(F.expr(f"pos_b <= n_b - ({2 * num} * n_b + {num + den - 1}) div {num + den}"))
         room = F.expr("least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1)")
-        met = left.join(right, "token").where(F.expr(f"component_a <> component_b and (n_b < n_a or (n_b = n_a and b < a)) and {den} * n_b >= {num} * n_a")).where(room >= need)
-        verify(met.select(*pair("a", "b")).distinct(), turn)
+        met = side("a").join(right, "token").where("component_a <> component_b and (n_b < n_a or (n_b = n_a and node_b < node_a))").where((room >= need) & fits)
+        verify(met.select(*pair("node_a", "node_b")).distinct(), turn)
         break
 
     final = components(scratch, union(linked), "components-final")
