@@ -17,9 +17,9 @@ groups are pre-aggregated. Working tables are written to the shared folder.
 
 Shingles are compared by 64-bit hashes. Null, empty and word-less texts have no
 shingle and link with nothing. Repeated rows and equal sets share a component.
-Rows of one doc_id with different texts count as one document; a null doc_id
-takes part and its row has a component, of the smallest non-null doc_id there,
-or null. Other columns are ignored. An empty table gives no rows.
+Rows of one doc_id with different texts count as one document. Rows without an
+id take part by their sets; a component's id is its smallest non-null doc_id,
+or null if it has none. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,18 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray,
         yield i, j, owner, hashes
 
 
+_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _digest(hashes: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of each document's set, whatever its order; 0 for empty sets."""
+    out = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        out[full] = np.add.reduceat(mix(hashes ^ np.uint64(salt)), (np.cumsum(n) - n)[full])
+    return out.view(np.int64)
+
+
 def shingle_sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Counts of all documents' distinct shingles by the high bits of their hash."""
 
@@ -93,11 +106,7 @@ def _profiles(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
                 docs_here = j - i
                 n = np.bincount(owner, minlength=docs_here)
                 begin = np.cumsum(n) - n
-                full = np.flatnonzero(n)
-                digests = np.zeros((2, docs_here), np.uint64)
-                if len(full):
-                    for d, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-                        digests[d, full] = np.add.reduceat(mix(hashes ^ np.uint64(salt)), begin[full])
+                digests = [_digest(hashes, n, salt) for salt in _SALTS]
                 parity = np.zeros(docs_here * WORDS, np.uint64)
                 np.bitwise_xor.at(parity, owner * WORDS + (hashes >> np.uint64(6)).astype(np.int64) % WORDS, np.uint64(1) << (hashes & np.uint64(63)))
                 order = np.argsort(counts[hashes >> np.uint64(64 - SKETCH_BITS)], kind="stable")  # ties by hash
@@ -108,7 +117,7 @@ def _profiles(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
                 edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(i, docs_here), pa.array(n, pa.int64()), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)),
+                        batch.column(0).slice(i, docs_here), pa.array(n, pa.int64()), *map(pa.array, digests),
                         pa.ListArray.from_arrays(pa.array(edges), pa.array(kept.view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(np.arange(docs_here + 1, dtype=np.int32) * WORDS), pa.array(parity.view(np.int64))),
                     ],
@@ -129,23 +138,25 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
 
 
 def _whole_sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
-    """(node, digest, shingles) of the documents that may be among ``nodes``; the filter lets few others pass."""
+    """(node, digest, shingles) of the documents that may be among ``nodes``; the filter lets few others pass, and all without an id."""
     wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(nodes))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = wanted.value
         for batch in batches:
             slot = batch.column(2).to_numpy()
-            keep = np.flatnonzero((words[slot >> 6] >> (slot & 63)) & 1)
+            keep = np.flatnonzero((slot < 0) | ((words[slot >> 6] >> (slot & 63)) & 1 == 1))
             if not len(keep):
                 continue
             batch = batch.take(pa.array(keep))
             for i, j, owner, hashes in _sets(batch, k):
-                edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=j - i))]).astype(np.int32)
-                digest = np.bincount(owner, weights=(hashes >> np.uint64(40)).astype(np.float64), minlength=j - i).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digest), pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes.view(np.int64)))], ["node", "digest", "shingles"])
+                n = np.bincount(owner, minlength=j - i)
+                own = _digest(hashes, n, _SALTS[0])
+                node = pc.coalesce(batch.column(0).slice(i, j - i), pa.array(own))
+                edges = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([node, pa.array(own), pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes.view(np.int64)))], ["node", "digest", "shingles"])
 
-    marked = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << FILTER_BITS)).alias("slot"))
+    marked = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))).alias("slot"))
     return marked.mapInArrow(sets, "node long, digest long, shingles array<long>")
 
 
@@ -153,13 +164,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     """doc_id, n_shingles, component_id of every row; two sets link when den * intersection >= num * union."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    # A null id stands as the lowest value until the end.
-    null_id = -(1 << 63)
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = spark.sparkContext.broadcast(shingle_sketch(docs, k))
     profiles = scratch.save(_profiles(docs, k, num, den, sketch), "profiles")
 
-    sets = profiles.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    sets = profiles.where("n > 0").groupBy("d1", "d2").agg(F.coalesce(F.min("doc_id"), F.col("d1")).alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     sets = scratch.save(sets, "sets")
     outline = sets.select("node", "n", "parity")
     rows = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -235,8 +244,6 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
     final = components(scratch, union(linked), "components-final")
     members = profiles.select("doc_id", "n", "d1", "d2").join(sets.select("d1", "d2", "node"), ["d1", "d2"], "left").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # The smallest document of a component: null stood lowest, so it needs another look.
-    real = members.where(f"component is not null and doc_id <> {null_id}L").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    real = members.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     out = members.join(real, "component", "left")
-    own = F.when(F.col("doc_id") != null_id, F.col("doc_id"))
-    return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(own).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
