@@ -10,7 +10,8 @@ its words reach the target, at the nearer end of the document on the border.
 
 Only sums by source and class reach the driver (rows: sources times about 32);
 the rank at the border comes from sums over buckets of the rank, and only the
-border bucket of each source is sorted. Draws are hashes of doc_id and a seed,
+border bucket of each source is sorted. The decision is then an expression of
+the row and its source, so documents are neither shuffled nor read twice. Draws are hashes of doc_id and a seed,
 so reruns agree; rows of one doc_id share their draw.
 
 Null text has size 0 and is never taken more than 0 words; a null source is a
@@ -91,61 +92,68 @@ def plan(sized: DataFrame, share: float, weights: list[float], most: int, tilt:
     return plans
 
 
-_TABLE = "mix_source string, source_size long, target double, copies long, wanted double, odds array<double>, buckets long, border long, before long"
+_TABLE = "mix_source string, source_size long, target double, copies long, wanted double, odds array<double>, buckets long, border long, before long, cut_rank double, cut_key long, cut_size long"
 
 
-def _table(spark, plans: list[SourcePlan], extra: list[tuple[int, int]] | None = None) -> DataFrame:
-    if not plans:
-        return spark.createDataFrame([], _TABLE)
-    rows = [(p.source, p.size, p.target, p.copies, p.wanted, p.odds, p.buckets, *(extra[i] if extra else (0, 0))) for i, p in enumerate(plans)]
+def _table(spark, plans: list[SourcePlan], borders: dict | None = None, cuts: dict | None = None) -> DataFrame:
+    rows = []
+    for p in plans:
+        border = (borders or {}).get(p.source, (p.buckets if p.wanted else -1, 0))
+        rows.append((p.source, p.size, p.target, p.copies, p.wanted, p.odds, p.buckets, *border, *(cuts or {}).get(p.source, (-1.0, 0, 0))))
     table = spark.createDataFrame(rows, _TABLE)
     return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
 
 
-def _ranked(docs: DataFrame, table: DataFrame, seed: int) -> DataFrame:
-    """With the rank: random odds over inclusion odds, mapped to 0..1."""
+def _ranked(sized: DataFrame, table: DataFrame, seed: int) -> DataFrame:
+    """Rows with mix_id, mix_key (the source) and size, and the rank: random odds over inclusion odds, mapped to 0..1."""
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("mix_id").cast("string"), F.lit("null")), F.lit(str(seed)))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    ranked = docs.join(table, docs["mix_key"].eqNullSafe(table["mix_source"])).withColumn("draw", draw).withColumn("chance", F.expr("element_at(odds, mix_class + 1)"))
+    ranked = sized.withColumn("mix_class", _class()).join(table, F.col("mix_key").eqNullSafe(F.col("mix_source")))
+    ranked = ranked.withColumns({"draw": draw, "chance": F.expr("element_at(odds, mix_class + 1)"), "tie": F.xxhash64("mix_id")})
     high = F.col("draw") * (1 - F.col("chance"))
     low = (1 - F.col("draw")) * F.col("chance")
     return ranked.withColumn("rank", F.when(F.col("chance") > 0, high / (high + low)).otherwise(1.0)).withColumn("bucket", F.least(F.floor(F.col("rank") * F.col("buckets")), F.col("buckets") - 1))
 
 
-def _chosen(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: int = 2, tilt: float = 0.25, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """mix_row (the document), size, source_size, target, taken_copies (0 to ``most``)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    sized = docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("source"), words(text_col).alias("size"))
-    sized = scratch.save(sized, "sized")
-    plans = plan(sized, share, list(weights), most, tilt)
+def _decided(sized: DataFrame, table: DataFrame, seed: int) -> DataFrame:
+    """With taken_copies: the whole ones, and one more up to the source's cut."""
+    ranked = _ranked(sized, table, seed)
+    within = F.expr("bucket < border or (bucket = border and (rank < cut_rank or (rank = cut_rank and (tie < cut_key or (tie = cut_key and size <= cut_size)))))")
+    return ranked.withColumn("taken_copies", F.col("copies") + within.cast("long"))
+
+
+def _sized(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return scratch.save(docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_key"), words(text_col).alias("size")), "sized")
+
+
+def _cut(sized: DataFrame, share: float, weights: tuple[float, ...], most: int, tilt: float, seed: int) -> DataFrame:
+    """The sources' table with the place where each source's ranking is cut; a row for each source reaches the driver."""
+    spark = sized.sparkSession
+    plans = plan(sized.withColumnRenamed("mix_key", "source"), share, list(weights), most, tilt)
     table = _table(spark, plans)
-    narrow = _ranked(sized.withColumn("mix_class", _class()).withColumnRenamed("source", "mix_key"), table, seed)
-    sums = narrow.where("wanted > 0").groupBy("mix_key", "bucket").agg(F.sum("size").alias("words"))
+    sums = _ranked(sized, table, seed).where("wanted > 0").groupBy("mix_key", "bucket").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
     run = sums.withColumn("until", F.sum("words").over(Window.partitionBy("mix_key").orderBy("bucket")))
-    first = run.join(table.select("mix_source", "wanted"), run["mix_key"].eqNullSafe(F.col("mix_source"))).where("until >= wanted").groupBy("mix_key").agg(F.min(F.struct("bucket", (F.col("until") - F.col("words")).alias("before"))).alias("at"))
-    borders = {r["mix_key"]: (r["at"]["bucket"], r["at"]["before"]) for r in first.collect()}  # a row for each source
-    table = _table(spark, plans, [borders.get(p.source, (p.buckets if p.wanted else -1, 0)) for p in plans])
-
-    # Columns of our own in a struct, so that names in the input can't clash with them.
-    full = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row"), F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_key"), words(text_col).alias("size")).withColumn("mix_class", _class())
-    full = _ranked(full, table, seed)
-    done = full.where("bucket <> border").withColumn("more", (F.col("bucket") < F.col("border")).cast("long"))
-    order = Window.partitionBy("mix_key").orderBy("rank", "mix_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = full.where("bucket = border").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    edge = edge.withColumn("more", (F.col("ahead") + F.col("size") / 2 <= F.col("wanted")).cast("long")).drop("ahead")
-    return done.unionByName(edge).select("mix_row", "size", "source_size", "target", (F.col("copies") + F.col("more")).alias("taken_copies"))
+    first = run.where("until >= wanted").groupBy("mix_key").agg(F.min(F.struct("bucket", (F.col("until") - F.col("words")).alias("before"))).alias("at"))
+    borders = {r["mix_key"]: (r["at"]["bucket"], r["at"]["before"]) for r in first.collect()}
+    order = Window.partitionBy("mix_key").orderBy("rank", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = _ranked(sized, _table(spark, plans, borders), seed).where("bucket = border").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    last = edge.where("ahead + size / 2 <= wanted").groupBy("mix_key").agg(F.max(F.struct("rank", "tie", "size")).alias("at"))
+    return _table(spark, plans, borders, {r["mix_key"]: tuple(r["at"]) for r in last.collect()})
 
 
-def resample(docs: DataFrame, **options) -> DataFrame:
+def resample(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: int = 2, tilt: float = 0.25, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as many times as it is taken, with its own columns."""
-    taken = _chosen(docs, **options).where("taken_copies > 0")
+    table = _cut(_sized(docs, Scratch(docs.sparkSession, "mixing"), id_col, text_col, source_col), share, weights, most, tilt, seed)
+    # The document in a struct, so that its columns' names can't clash with ours.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row"), F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_key"), words(text_col).alias("size"))
+    taken = _decided(rows, table, seed).where("taken_copies > 0")
     return taken.select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken_copies")))).select("mix_row.*")
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixture(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: int = 2, tilt: float = 0.25, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted)."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    return _chosen(slim, **options).select("mix_row.doc_id", "mix_row.source", "size", "source_size", "target", (F.col("size") * F.col("taken_copies")).alias("taken"))
+    sized = _sized(docs, Scratch(docs.sparkSession, "mixing"), id_col, text_col, source_col)
+    done = _decided(sized, _cut(sized, share, weights, most, tilt, seed), seed)
+    return done.select(F.col("mix_id").alias("doc_id"), F.col("mix_key").alias("source"), "size", "source_size", "target", (F.col("size") * F.col("taken_copies")).alias("taken"))
 
 
 OP10_SQL = r"""
