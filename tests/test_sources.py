@@ -146,3 +146,16 @@ def test_sniff():  # T14
     assert sniff.delimiter("x,y\na\tb\n1\t2\n3\t4") == "\t"
     with pytest.raises(ValueError):
         sniff.delimiter("a\nb")
+
+
+def test_sinks(spark, tmp_path):
+    from aeroframe.sources.sinks import save_table
+
+    df = spark.createDataFrame([("a", 1.5), ("b", None)], "segment string, mean double")
+    for name in ("s.csv", "s.json", "s.parquet"):
+        save_table(df, f"file://{tmp_path}/{name}")
+    assert spark.read.csv(f"file://{tmp_path}/s.csv", header=True, schema=df.schema).exceptAll(df).count() == 0
+    assert spark.read.json(f"file://{tmp_path}/s.json", schema=df.schema).exceptAll(df).count() == 0
+    assert spark.read.parquet(f"file://{tmp_path}/s.parquet").exceptAll(df).count() == 0
+    with pytest.raises(ImportError):
+        save_table(df, "s.xlsx")
