@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aeroframe.llm.graph import components
-from aeroframe.llm.storage import Scratch
+from aeroframe.llm.storage import Scratch, small_batches
 from aeroframe.llm.textbytes import blocks, mix, shingles, text_bytes
 
 #: Counters of the sketch of shingle counts: its size doesn't depend on the input.
@@ -163,6 +163,7 @@ def _whole_sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; two sets link when den * intersection >= num * union."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = spark.sparkContext.broadcast(shingle_sketch(docs, k))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from aeroframe.llm.storage import small_batches
 from aeroframe.llm.textbytes import LOWER, blocks, text_bytes
 
 #: Labelled rows learned from, and landmarks: expected numbers.
@@ -98,8 +99,8 @@ class Model:
 
 
 def _blocks(offsets: np.ndarray, vocabulary: Vocabulary) -> Iterator[tuple[int, int]]:
-    """Blocks of about a megabyte, with no more documents than a presence matrix of 64 MB holds."""
-    most = max(1, (1 << 24) // len(vocabulary.codes))
+    """Blocks of about a megabyte, with no more documents than a presence matrix of 16 MB holds."""
+    most = max(1, (1 << 22) // len(vocabulary.codes))
     for i, j in blocks(offsets):
         for a in range(i, j, most):
             yield a, min(j, a + most)
@@ -115,6 +116,7 @@ def _letters(text: Column) -> Column:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from rows with a language; None where there are none."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.pmod(F.xxhash64(id_col, F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)).alias("draw"))
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
@@ -193,6 +195,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", added:
         return docs.select(*names, F.lit("und").alias(added[0]), F.lit(0.0).alias(added[1]))
     text_at = keep.index(text_col) if text_col in keep else len(keep)
     sent = docs.select(*names, *([] if text_col in keep else [F.col(text_col)]), _letters(F.col(text_col)))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.vocabulary.codes, model.weights))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

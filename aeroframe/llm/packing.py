@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aeroframe.llm.storage import small_batches
 from aeroframe.llm.tokencache import memory
 
 #: Stands for a null id while pandas holds it.
@@ -76,6 +77,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, length: int, drops_space:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, drops_space: bool = True, group_docs: int = 1024, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece with its sequence and the offset there."""
+    small_batches(docs.sparkSession)
     groups = max(1, -(-docs.select(F.lit(1)).count() // group_docs))
 
     def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:

@@ -28,6 +28,17 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def small_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Send texts to Python in batches of at most so many rows, for the rest of the session.
+
+    Spark's default of 10,000 rows takes tens of MB a batch, on both sides, for long texts.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def _delete(spark: SparkSession, uri: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroframe.llm.storage import SharedFiles
+from aeroframe.llm.storage import SharedFiles, small_batches
 from aeroframe.llm.tokencache import memory
 
 NO_ID = -(1 << 63)
@@ -36,7 +36,7 @@ NO_ID = -(1 << 63)
 
 def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int, drops_space: bool = False, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Encode every text, append ``end_id``, write the files below ``uri``; returns the manifest's parts."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, files = memory(tokenizer, drops_space), SharedFiles(uri)
