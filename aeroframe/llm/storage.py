@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -39,25 +38,21 @@ def small_batches(spark: SparkSession, rows: int = 2048) -> None:
         spark.conf.set(key, str(rows))
 
 
-def _delete(spark: SparkSession, uri: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _files(spark: SparkSession, uri: str):
+    """Hadoop's file system of a URI, and its path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 class Scratch:
-    """Written tables that cut lineage; a lost executor only rereads them."""
+    """Written tables that cut lineage; a lost executor only rereads them. They go when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.uri = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        atexit.register(self._at_exit)
-
-    def _at_exit(self) -> None:
-        try:
-            _delete(self.spark, self.uri)
-        except Exception:  # the session is already gone
-            pass
+        files, path = _files(spark, self.uri)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.uri}/{name}"
@@ -65,7 +60,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.uri}/{name}")
+        files, path = _files(self.spark, f"{self.uri}/{name}")
+        files.delete(path, True)
 
 
 class SharedFiles:
