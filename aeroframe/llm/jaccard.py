@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeroframe.llm.graph import components
@@ -39,10 +39,12 @@ from aeroframe.llm.textbytes import blocks, mix, shingles, text_bytes
 #: Counters of the sketch of shingle counts: its size doesn't depend on the input.
 SKETCH_BITS = 21
 _SLICE_BITS = 15
-#: 64-bit words of parities in a set's outline.
-WORDS = 16
+#: 64-bit words of parities in a set's outline, and folded into a row of the join.
+WORDS, JOIN_WORDS = 16, 4
 #: Bits of the filter that tells which documents' sets are wanted.
 FILTER_BITS = 25
+#: Sets of one shingle up to which a task sorts them.
+CROWD = 10_000
 #: Rounds of leaders before the rest of a group is joined in full.
 MOST_ROUNDS = 6
 
@@ -160,6 +162,17 @@ def _whole_sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
     return marked.mapInArrow(sets, "node long, digest long, shingles array<long>")
 
 
+def _with_partners(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows that another set of their shingle fits in length: the next smaller or larger one does, or none.
+
+    Groups of more than ``CROWD`` sets aren't sorted in one task and stay whole.
+    """
+    order = Window.partitionBy("token").orderBy("n")
+    fits = (F.lag("n").over(order) * den >= F.col("n") * num) | (F.lead("n").over(order) * num <= F.col("n") * den)
+    few = rows.where(F.col("k") <= CROWD).withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits").drop("fits")
+    return few.unionByName(rows.where(F.col("k") > CROWD))
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; two sets link when den * intersection >= num * union."""
     spark = docs.sparkSession
@@ -173,13 +186,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     sets = scratch.save(sets, "sets")
     outline = sets.select("node", "n", "parity")
     rows = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    leaders = rows.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("token", "leader")
-    rows = scratch.save(rows.join(leaders.hint("shuffle_hash"), "token"), "rows")
+    leaders = rows.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("other"), F.count("*").alias("k")).where("leader <> other").select("token", "leader", "k")
+    rows = _with_partners(scratch.save(rows.join(leaders, "token"), "shared"), num, den)
+    rows = scratch.save(rows, "rows")
+    scratch.drop("shared")
 
     need = F.expr(f"({num} * (n_a + n_b) + {num + den - 1}) div {num + den}")
     # Overlap is at most half of what the sizes have beyond the differing parities.
-    differing = " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(WORDS))
-    fits = F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)") & (F.expr(f"(n_a + n_b - ({differing})) div 2") >= need)
+    def fits(words: int) -> Column:
+        differing = " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(words))
+        return F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)") & (F.expr(f"(n_a + n_b - ({differing})) div 2") >= need)
+
     seen: list[DataFrame] = []  # verified pairs and links of each round
     linked: list[DataFrame] = []
     known: list[DataFrame] = []  # whole sets fetched so far
@@ -189,24 +206,25 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         for old in seen:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
         side = lambda x: outline.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
-        fit = pairs.join(side("a"), "a").join(side("b"), "b").where(fits)
+        fit = pairs.join(side("a"), "a").join(side("b"), "b").where(fits(WORDS))
         fit = scratch.save(fit.select("a", "b", "n_a", "n_b"), f"pairs-{turn}")
         seen.append(fit)
-        nodes = fit.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ends = F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("is_a")), F.struct(F.col("b").alias("node"), F.lit(False).alias("is_a")))
+        nodes = fit.select(F.inline(ends)).groupBy("node").agg(F.bool_or("is_a").alias("is_a"), F.bool_or(~F.col("is_a")).alias("is_b"))
         for old in known:
             nodes = nodes.join(old.select("node"), "node", "left_anti")
         nodes = scratch.save(nodes, f"nodes-{turn}")
-        if not nodes.isEmpty():
-            found = _whole_sets(docs, k, nodes).join(nodes, "node", "left_semi")
-            known.append(scratch.save(found.groupBy("node", "digest").agg(F.first("shingles").alias("shingles")), f"whole-{turn}"))
+        fresh = not nodes.isEmpty()
+        if fresh:
+            found = _whole_sets(docs, k, nodes).join(nodes, "node")
+            known.append(scratch.save(found.groupBy("node", "digest", "is_a", "is_b").agg(F.first("shingles").alias("shingles")), f"whole-{turn}"))
         if not known:
             linked.append(fit.select("a", "b"))
             return
-        whole = known[0]
-        for more in known[1:]:
-            whole = whole.unionByName(more)
+        # Sets of this round go only to the side where their documents stand; earlier ones to both.
+        side_of = lambda flag: union([*known[:-1], known[-1].where(flag) if fresh else known[-1]])
         inter = F.size(F.array_intersect("set_a", "set_b"))
-        both = fit.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+        both = fit.join(side_of("is_a").select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(side_of("is_b").select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
         good = both.where(F.lit(den) * inter >= F.lit(num) * (F.size("set_a") + F.size("set_b") - inter))
         linked.append(scratch.save(good.select("a", "b").distinct(), f"links-{turn}"))
 
@@ -220,6 +238,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
 
     verify(rows.where("node <> leader").select(*pair("node", "leader")).distinct(), 0)
+    rows = rows.where("k > 2")  # the one pair of two sets is done
     turn, before = 0, float("inf")
     while True:
         turn += 1
@@ -235,11 +254,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
             verify(open_rows.where("component <> leader_component").select(*pair("node", "leader")).distinct(), turn)
             continue
         # Every pair that is left: the larger set's prefix against the smaller one's shorter prefix.
-        open_rows = open_rows.join(outline.select("node", "parity"), "node")
+        folded = F.array(*(F.expr(" ^ ".join(f"parity[{i}]" for i in range(j, WORDS, JOIN_WORDS))) for j in range(JOIN_WORDS)))
+        open_rows = open_rows.join(outline.select("node", folded.alias("parity")), "node")
         side = lambda x: open_rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "component", "parity")))
         right = side("b").where(F.expr(f"pos_b <= n_b - ({2 * num} * n_b + {num + den - 1}) div {num + den}"))
         room = F.expr("least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1)")
-        met = side("a").join(right, "token").where("component_a <> component_b and (n_b < n_a or (n_b = n_a and node_b < node_a))").where((room >= need) & fits)
+        met = side("a").join(right, "token").where("component_a <> component_b and (n_b < n_a or (n_b = n_a and node_b < node_a))").where((room >= need) & fits(JOIN_WORDS))
         verify(met.select(*pair("node_a", "node_b")).distinct(), turn)
         break
 
