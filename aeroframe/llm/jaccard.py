@@ -140,7 +140,7 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
 
 
 def _whole_sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
-    """(node, digest, shingles) of the documents that may be among ``nodes``; the filter lets few others pass, and all without an id."""
+    """(node, shingles) of the documents that may be among ``nodes``; the filter lets few others pass, and all without an id."""
     wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(nodes))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +156,12 @@ def _whole_sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
                 own = _digest(hashes, n, _SALTS[0])
                 node = pc.coalesce(batch.column(0).slice(i, j - i), pa.array(own))
                 edges = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([node, pa.array(own), pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes.view(np.int64)))], ["node", "digest", "shingles"])
+                found = pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes.view(np.int64)))], ["node", "shingles"])
+                _, first = np.unique(np.stack([node.to_numpy(), own]), axis=1, return_index=True)  # repeated rows once
+                yield found.take(pa.array(np.sort(first)))
 
     marked = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))).alias("slot"))
-    return marked.mapInArrow(sets, "node long, digest long, shingles array<long>")
+    return marked.mapInArrow(sets, "node long, shingles array<long>")
 
 
 def _with_partners(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -199,7 +201,6 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
     seen: list[DataFrame] = []  # verified pairs and links of each round
     linked: list[DataFrame] = []
-    known: list[DataFrame] = []  # whole sets fetched so far
 
     def verify(pairs: DataFrame, turn: int) -> None:
         """Filter distinct pairs (a, b) by size and histogram, then compare whole sets."""
@@ -209,24 +210,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         fit = pairs.join(side("a"), "a").join(side("b"), "b").where(fits(WORDS))
         fit = scratch.save(fit.select("a", "b", "n_a", "n_b"), f"pairs-{turn}")
         seen.append(fit)
-        ends = F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("is_a")), F.struct(F.col("b").alias("node"), F.lit(False).alias("is_a")))
-        nodes = fit.select(F.inline(ends)).groupBy("node").agg(F.bool_or("is_a").alias("is_a"), F.bool_or(~F.col("is_a")).alias("is_b"))
-        for old in known:
-            nodes = nodes.join(old.select("node"), "node", "left_anti")
-        nodes = scratch.save(nodes, f"nodes-{turn}")
-        fresh = not nodes.isEmpty()
-        if fresh:
-            found = _whole_sets(docs, k, nodes).join(nodes, "node")
-            known.append(scratch.save(found.groupBy("node", "digest", "is_a", "is_b").agg(F.first("shingles").alias("shingles")), f"whole-{turn}"))
-        if not known:
+        if fit.isEmpty():
             linked.append(fit.select("a", "b"))
             return
-        # Sets of this round go only to the side where their documents stand; earlier ones to both.
-        side_of = lambda flag: union([*known[:-1], known[-1].where(flag) if fresh else known[-1]])
+        # Only the sets of this round's documents are moved; they are read from the texts again.
+        nodes = fit.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        whole = scratch.save(_whole_sets(docs, k, nodes), f"whole-{turn}")
         inter = F.size(F.array_intersect("set_a", "set_b"))
-        both = fit.join(side_of("is_a").select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(side_of("is_b").select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+        both = fit.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
         good = both.where(F.lit(den) * inter >= F.lit(num) * (F.size("set_a") + F.size("set_b") - inter))
         linked.append(scratch.save(good.select("a", "b").distinct(), f"links-{turn}"))
+        scratch.drop(f"whole-{turn}")
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
