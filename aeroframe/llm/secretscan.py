@@ -39,7 +39,8 @@ _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 #: A word that makes what follows sensitive, and the token that may follow within a few signs.
 _SENSITIVE = re.compile(r"(?ai:pass(?:word|wd|phrase)|secret|token|credential|authorization|bearer|signature|(?:api|access|private|client|encryption|signing|account|shared)[_-]?key)")
 _SENSITIVE_WORDS = (b"pass", b"secret", b"token", b"credential", b"authorization", b"bearer", b"signature", b"key")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")  # '=' only as padding: before more signs it separates name and value
+LEAST = 16  # signs of a candidate, padding included
 REACH = 48  # code points between the word and the token, at most
 AROUND = 1024  # bytes of text on each side that prime the compressor
 NOVELTY = 0.6  # marginal bytes for each byte of the token, at least
@@ -94,14 +95,19 @@ def novel_spans(text: str, known: list[Span]) -> list[Span]:
     """Candidates in sensitive context that don't compress and touch no base span."""
     out, last = [], 0
     for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(last, word.end()), min(len(text), word.end() + REACH)):
-            whole = _CANDIDATE.match(text, m.start())  # the reach bounds the start alone
-            start, end = whole.span()
+        reach = word.end() + REACH  # bounds the token's start alone
+        if last > reach:
+            continue
+        for m in _CANDIDATE.finditer(text, max(last, word.end())):
+            start, end = m.span()
+            if start > reach:
+                break
             last = end
-            token = whole.group()
-            if any(s.start < end and start < s.end for s in known):
+            token = m.group()
+            # A run right after the word is the rest of a name; its value may follow.
+            if start == word.end() or len(token) < LEAST or any(s.start < end and start < s.end for s in known):
                 continue
-            if (start and _CANDIDATE.match(text[start - 1] * 16)) or not (re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token)):
+            if not (re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token)):
                 continue
             if _spread(token) >= SPREAD and novelty(text, start, end) >= NOVELTY:
                 out.append(Span(start, end, "novel", start))

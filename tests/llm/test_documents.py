@@ -221,6 +221,28 @@ def test_novelty():
     assert found(f"token={key}") == [("assign", f"token={key}")]  # base spans stay alone
 
 
+KEY = "wJ4lrXUtnFEMi7K3MDENGbPxRfiCYq9Zs2HvT8"
+LAYOUTS = [
+    "AWS_SECRET_ACCESS_KEY={}", "export AWS_SECRET_ACCESS_KEY=\"{}\"", "DefaultEndpointsProtocol=https;AccountKey={}==;EndpointSuffix=x", "private_key={}", "client_key={}", "passphrase={}", "https://x/y?signature={}&z=1",
+    "private_key = '{}'", "\"signing_key\":\"{}\"", "secret_access_key_of_production_2={}", "client_key=={}", "client_key->{}", "bearer" + " " * 33 + "{}", "bearer" + "." * 48 + "{}",
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_novelty_in_layouts_of_keys_and_values(layout):
+    text = layout.format(KEY)
+    value = KEY + "==" if "==;" in layout else KEY
+    spans = [s for s in scan(text.encode()) if s.kind == "novel"]
+    assert [text[s.start : s.end].lstrip("->") for s in spans] == [value] and KEY not in redact(text, spans)
+
+
+def test_novelty_beyond_reach():
+    assert scan(("bearer" + "." * 49 + KEY).encode()) == []
+    assert scan(f"private_key_{KEY}".encode()) == []  # one name
+    assert [s.end - s.start for s in scan(b"private_key=q7Zx2Kv9Rt4Lm8==")] == [16]  # padding counts
+    assert scan(b"private_key=q7Zx2Kv9Rt4Lm8=") == []  # 15 signs
+
+
 def test_redaction(spark):
     assert redact("a token=abcdefgh b", scan(b"a token=abcdefgh b")) == "a token=<SECRET> b"
     docs = table(spark, list(enumerate(SECRETS))).withColumn("__x", F.lit(1))
