@@ -381,7 +381,10 @@ _FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 strin
 
 
 def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Dimensions, payload digests and thumbnail hash, all from the stored bytes."""
+    """Dimensions, payload digests and thumbnail hashes, all from the stored bytes.
+
+    ``feature`` has the size and hash of every image, joined by '+'; ``width`` and ``height`` are the first image's.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _FEATURES.split(", ")]
@@ -396,11 +399,14 @@ def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                     if isinstance(images, str):
                         rows.append((key, *[None] * 4, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None, *[None] * 3, images))
                         continue
-                    frame, gray = images[0]
+                    frame = images[0][0]
+                    sizes = [f"{f.width}x{f.height}" for f, _ in images]
+                    sizes[0] += f"x{len(images)}"
+                    feature = "+".join(f"{size}:{difference_hash(gray)}" for size, (_, gray) in zip(sizes, images, strict=True))
                     payload = b"".join(g.tobytes() for _, g in images)
                     note = frame.comment.decode("latin-1")
                     n = int(note[6:]) if note.startswith("bytes=") and note[6:].isdigit() else len(payload)
-                    rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), f"{frame.width}x{frame.height}x{len(images)}:{difference_hash(gray)}", len(images), frame.width, frame.height, None))
+                    rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(images), frame.width, frame.height, None))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
 
     kinds = {"long": pa.int64(), "string": pa.string()}

@@ -99,6 +99,18 @@ def test_columns(spark):
     assert broken[0].error and broken[1].error and broken[1].media_bytes == 1 and broken[1].feature is None
 
 
+def test_feature_covers_every_image(spark):
+    same = "x" * (64 * media.MOST_ROWS)
+    up = "".join(map(chr, range(40, 104)))
+    texts = [same + up, same + up[::-1], same + up * 2, same]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = media.features(media.encode_texts(docs)).orderBy("doc_id").collect()
+    assert [r.images for r in rows] == [2, 2, 2, 1] and len({r.feature for r in rows}) == 4
+    first = f"512x{8 * media.MOST_ROWS}x"
+    hashes = [media.difference_hash(np.frombuffer(t.encode(), np.uint8).reshape(-1, 64)) for t in (same, up, up[::-1], up * 2)]
+    assert [r.feature for r in rows] == [f"{first}2:{hashes[0]}+512x8:{hashes[1]}", f"{first}2:{hashes[0]}+512x8:{hashes[2]}", f"{first}2:{hashes[0]}+512x16:{hashes[3]}", f"{first}1:{hashes[0]}"]
+
+
 def test_hash_follows_brightness():
     ramp = np.tile(np.arange(64, dtype=np.uint8), (8, 1))
     assert media.difference_hash(ramp) == "ff" * 8 and media.difference_hash(ramp[:, ::-1]) == "00" * 8
