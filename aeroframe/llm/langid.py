@@ -66,8 +66,11 @@ class Vocabulary:
         self.slots = np.zeros(1 << _SLOT_BITS, np.int32)
         self.slots[_slot(self.codes[1:])] = np.arange(1, len(self.codes), dtype=np.int32)
 
-    def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Documents x n-grams, 1 where the document has it; column 0 is for none."""
+    def presence(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """Documents x n-grams, 1 where the document has it; column 0 is for none.
+
+        ``known`` gets the number of each document's n-grams found here added, repeats included.
+        """
         docs = len(offsets) - 1
         found = np.zeros((docs, len(self.codes)), np.float32)
         flat = found.ravel()
@@ -77,6 +80,11 @@ class Vocabulary:
             entry = self.slots[_slot(codes)]
             entry[self.codes[entry] != codes] = 0
             flat[base[where] + entry] = 1
+            if known is not None:
+                until = np.zeros(len(data) + 1, np.int64)
+                until[where + 1] = entry != 0
+                until = np.cumsum(until)
+                known += until[offsets[1:]] - until[offsets[:-1]]
         found[:, 0] = 0
         return found
 
@@ -87,14 +95,17 @@ class Model:
     vocabulary: Vocabulary
     weights: np.ndarray  # n-grams x languages
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        """One-versus-rest outputs of every text."""
+    def scores(self, column: pa.Array, known: np.ndarray | None = None) -> np.ndarray:
+        """One-versus-rest outputs of every text; ``known``, zeros, gets the share of its n-grams that the landmarks have."""
         offsets, data = text_bytes(column)
         out = [np.zeros((0, len(self.languages)))]
         for i, j in _blocks(offsets, self.vocabulary):
-            there = self.vocabulary.presence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            there = self.vocabulary.presence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], None if known is None else known[i:j])
             size = np.sqrt(np.maximum(1, there.sum(axis=1, dtype=np.float64)))
             out.append((there @ self.weights) / size[:, None])
+        if known is not None:
+            length = np.diff(offsets)
+            known /= np.maximum(1, sum(np.maximum(0, length - k) for k in range(GRAMS)))
         return np.concatenate(out)
 
 
@@ -188,11 +199,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", added: tuple[str, str] = ("lang_pred", "score"), keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with the predicted language and its score."""
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", added: tuple[str, str] = ("lang_pred", "score"), keep: tuple[str, ...] = (), share: str | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the predicted language and its score.
+
+    ``share`` names a column for the share of the text's n-grams that the landmarks have.
+    """
     names = [F.col(f"`{c}`") for c in keep]
     if model is None:
-        return docs.select(*names, F.lit("und").alias(added[0]), F.lit(0.0).alias(added[1]))
+        return docs.select(*names, F.lit("und").alias(added[0]), F.lit(0.0).alias(added[1]), *([F.lit(0.0).alias(share)] if share else []))
     text_at = keep.index(text_col) if text_col in keep else len(keep)
     sent = docs.select(*names, *([] if text_col in keep else [F.col(text_col)]), _letters(F.col(text_col)))
     small_batches(docs.sparkSession)
@@ -203,14 +217,17 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", added:
         own = Model(languages, Vocabulary(codes[1:]), weights)
         said = np.array([*languages, "und"], object)
         for batch in batches:
-            scores = own.scores(batch.column(text_at))
+            known = np.zeros(batch.num_rows) if share else None
+            scores = own.scores(batch.column(text_at), known)
             best = scores.argmax(axis=1)
             score = np.clip((scores[np.arange(len(best)), best] + 1) / 2, 0, 1)
             silent = ~batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             best[silent], score[silent] = len(languages), 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(said[best], pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[: len(keep)], *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(said[best], pa.string()), pa.array(score, pa.float64()), *([pa.array(known)] if share else [])], names=[*batch.schema.names[: len(keep)], *added, *([share] if share else [])])
 
     schema = StructType(sent.schema.fields[: len(keep)]).add(added[0], StringType()).add(added[1], DoubleType())
+    if share:
+        schema = schema.add(share, DoubleType())
     return sent.mapInArrow(classify, schema)
 
 

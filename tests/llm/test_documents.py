@@ -276,3 +276,14 @@ def test_pipeline(spark):
     assert seen["packed"].agg(F.sum((F.col("start") == 0).cast("int"))).first()[0] == seen["mix"].count()
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_rejects_unlearned_languages(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(0)
+    words = {"en": "the of and in to was that with from this a house near water old road".split(), "de": "der die und das mit von nicht über für größe ein haus am wasser alt".split()}
+    rows = [(i, " ".join(rng.choice(words["en" if i % 3 else "de"], 80)), "en" if i % 3 else "de", "s") for i in range(240)]
+    strange = ["Η γρήγορη καφέ αλεπού πηδάει πάνω από τον τεμπέλη σκύλο", "Съешь же ещё этих мягких французских булок", "快速的棕色狐狸跳过懒狗然后跑进森林里去了", "الثعلب البني السريع يقفز فوق الكلب", "xqzjv kwqzx vjqxz qqzzxj wvkxq zzxqj kqwvz"]
+    docs = table(spark, rows + [(1000 + i, t) for i, t in enumerate(strange)] + [(2000, "this old house near the water")])
+    kept = pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [*range(240), 2000]
