@@ -122,6 +122,7 @@ def _rebin_sql(source: str, interval: str, method: str, gaps: bool = True, zero:
 for _name, _freq, _interval, _method, _crop, _zero in (
     ("rebin_hour_mean", "1H", "1 hour", "mean", None, False), ("rebin_10min_sum_gaps", "10min", "10 minutes", "sum", None, True), ("rebin_150min_median", "2.5h", "150 minutes", "median", None, False),
     ("rebin_7h_max", "7h", "7 hours", "max", None, False), ("rebin_1h30_std", "1h30min", "90 minutes", "std", None, False), ("rebin_1s_count_small", "s", "1 second", "count", ("2024-01-05", "2024-01-05 01:00:00"), True),
+    ("rebin_1s_count", "s", "1 second", "count", None, True),
 ):
     _source = "SELECT * FROM s1" + (f" WHERE ts BETWEEN TIMESTAMP '{_crop[0]}' AND TIMESTAMP '{_crop[1]}'" if _crop else "")
     _register(_name, lambda spark, d, f=_freq, m=_method, c=_crop: _rounded((s1(spark, d).crop(*c) if c else s1(spark, d)).rebin(f, m).df), _rebin_sql(_source, _interval, _method, zero=_zero))

@@ -40,3 +40,9 @@ def test_query_against_sql(spark, db, name):
 
 def test_flagship(spark):
     assert contract.entry(spark).count() >= 1
+
+
+def test_seconds_of_the_whole_table(spark, db):
+    got = contract.queries()["rebin_1s_count"](spark, DATA).selectExpr("sum(total_conc)", "count(*)", "min(ts)", "max(ts)").first()
+    n, first, last = db.execute("select count(*), date_trunc('second', min(ts)), date_trunc('second', max(ts)) from events").fetchone()
+    assert tuple(got) == (n, (last - first).total_seconds() + 1, first, last)
