@@ -7,6 +7,7 @@ so no Python string is made for a word. Blocks of whole documents of about
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,6 @@ import pyarrow.compute as pc
 
 BLOCK = 1 << 19
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 WHITE = np.zeros(256, bool)
@@ -49,27 +49,6 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-_powers: list[np.ndarray] = []
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of them."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        made = []
-        for base in (_BASE, inverse):
-            table = np.ones(size, np.uint64)
-            filled, step = 1, base
-            while filled < size:
-                take = min(filled, size - filled)
-                table[filled : filled + take] = table[:take] * np.uint64(step)
-                filled, step = filled + take, step * step & _MASK
-            made.append(table)
-        _powers[:] = made
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -77,14 +56,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[s:e] for each span: a polynomial by prefix sums, then mixed with the length."""
-    n = len(data)
-    power, inverse = _tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+_LONG = 64  # bytes from which a span is hashed by itself
+_SEEDS = (0xD6E8FEB86659FD93, 0xA3B195354A39B70D)
+_STEPS = (0x9FB21C651E98DF25, 0xD1342543DE82EF95)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of data[s:e] for each span.
+
+    Words of eight bytes are chained through ``mix``, which isn't linear; spans
+    of more than ``_LONG`` bytes get a keyed BLAKE2 digest each.
+    """
+    size = (ends - starts).astype(np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+    def part(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next eight bytes, or the ``left`` ones of them."""
+        return word[at] & (np.uint64(_MASK) >> (np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8)))
+
+    state = [mix(size.astype(np.uint64) * np.uint64(seed) + np.uint64(seed)) for seed in _SEEDS]
+    rows = np.flatnonzero((size > 0) & (size <= _LONG))
+    done = 0
+    while len(rows):
+        own = part(starts[rows] + done, size[rows] - done)
+        for k, step in enumerate(_STEPS):
+            state[k][rows] = mix((state[k][rows] ^ own) * np.uint64(step))
+        done += 8
+        rows = rows[size[rows] > done]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16, key=b"span").digest()
+        state[0][i], state[1][i] = np.frombuffer(digest, "<u8")
+    return state[0], state[1]
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +122,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     starts, ends = word_spans(data, offsets)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    words = span_hashes(data, starts, ends)
+    words, _ = span_hashes(data, starts, ends)
     owner = np.searchsorted(offsets, starts, "right") - 1
     count = np.bincount(owner, minlength=docs)
     begin = np.cumsum(count) - count

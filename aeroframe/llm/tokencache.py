@@ -96,24 +96,36 @@ class WordMemory:
     def forget(self) -> None:
         """Entry 0 stands for none. Two tables lead from bits of the hash to an entry; what fits in neither is in a dict."""
         self.keys = np.zeros(1 << 16, np.uint64)
+        self.seconds = np.zeros(1 << 16, np.uint64)
         self.first = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int32)
         self.entries = 1
         self.by_high = np.zeros(1 << _SLOT_BITS, np.int32)
         self.by_low = np.zeros(1 << _SLOT_BITS, np.int32)
         self.others: dict[int, int] = {}
+        self.clashing: dict[tuple[int, int], int] = {}  # pieces whose first hash another piece has
         self.ids = np.zeros(1 << 16, self.dtype)
         self.used = 0
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
+    def _find(self, keys: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+        """Entries of pieces by both hashes; 0 for pieces not known."""
         entry = self.by_high[_high(keys)]
         miss = np.flatnonzero(self.keys[entry] != keys)
         if len(miss):
             entry[miss] = self.by_low[_low(keys[miss])]
             still = miss[self.keys[entry[miss]] != keys[miss]]
             entry[still] = [self.others.get(k, 0) for k in keys[still].tolist()]
+        wrong = np.flatnonzero((entry != 0) & (self.seconds[entry] != seconds))
+        if len(wrong):
+            entry[wrong] = [self.clashing.get(k, 0) for k in zip(keys[wrong].tolist(), seconds[wrong].tolist(), strict=True)]
         return entry
 
+    def _first_hash(self, keys: np.ndarray) -> np.ndarray:
+        """Whether a piece with this first hash is known."""
+        known = (self.keys[self.by_high[_high(keys)]] == keys) | (self.keys[self.by_low[_low(keys)]] == keys)
+        known[~known] = [k in self.others for k in keys[~known].tolist()]
+        return known
+
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces, cut at documents as well."""
         kinds = _classes(data)
@@ -139,7 +151,7 @@ class WordMemory:
         edges = np.flatnonzero(cut)
         return edges[:-1], edges[1:]
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, seconds: np.ndarray, pieces: list[bytes]) -> None:
         simple = _SIMPLE_DROPPED if self.drops_space else _SIMPLE_SPACED
         joint = np.fromiter((simple.fullmatch(p) is not None for p in pieces), bool, len(pieces))
         lists: list = [None] * len(pieces)
@@ -161,11 +173,17 @@ class WordMemory:
         self.ids = _room(self.ids, self.used + len(flat))
         self.ids[self.used : self.used + len(flat)] = flat
         a, b = self.entries, self.entries + len(keys)
-        for name in ("keys", "first", "count"):
+        for name in ("keys", "seconds", "first", "count"):
             setattr(self, name, _room(getattr(self, name), b))
-        self.keys[a:b], self.count[a:b], self.first[a:b] = keys, count, self.used + np.cumsum(count) - count
+        self.keys[a:b], self.seconds[a:b], self.count[a:b], self.first[a:b] = keys, seconds, count, self.used + np.cumsum(count) - count
         self.entries, self.used = b, self.used + len(flat)
         entry = np.arange(a, b, dtype=np.int32)
+        _, lone = np.unique(keys, return_index=True)
+        known = self._first_hash(keys[lone])
+        plain = np.zeros(len(keys), bool)
+        plain[lone[~known]] = True
+        self.clashing.update(zip(zip(keys[~plain].tolist(), seconds[~plain].tolist(), strict=True), entry[~plain].tolist(), strict=True))
+        keys, entry = keys[plain], entry[plain]
         for table, slots in ((self.by_high, _high), (self.by_low, _low)):
             slot = slots(keys)
             free = table[slot] == 0
@@ -203,16 +221,18 @@ class WordMemory:
         starts, ends = self._cuts(data, offsets)
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(docs, np.int64)
-        keys = span_hashes(data, starts, ends)
+        keys, seconds = span_hashes(data, starts, ends)
         if self.entries > REMEMBERED:
             self.forget()
-        entry = self._find(keys)
+        entry = self._find(keys, seconds)
         new = np.flatnonzero(entry == 0)
         if len(new):
-            fresh, sample = np.unique(keys[new], return_index=True)
-            sample, raw = new[sample], data.tobytes()
-            self._learn(fresh, [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)])
-            entry[new] = self._find(keys[new])
+            order = new[np.lexsort((seconds[new], keys[new]))]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (keys[order[1:]] != keys[order[:-1]]) | (seconds[order[1:]] != seconds[order[:-1]])
+            sample, raw = order[fresh], data.tobytes()
+            self._learn(keys[sample], seconds[sample], [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)])
+            entry[new] = self._find(keys[new], seconds[new])
         count = self.count[entry].astype(np.int64)
         total = np.cumsum(count)
         flat = self.ids[np.repeat(self.first[entry] - total + count, count) + np.arange(total[-1] if len(total) else 0)]

@@ -174,3 +174,50 @@ def test_presence_kernel():
     for i, a in enumerate(grams):
         for j, b in enumerate(grams):
             assert product[i, j] == len(a & b)
+
+
+def colliding_words(length=4096):
+    """Two words that any polynomial hash modulo 2**64 takes for one (Thue-Morse sequence and its complement)."""
+    bits = [bin(i).count("1") % 2 for i in range(length)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("drops", [True, False])
+def test_words_that_collide_in_polynomials(memories, drops):
+    m = memories[drops]
+    for length in (512, 1024, 4096):
+        for text in colliding_words(length):
+            assert m.encode(pa.array([text]))[0].tolist() == m.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("drops", [True, False])
+def test_pieces_of_one_first_hash_stay_apart(drops, monkeypatch):
+    import aeroframe.llm.tokencache as cache
+
+    whole = cache.span_hashes
+    monkeypatch.setattr(cache, "span_hashes", lambda *a: ((whole(*a)[0] & np.uint64(3)) + np.uint64(1), whole(*a)[1]))
+    m = WordMemory(WORD if drops else BYTE, drops)
+    for texts in (["some words here", "other words there"], ["words, again and other signs", "some more"], ["here and there again"]):
+        ids, count = m.encode(pa.array(texts))
+        ends = np.cumsum(count)
+        for text, a, b in zip(texts, ends - count, ends):
+            assert ids[a:b].tolist() == m.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_span_hashes_tell_spans_apart():
+    from aeroframe.llm.textbytes import span_hashes
+
+    rng = np.random.default_rng(1)
+    spans = [b"", *{rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in range(1, 150) for _ in range(4)}, *(w.encode() for n in (256, 4096) for w in colliding_words(n)), b"a\0", b"a"]
+    data, ends = np.frombuffer(b"".join(spans), np.uint8), np.cumsum([len(s) for s in spans])
+    starts = ends - [len(s) for s in spans]
+    for hashes in span_hashes(data, starts, ends):
+        assert len(set(hashes.tolist())) == len(set(spans))
+    alone = [span_hashes(np.frombuffer(s, np.uint8), np.array([0]), np.array([len(s)]))[0][0] for s in spans]
+    assert alone == span_hashes(data, starts, ends)[0].tolist()
+
+
+def test_colliding_words_share_no_shingle():
+    a, b = colliding_words()
+    offsets, data = text_bytes(pa.array([a, b, f"x {a} y z", f"x {b} y z"]))
+    assert len(set(shingles(data, offsets, 4)[1].tolist())) == 4
