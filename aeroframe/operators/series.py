@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import replace
 from datetime import datetime, timedelta
 from functools import reduce
@@ -48,14 +48,17 @@ def seconds(micros: int | Column) -> Column:
 
 
 _SMOOTH: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "sum": F.sum, "min": F.min, "max": F.max}
-_REBIN: dict[str, Callable[[Column], Column]] = {**_SMOOTH, "std": F.stddev_samp, "var": F.var_samp, "count": F.count, "first": lambda c: F.first(c, ignorenulls=True), "last": lambda c: F.last(c, ignorenulls=True)}
+_REBIN: dict[str, Callable[[Column], Column]] = {**_SMOOTH, "std": F.stddev_samp, "var": F.var_samp, "count": F.count}
+#: By time, whatever the order of the rows: nulls don't count.
+_ENDS: dict[str, Callable[[Column, Column], Column]] = {"first": lambda c, ts: F.min_by(c, F.when(c.isNotNull(), ts)), "last": lambda c, ts: F.max_by(c, F.when(c.isNotNull(), ts))}
 
 
 class Series1D:
     """A DataFrame with a time column, value columns and one flag column for each activity.
 
     The first value column is the total. ``by`` names columns that tell several
-    series apart. Every operation gives a new object; nothing is computed early.
+    series apart. Every operation gives a new object; only ``rebin`` reads the
+    span of time when it is called, all else is computed when rows are asked for.
     """
 
     def __init__(self, df: DataFrame, meta: SeriesMeta | None = None, ts: str = "ts", values: Sequence[str] = ("total_conc",), by: Sequence[str] = (), original: DataFrame | None = None, extra: DataFrame | None = None):
@@ -156,7 +159,7 @@ class Series1D:
 
     def drop_missing(self) -> Series1D:
         """Rows with all values."""
-        return self._with(self.df.na.drop("any", subset=list(self.values)))
+        return self._with(present(self.df, self.values))
 
     def _marked(self, df: DataFrame, new: list[Activity]) -> Series1D:
         names = {a.name for a in new}
@@ -170,16 +173,18 @@ class Series1D:
         return self._marked(self.df.withColumns({a.column: inside(a) for a in new}), new)
 
     def mark_from(self, name: str, table: DataFrame, start: str = "start", end: str = "end", column: str | None = None) -> Series1D:
-        """Flag the rows inside any period of a table of many: merged first, then an equi-join on days.
+        """Flag the rows inside any period of a table of many: merged by day, then an equi-join on days.
 
-        Overlapping periods are united, so that a row meets one at most.
+        Periods are cut at midnight, so that days need nothing of each other;
+        inside a day those of one minute are united first, then those of the
+        day, so that a row meets one at most.
         """
         column = column or f"act_{name}"
         given = table.select(F.col(start).cast("timestamp_ntz").alias("s"), F.col(end).cast("timestamp_ntz").alias("e")).where("s <= e")
-        run = given.withColumn("reach", F.max("e").over(Window.orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)))
-        run = run.withColumn("island", F.sum(F.when(F.col("reach") >= F.col("s"), 0).otherwise(1)).over(Window.orderBy("s", "e")))
-        merged = run.groupBy("island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-        days = merged.select("s", "e", F.explode(F.sequence(F.to_date("s"), F.to_date("e"))).alias("day"))
+        days = given.withColumn("day", F.explode(F.sequence(F.to_date("s"), F.to_date("e"))))
+        dawn = F.col("day").cast("timestamp_ntz")
+        days = days.select("day", F.greatest("s", dawn).alias("s"), F.least("e", dawn + F.expr("INTERVAL '1' DAY")).alias("e"))
+        days = _united(_united(days.withColumn("minute", F.date_trunc("minute", F.col("s"))), "day", "minute"), "day")
         hit = self.df.withColumn("__day", F.to_date(self.ts)).join(days, (F.col("__day") == F.col("day")) & F.col(self.ts).between(F.col("s"), F.col("e")), "left")
         hit = hit.withColumn(column, F.col("s").isNotNull()).select(*[F.col(f"`{c}`") for c in self.df.columns if c != column], F.col(f"`{column}`"))
         return self._marked(hit, [Activity(name, (), column)])
@@ -193,23 +198,20 @@ class Series1D:
     def smooth(self, window: int = 5, method: str = "mean", block_rows: int = BLOCK_ROWS) -> Series1D:
         """Centred rolling statistic over rows; for an even window the extra row lies before.
 
-        Series told apart by ``by`` are windows of their own. One series alone
-        is numbered in time order, cut into blocks that overlap by half a
-        window, and rolled block by block.
+        Each series is numbered in time order (rows of one time by their
+        values), cut into blocks that overlap by half a window, and rolled
+        block by block.
         """
         if method not in _SMOOTH:
             raise ValueError(f"unknown method {method!r}; one of {', '.join(_SMOOTH)}")
         if window < 1:
             raise ValueError("a window has at least one row")
         before, after = window // 2, (window - 1) // 2
-        if self.by:
-            frame = Window.partitionBy(*self.by).orderBy(self.ts).rowsBetween(-before, after)
-            return self._with(self.df.withColumns({c: _SMOOTH[method](F.col(c)).over(frame) for c in self.values}))
         size = max(block_rows, window)
-        numbered = _numbered(self.df, self.ts).withColumn("__block", F.floor(F.col("__n") / size)).withColumn("__place", F.col("__n") % size)
+        numbered = _numbered(self.df, self.ts, self.values, self.by).withColumn("__block", F.floor(F.col("__n") / size)).withColumn("__place", F.col("__n") % size)
         copies = F.filter(F.array(F.lit(0), F.when(F.col("__place") < after, F.lit(-1)), F.when(F.col("__place") >= size - before, F.lit(1))), lambda x: x.isNotNull())
         spread = numbered.withColumn("__copy", F.explode(copies)).withColumn("__block", F.col("__block") + F.col("__copy"))
-        frame = Window.partitionBy("__block").orderBy("__n").rowsBetween(-before, after)
+        frame = Window.partitionBy(*self.by, "__block").orderBy("__n").rowsBetween(-before, after)
         rolled = spread.withColumns({c: _SMOOTH[method](F.col(c)).over(frame) for c in self.values}).where("__copy = 0")
         return self._with(rolled.select(*[F.col(f"`{c}`") for c in self.df.columns]))
 
@@ -220,9 +222,12 @@ class Series1D:
         (0 for sums and counts) and no activity, unless ``fill_gaps`` is off.
         """
         step = microseconds(freq)
-        how = _REBIN.get(method) if isinstance(method, str) else method
+        if method in _ENDS:
+            how = lambda c: _ENDS[method](c, F.col(self.ts))
+        else:
+            how = _REBIN.get(method) if isinstance(method, str) else method
         if how is None:
-            raise ValueError(f"unknown method {method!r}; one of {', '.join(_REBIN)}")
+            raise ValueError(f"unknown method {method!r}; one of {', '.join([*_REBIN, *_ENDS])}")
         span = self.df.agg(F.min(self.ts).alias("a"), F.max(self.ts).alias("b")).first()
         if span.a is None:
             return self._with(self.df.select(*self.by, self.ts, *[F.col(c).cast("double").alias(c) for c in self.values], *[F.col(f"`{a.column}`") for a in self.meta.activities]).limit(0))
@@ -231,7 +236,8 @@ class Series1D:
         flags = [a.column for a in self.meta.activities]
         bucket = F.window(self.ts, f"{step} microseconds", None, f"{offset} microseconds")
         placed = self.df.withColumn("__at", bucket["start"])
-        out = placed.groupBy(*self.by, F.col("__at").alias(self.ts)).agg(*(how(F.col(c)).alias(c) for c in self.values), *(F.bool_or(f"`{f}`").alias(f) for f in flags))
+        out = placed.groupBy(*self.by, F.col("__at").alias("__ts")).agg(*(how(F.col(c)).alias(c) for c in self.values), *(F.bool_or(f"`{f}`").alias(f) for f in flags))
+        out = out.select(*self.by, F.col("__ts").alias(self.ts), *self.values, *(F.col(f"`{f}`") for f in flags))
         if fill_gaps:
             first = midnight + timedelta(microseconds=((span.a - midnight) // timedelta(microseconds=1)) // step * step)
             n = (span.b - first) // timedelta(microseconds=1) // step + 1
@@ -279,8 +285,18 @@ class Series1D:
 
     def deduplicated(self, order: Sequence[str]) -> Series1D:
         """The first row of each time in the given order, by time."""
-        first = Window.partitionBy(*self.by, self.ts).orderBy(*order)
-        return self._with(self.df.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first"))
+        return self._with(first_by_time(self.df, [*self.by, self.ts], order).orderBy(self.ts, *self.by))
+
+
+def present(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Rows with all of these. A condition for each column: Catalyst derives 2**n forms of one about n columns when they are renamed."""
+    return df.where(reduce(lambda x, y: x & y, (F.col(f"`{c}`").isNotNull() for c in columns), F.lit(True)))
+
+
+def first_by_time(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key in the given order."""
+    first = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
 
 
 def union(parts: Sequence[Series1D], check: Sequence[str] = ("serial_number",)) -> Series1D:
@@ -293,14 +309,33 @@ def union(parts: Sequence[Series1D], check: Sequence[str] = ("serial_number",))
     join = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     rows = join([p.df.withColumn("__file", F.lit(i)).withColumn("__row", F.monotonically_increasing_id()) for i, p in enumerate(good)])
     out = first._with(rows).deduplicated(["__file", "__row"])
-    extra = [p.extra_data for p in good if p.extra_data is not None]
-    return out._with(out.df.drop("__file", "__row"), original_data=out.df.drop("__file", "__row"), extra_data=join(extra) if extra else None)
+    extra = [p.extra_data.withColumn("__file", F.lit(i)).withColumn("__row", F.monotonically_increasing_id()) for i, p in enumerate(good) if p.extra_data is not None]
+    beside = first_by_time(join(extra), [first.ts], ["__file", "__row"]).drop("__file", "__row") if extra else None
+    return out._with(out.df.drop("__file", "__row"), original_data=out.df.drop("__file", "__row"), extra_data=beside)
 
 
-def _numbered(df: DataFrame, ts: str) -> DataFrame:
-    """Rows with ``__n``, their place in time order: counts of hours, then places inside an hour."""
-    hour = F.date_trunc("hour", F.col(ts))
-    counts = df.groupBy(hour.alias("__hour")).agg(F.count("*").alias("__rows"))
-    base = counts.select("__hour", F.coalesce(F.sum("__rows").over(Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    placed = df.withColumn("__hour", hour).withColumn("__in", F.row_number().over(Window.partitionBy("__hour").orderBy(ts)))
-    return placed.join(base, "__hour").withColumn("__n", F.col("__base") + F.col("__in") - 1).drop("__hour", "__base", "__in")
+def _united(periods: DataFrame, *keys: str) -> DataFrame:
+    """Periods (s, e) of each key with those that overlap made one; the last key is dropped unless it is the only one."""
+    order = Window.partitionBy(*keys).orderBy("s", "e")
+    run = periods.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    run = run.withColumn("island", F.sum(F.when(F.col("reach") >= F.col("s"), 0).otherwise(1)).over(order))
+    merged = run.groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return merged.select(*(keys[:-1] or keys), "s", "e")
+
+
+def _numbered(df: DataFrame, ts: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows with ``__n``, their place in the time order of their series: counts of days and minutes, then places inside a minute.
+
+    Rows of one time follow by their values, so that reruns agree.
+    """
+    minute = F.date_trunc("minute", F.col(ts))
+    counts = df.groupBy(*by, minute.alias("__minute")).agg(F.count("*").alias("__rows")).withColumn("__day", F.to_date("__minute"))
+    earlier = lambda order: F.coalesce(F.sum("__rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shown = [F.col(c).alias(f"__{c}") for c in by]
+    same = lambda a, b: reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"__{c}")), by, F.col(a).eqNullSafe(F.col(b)))
+    days = counts.groupBy(*by, "__day").agg(F.sum("__rows").alias("__rows")).select(*shown, F.col("__day").alias("__of"), earlier(Window.partitionBy(*by).orderBy("__day")).alias("__before"))
+    inner = counts.withColumn("__inner", earlier(Window.partitionBy(*by, "__day").orderBy("__minute")))
+    base = inner.join(days, same("__day", "__of")).select(*shown, F.col("__minute").alias("__at"), (F.col("__inner") + F.col("__before")).alias("__base"))
+    order = Window.partitionBy(*by, "__minute").orderBy(ts, *values)
+    placed = df.withColumn("__minute", minute).withColumn("__in", F.row_number().over(order))
+    return placed.join(base, same("__minute", "__at")).withColumn("__n", F.col("__base") + F.col("__in") - 1).drop("__minute", "__at", "__in", "__base", *(f"__{c}" for c in by))

@@ -153,8 +153,9 @@ class Series2D(Series1D):
         """Cells of the drawing and the scale of its colours.
 
         ``low`` other than 0 clips the values from below; a scale given as 0
-        comes from the values. A time's cell reaches half of the first step to
-        either side.
+        comes from the values, so that they are read when this is called; it is
+        None where there are none. A time's cell reaches half of the first step
+        to either side.
         """
         columns = self.bins.columns
         if low:
@@ -172,7 +173,8 @@ class Series2D(Series1D):
             cells = cells.withColumns({"cell_start": F.col(self.ts) - seconds(micros), "cell_end": F.col(self.ts) + seconds(micros)})
         edges = self.bin_edges
         lower, upper = (F.element_at(F.array(*map(F.lit, e)), F.col("bin_idx") + 1) for e in (edges[:-1], edges[1:]))
-        scale = (float(low), float(high or ends.high)) if (low, high) != (0, 0) else (ends.low, ends.high)
+        top = high or ends.high  # None without rows
+        scale = (float(low), top if top is None else float(top)) if (low, high) != (0, 0) else (ends.low, ends.high)
         return cells.withColumns({"edge_low": lower, "edge_high": upper}), scale
 
 

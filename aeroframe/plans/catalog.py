@@ -9,8 +9,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroframe.functions.physics import PM_CUTS, share_below
+from aeroframe.functions.physics import PM_CUTS
 from aeroframe.operators.series import Series1D, union
+from aeroframe.plans.exports import EXPORTS, expected, loaded
 from aeroframe.plans.fixtures import ACTIVITIES, BINS, EDGES, FINE_BINS, events, s1, s2, s2_marked, s2d, s2m
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,7 +92,7 @@ def _mark_range_join(spark: SparkSession, d: str) -> DataFrame:
 _register("mark_range_join", _mark_range_join, f"WITH {S1}, p(a, b) AS (VALUES " + ", ".join(f"(TIMESTAMP '{a}', TIMESTAMP '{b}')" for a, b in _PERIODS) + ") SELECT *, EXISTS (SELECT 1 FROM p WHERE ts BETWEEN a AND b) AS busy FROM s1")
 _register("activity_select", lambda spark, d: s1(spark, d).mark(ACTIVITIES).select_activity("Emission"), f"WITH {S1} SELECT * FROM s1 WHERE {_inside('Emission')}")
 
-_SQL_AGG = {"mean": "avg", "median": "median", "sum": "sum", "min": "min", "max": "max", "count": "count", "std": "stddev_samp"}
+_SQL_AGG = {"mean": "avg", "median": "median", "sum": "sum", "min": "min", "max": "max", "count": "count", "std": "stddev_samp", "var": "var_samp"}
 for _method, _w in (("mean", 5), ("median", 5), ("sum", 4), ("min", 3), ("max", 6)):
     _register(
         f"smooth_{_method}{_w}", lambda spark, d, m=_method, w=_w: _rounded(s1(spark, d).smooth(w, m, block_rows=20_000).df),
@@ -121,12 +122,15 @@ def _rebin_sql(source: str, interval: str, method: str, gaps: bool = True, zero:
 
 for _name, _freq, _interval, _method, _crop, _zero in (
     ("rebin_hour_mean", "1H", "1 hour", "mean", None, False), ("rebin_10min_sum_gaps", "10min", "10 minutes", "sum", None, True), ("rebin_150min_median", "2.5h", "150 minutes", "median", None, False),
-    ("rebin_7h_max", "7h", "7 hours", "max", None, False), ("rebin_1h30_std", "1h30min", "90 minutes", "std", None, False), ("rebin_1s_count_small", "s", "1 second", "count", ("2024-01-05", "2024-01-05 01:00:00"), True),
+    ("rebin_7h_max", "7h", "7 hours", "max", None, False), ("rebin_1h30_std", "1h30min", "90 minutes", "std", None, False), ("rebin_4h_var", "4h", "4 hours", "var", None, False),
     ("rebin_1s_count", "s", "1 second", "count", None, True),
 ):
     _source = "SELECT * FROM s1" + (f" WHERE ts BETWEEN TIMESTAMP '{_crop[0]}' AND TIMESTAMP '{_crop[1]}'" if _crop else "")
     _register(_name, lambda spark, d, f=_freq, m=_method, c=_crop: _rounded((s1(spark, d).crop(*c) if c else s1(spark, d)).rebin(f, m).df), _rebin_sql(_source, _interval, _method, zero=_zero))
 
+_register("rebin_1s_count_small", lambda spark, d: s1(spark, d).rebin("s", "count", fill_gaps=False).df, _rebin_sql("SELECT * FROM s1", "1 second", "count", gaps=False))
+for _end, _way in (("first", "ASC"), ("last", "DESC")):
+    _register(f"rebin_3h_{_end}", lambda spark, d, m=_end: s1(spark, d).rebin("3h", m, fill_gaps=False).df, f"WITH {S1} SELECT time_bucket(INTERVAL '3 hours', ts, (SELECT date_trunc('day', min(ts)) FROM s1)) AS ts, total_conc FROM s1 QUALIFY row_number() OVER (PARTITION BY 1 + epoch_us(time_bucket(INTERVAL '3 hours', ts, (SELECT date_trunc('day', min(ts)) FROM s1))) ORDER BY s1.ts {_way}) = 1")
 _register("rebin_no_gaps_min", lambda spark, d: s1(spark, d).rebin("5min", "min", fill_gaps=False).df, _rebin_sql("SELECT * FROM s1", "5 minutes", "min", gaps=False))
 _register("rebin_custom_range", lambda spark, d: _rounded(s1(spark, d).rebin("6h", lambda c: F.max(c) - F.min(c)).df), _rebin_sql("SELECT * FROM s1", "6 hours", "max").replace("max(total_conc)", "max(total_conc) - min(total_conc)"))
 _register(
@@ -187,7 +191,7 @@ def _bins_sql(factors: list[float], source: str = S2, total: list[float] | None
 
 
 _ONES = [1.0] * N
-_LOG = BINS.log_widths
+_LOG = [math.log10(b / a) for a, b in zip(EDGES[:-1], EDGES[1:], strict=True)]
 _INVERSE = [1 / w for w in _LOG]
 _register("psd_base", lambda spark, d: s2(spark, d).df, _bins_sql(_ONES))
 _register("row_total", lambda spark, d: s2(spark, d).total_concentration, f"WITH {S2} SELECT ts, {_sum(COLUMNS)} AS total_conc FROM s2")
@@ -196,6 +200,8 @@ _register("normalize", lambda spark, d: _rounded(s2(spark, d).normalize().df, 6)
 _register("unnormalize_roundtrip", lambda spark, d: _rounded(s2(spark, d).normalize().normalize().unnormalize().unnormalize().df, 6), _bins_sql(_ONES))
 for _to in ("dS", "dV", "dW"):
     _register(f"convert_n_to_{_to[1].lower()}", lambda spark, d, to=_to: _rounded(s2(spark, d).convert(to).df, 2), _bins_sql(_kappa(_to), digits=2))
+for _from, _to in (("dV", "dS"), ("dV", "dW"), ("dW", "dN"), ("dW", "dV"), ("dS", "dN"), ("dS", "dV")):
+    _register(f"convert_{_from[1].lower()}_to_{_to[1].lower()}", lambda spark, d, a=_from, b=_to: _rounded(s2(spark, d).with_density(1.6).convert(a).convert(b).df, 2), _bins_sql(_kappa(_to, 1.6), digits=2))
 _register("convert_v_to_n", lambda spark, d: _rounded(s2(spark, d).convert("dV").convert("dN").df, 6), _bins_sql(_ONES))
 _register("convert_w_to_s", lambda spark, d: _rounded(s2(spark, d).convert("dW").convert("dS").df, 2), _bins_sql(_kappa("dS"), digits=2))
 _register("convert_s_to_w", lambda spark, d: _rounded(s2(spark, d).with_density(1.6).convert("dS").convert("dW").df, 4), _bins_sql(_kappa("dW", 1.6), digits=4))
@@ -223,11 +229,14 @@ _register("diffusion_laminar", lambda spark, d: _rounded(s2d(spark, d).correct_d
 _register("diffusion_turbulent", lambda spark, d: _rounded(s2d(spark, d).correct_diffusion(0.01, 2, 60).df, 6), _diffusion_sql(60))
 
 
+_PM = (("pm1", 1000), ("pm2_5", 2500), ("pm4", 4000), ("pm10", 10000))
+
+
 def _metrics_sql(source: str = S2) -> str:
     mass = _kappa("dW")
     total = _sum(COLUMNS)
     parts = [f"{total} AS pnc"]
-    parts += [f"{_sum(COLUMNS, [m * w for m, w in zip(mass, share_below(BINS, cut), strict=True)])} AS {name}" for name, cut in PM_CUTS.items()]
+    parts += [" + ".join(f"{c} * {_number(m)} * greatest(0, least(1, ({cut}::DOUBLE - {a}) / ({b} - {a})))" for c, m, a, b in zip(COLUMNS, mass, EDGES[:-1], EDGES[1:], strict=True)) + f" AS {name}" for name, cut in _PM]
     parts.append(f"{_sum(COLUMNS, mass)} AS total_mass")
     best = f"greatest({', '.join(COLUMNS)})"
     parts.append(f"CASE WHEN {total} = 0 THEN NULL " + " ".join(f"WHEN {c} = {best} THEN {_number(m)}" for c, m in zip(COLUMNS, BINS.mids, strict=True)) + " END AS mode_dp")
@@ -316,6 +325,12 @@ _register("opc_counts_to_conc", _opc, "SELECT l_orderkey, l_linenumber, CASE WHE
 _register("ops_deadtime_conc", _ops, "SELECT l_orderkey, l_linenumber, CASE WHEN 60 - l_discount * 600 = 0 THEN NULL ELSE round(l_quantity / (16.67::DOUBLE * (60 - l_discount * 600)), 9) END AS conc FROM lineitem")
 
 
+# Loading
+
+for _dialect in EXPORTS:
+    _register(f"load_{_dialect}", lambda spark, d, x=_dialect: loaded(spark, d, x), expected(_dialect))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

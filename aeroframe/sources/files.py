@@ -1,23 +1,35 @@
-"""Loading exports: preambles on the driver, rows by built-in expressions on the executors."""
+"""Loading exports: preambles on the driver, rows by built-in expressions on the executors.
+
+Files are read as lines, in splits; a line's place in its file follows from
+the lines of the splits before. Nothing but a preamble's bytes reaches the
+driver, and no file is held whole (but spreadsheets and UTF-16, which can't be
+split).
+"""
 
 from __future__ import annotations
 
+import io
 import posixpath
-from collections.abc import Sequence
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
+from datetime import date, datetime, time
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aeroframe.model import Moment
-from aeroframe.operators.series import Series1D, union
+from aeroframe.operators.series import Series1D, first_by_time, present, union
 from aeroframe.operators.sizes import Series2D
 from aeroframe.sources import sniff
 from aeroframe.sources.derive import sampled_volume
-from aeroframe.sources.dialects import Layout, layout
+from aeroframe.sources.dialects import Head, Layout, layout
 
-#: Bytes at the start and at the end of a file that the driver looks at.
-HEAD, TAIL = 1 << 18, 1 << 13
+#: Bytes at the start and at the end of a file that the driver looks at, and files that it opens at once.
+HEAD, TAIL, OPEN = 1 << 16, 1 << 13, 16
+SHEETS = (".xlsx", ".xls")
 
 
 @dataclass
@@ -54,36 +66,108 @@ def nested_files(spark: SparkSession, folder: str, search_word: str = "", max_su
     return [groups[k] for k in sorted(groups)]
 
 
-def _inspect(spark: SparkSession, paths: Sequence[str], dialect: str, skip_errors: bool = False) -> list[Export]:
-    """Read the preambles of files; only their first and last bytes reach the driver."""
-    if any(p.lower().endswith((".xlsx", ".xls")) for p in paths):
-        raise ImportError("spreadsheets need a reader that isn't installed; save the export as csv")
-    heads = spark.read.format("binaryFile").load(list(paths)).select("path", F.substring("content", 1, HEAD).alias("head"), F.expr(f"substring(content, -{TAIL}, {TAIL})").alias("tail"), "length").collect()
-    out = []
-    for row in sorted(heads, key=lambda r: r.path):
+def _ends(spark: SparkSession, path: str) -> tuple[bytes, bytes, int]:
+    """First and last bytes of a file of any store, and its length."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    length = files.getFileStatus(at).getLen()
+    stream = files.open(at)
+    try:
+        head = bytes(stream.readNBytes(HEAD))
+        stream.seek(max(0, length - TAIL))
+        return head, bytes(stream.readNBytes(TAIL)), length
+    finally:
+        stream.close()
+
+
+def sheet_lines(content: bytes) -> list[str]:
+    """Rows of a workbook's first sheet as lines with ';' between cells, dates and times as the text export has them."""
+    try:
+        import openpyxl
+    except ImportError:
+        raise ImportError("spreadsheets need openpyxl, which isn't installed; save the export as csv") from None
+
+    def shown(cell: object) -> str:
+        if isinstance(cell, datetime):
+            return cell.strftime("%d-%m-%Y" if cell.time() == time() else "%d-%m-%Y %H:%M:%S")
+        if isinstance(cell, (date, time)):
+            return cell.strftime("%d-%m-%Y" if isinstance(cell, date) else "%H:%M:%S")
+        return "" if cell is None else str(cell)
+
+    sheet = openpyxl.load_workbook(io.BytesIO(content), read_only=True, data_only=True).worksheets[0]
+    return [";".join(map(shown, row)) for row in sheet.iter_rows(values_only=True)]
+
+
+def _inspect(spark: SparkSession, paths: Sequence[str], dialect: str | Callable[[Head], Layout], skip_errors: bool = False) -> list[Export]:
+    """What the preambles of files say; a few files are open at a time, and only their layouts stay."""
+
+    def look(path: str) -> Export | ValueError:
         try:
-            text, encoding = sniff.decode(bytes(row["head"]), row["length"] <= HEAD)
-            tail = sniff.decode(b"\n" + bytes(row["tail"]).partition(b"\n")[2] if row["length"] > TAIL else bytes(row["tail"]))[0]
+            if path.lower().endswith(SHEETS):
+                content = spark.read.format("binaryFile").load(path).select("content").first()[0]
+                return Export(path, ";", "sheet", layout(dialect, "\n".join(sheet_lines(bytes(content))), ";"))
+            head, tail, length = _ends(spark, path)
+            text, encoding = sniff.decode(head, length <= HEAD)
+            tail = (b"\n" + tail.partition(b"\n")[2] if length > TAIL else tail).decode(encoding, "replace")
             sep = sniff.delimiter(tail)
-            out.append(Export(row.path, sep, encoding, layout(dialect, text, sep)))
+            return Export(path, sep, encoding, layout(dialect, text, sep))
         except ValueError as error:
-            if not skip_errors:
-                raise ValueError(f"{row.path}: {error}") from error
-    return out
+            return error
+
+    with ThreadPoolExecutor(OPEN) as pool:
+        found = list(pool.map(look, paths))
+    for path, one in zip(paths, found, strict=True):
+        if isinstance(one, ValueError) and not skip_errors:
+            raise ValueError(f"{path}: {one}") from one
+    return [one for one in found if isinstance(one, Export)]
+
+
+_STORE = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _place(path: Column, escaped: bool) -> Column:
+    """A file's path without its store, which Spark spells in several ways, and without escapes."""
+    bare = F.regexp_replace(path, _STORE, "")
+    return F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))) if escaped else bare
+
+
+def _lines(spark: SparkSession, exports: Sequence[Export]) -> DataFrame:
+    """file_seq, row_seq (a line's place in its file), n (lines of the file) and the line."""
+    encoding, paths = exports[0].encoding, [e.path for e in exports]
+    if encoding == "sheet":
+        def sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [sheet_lines(x.as_py()) for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["place", "lines"])
+
+        whole = spark.read.format("binaryFile").load(paths).select(_place(F.col("path"), False).alias("place"), "content")
+        lines = whole.mapInArrow(sheets, "place string, lines array<string>")
+        lines = lines.select("place", F.size("lines").cast("long").alias("n"), F.posexplode("lines").alias("row_seq", "line"))
+    elif encoding.startswith("UTF-16"):
+        text = F.regexp_replace(F.decode("content", encoding), "^\ufeff", "")
+        whole = spark.read.format("binaryFile").load(paths).select(_place(F.col("path"), False).alias("place"), F.split(text, "\r\n|\r|\n").alias("lines"))
+        whole = whole.withColumn("lines", F.expr("if(element_at(lines, -1) = '', slice(lines, 1, size(lines) - 1), lines)"))
+        lines = whole.select("place", F.size("lines").cast("long").alias("n"), F.posexplode("lines").alias("row_seq", "line"))
+    else:
+        read = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value").withColumn("id", F.monotonically_increasing_id())
+        blocks = read.groupBy("path", "block").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
+        own = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select("path", "block", "low", F.coalesce(F.sum("rows").over(own), F.lit(0)).alias("base"), F.sum("rows").over(Window.partitionBy("path")).alias("n"), _place(F.col("path"), True).alias("place"))
+        line = F.decode(F.col("value").cast("binary"), encoding) if encoding != "UTF-8" else F.col("value")
+        lines = read.join(blocks, ["path", "block"]).select("place", (F.col("id") - F.col("low") + F.col("base")).alias("row_seq"), "n", F.regexp_replace(line, "^\ufeff", "").alias("line"))
+    known = spark.createDataFrame([(re.sub(_STORE, "", e.path), k) for k, e in enumerate(exports)], "place string, file_seq int")
+    return lines.join(F.broadcast(known) if len(exports) <= 10_000 else known, "place").drop("place")
 
 
 def _rows(spark: SparkSession, exports: Sequence[Export]) -> DataFrame:
     """Lines of files with one layout as columns c0, c1, ..., with file_seq, row_seq, i, start and step."""
     first = exports[0]
     one = first.layout
-    scalars = spark.createDataFrame([(e.path, k, e.layout.first, e.layout.start, e.layout.step) for k, e in enumerate(exports)], "path string, file_seq int, first int, start timestamp_ntz, step double")
-    text = F.regexp_replace(F.decode("content", first.encoding), "^﻿", "")
-    lines = spark.read.format("binaryFile").load([e.path for e in exports]).select("path", F.split(text, "\r?\n").alias("lines"))
-    lines = lines.withColumn("lines", F.expr("if(element_at(lines, -1) = '', slice(lines, 1, size(lines) - 1), lines)"))
-    rows = lines.select("path", F.size("lines").alias("n"), F.posexplode("lines").alias("row_seq", "line")).join(F.broadcast(scalars) if len(exports) <= 10_000 else scalars, "path")
+    scalars = spark.createDataFrame([(k, e.layout.first, e.layout.start, e.layout.step) for k, e in enumerate(exports)], "file_seq int, first int, start timestamp_ntz, step double")
+    rows = _lines(spark, exports).join(F.broadcast(scalars) if len(exports) <= 10_000 else scalars, "file_seq")
     rows = rows.where((F.col("row_seq") >= F.col("first")) & (F.col("row_seq") < F.col("n") - one.footer) & (F.trim("line") != "")).withColumn("i", F.col("row_seq") - F.col("first"))
     schema = ", ".join(f"c{k} string" for k in range(len(one.header)))
-    return rows.withColumn("cells", F.from_csv("line", schema, {"sep": first.sep, "mode": "PERMISSIVE"})).select("path", "file_seq", "row_seq", "i", "start", "step", "cells.*")
+    return rows.withColumn("cells", F.from_csv("line", schema, {"sep": first.sep, "mode": "PERMISSIVE"})).select("file_seq", "row_seq", "i", "start", "step", "cells.*")
 
 
 def _series(rows: DataFrame, one: Layout, extra_data: bool) -> Series1D:
@@ -92,8 +176,8 @@ def _series(rows: DataFrame, one: Layout, extra_data: bool) -> Series1D:
     values = {**one.values, **{c: e for c, e in zip(one.meta.bins.columns if one.meta.bins else [], one.bins, strict=True)}}
     df = rows.select(time, *(F.expr(e).cast("double").alias(n) for n, e in values.items()), *order).where("ts is not null")
     if one.complete:
-        df = df.na.drop("any", subset=list(values))
-    extra = rows.select(time, *(F.expr(e).alias(n) for n, e in one.extra.items())).where("ts is not null") if extra_data and one.extra else None
+        df = present(df, values)
+    extra = rows.select(time, *(F.expr(e).alias(n) for n, e in one.extra.items()), *order).where("ts is not null") if extra_data and one.extra else None
     if one.meta.bins is None:
         made = Series1D(df, one.meta, "ts", list(one.values))
         made.extra_data = extra
@@ -105,41 +189,60 @@ def _series(rows: DataFrame, one: Layout, extra_data: bool) -> Series1D:
 
 
 def _finished(series: Series1D) -> Series1D:
-    return series._with(series.df.drop("file_seq", "row_seq"))
+    order = ("file_seq", "row_seq")
+    extra = series.extra_data
+    return series._with(series.df.drop(*order), extra_data=extra and first_by_time(extra, [series.ts], order).drop(*order))
+
+
+def _sampled(series: Series1D) -> Series1D:
+    """With the summary of the rows with a sample, where the export has such a flag."""
+    if "tem" not in series.values:
+        return series
+    found = sampled_volume(series.df, "ts", "tem", "flow").first()
+    if found is None or (found.samples or 0) < 2:
+        raise ValueError("fewer than two rows of a sample")
+    return series._with(series.df, meta=replace(series.meta, extra={**series.meta.extra, "tem_samples": [found.asDict()]}))
 
 
-def load(spark: SparkSession, path: str, dialect: str, extra_data: bool = False) -> Series1D:
-    """One export as a series; size distributions as plain numbers in each bin."""
+def load(spark: SparkSession, path: str, dialect: str | Callable[[Head], Layout], extra_data: bool = False) -> Series1D:
+    """One export as a series; size distributions as plain numbers in each bin.
+
+    ``dialect`` is the name of one, or a function from the first lines to a layout.
+    """
     export = _inspect(spark, [path], dialect)[0]
-    made = _finished(_series(_rows(spark, [export]), export.layout, extra_data))
-    if dialect == "partector":
-        samples = sampled_volume(made.df, "ts", "tem", "flow")
-        found = samples.first()
-        if found is None or (found.samples or 0) < 2:
-            raise ValueError(f"{path}: fewer than two rows of a sample")
-        from dataclasses import replace
-
-        made = made._with(made.df, meta=replace(made.meta, extra={**made.meta.extra, "tem_samples": [found.asDict()]}))
-    return made
+    try:
+        return _sampled(_finished(_series(_rows(spark, [export]), export.layout, extra_data)))
+    except ValueError as error:
+        raise ValueError(f"{path}: {error}") from error
 
 
-def load_folder(spark: SparkSession, folder: str, dialect: str, search_word: str = "", max_subfolder: int = 0, check: Sequence[str] = ("serial_number",), extra_data: bool = False) -> Series1D:
-    """All exports of a folder as one series: rows of the earliest file win where times meet.
+def load_folder(spark: SparkSession, folder: str, dialect: str | Callable[[Head], Layout], search_word: str = "", max_subfolder: int = 0, check: Sequence[str] = ("serial_number",), extra_data: bool = False) -> Series1D:
+    """All exports of a folder as one series by time: rows of the earliest file win where times meet.
 
     Files that can't be read are left out, as are those whose checked metadata
     differ from the first one's. Files with one layout are read by one scan.
+    Rows with a sample are summed up for each file, those of fewer than two
+    rows of a sample left out.
     """
     exports = _inspect(spark, list_files(spark, folder, search_word, max_subfolder), dialect, skip_errors=True)
-    if not exports:
-        raise ValueError(f"no file of {dialect} in {folder}")
     known = lambda e: [getattr(e.layout.meta, c) if hasattr(e.layout.meta, c) else e.layout.meta.extra.get(c) for c in check]
     exports = [e for e in exports if known(e) == known(exports[0])]
     groups: dict = {}
     for e in exports:
         one = e.layout
         groups.setdefault((e.sep, e.encoding, tuple(one.header), one.time, one.footer, tuple(one.bins), one.meta.bins, one.meta.data_type), []).append(e)
-    parts = []
+    parts, samples = [], []
     for own in groups.values():
         made = _series(_rows(spark, own), own[0].layout, extra_data)
+        if "tem" in made.values:
+            found = [r.asDict() for r in sampled_volume(made.df, "ts", "tem", "flow", by=("file_seq",)).where("samples >= 2").orderBy("file_seq").collect()]  # a row for each file
+            kept = [r.pop("file_seq") for r in found]
+            samples += found
+            if not kept:
+                continue
+            made = made._with(made.df.where(F.col("file_seq").isin(kept)))
         parts.append(_finished(made.deduplicated(["file_seq", "row_seq"])))
-    return parts[0] if len(parts) == 1 else union(parts, check=())
+    if not parts:
+        raise ValueError(f"no file of {dialect if isinstance(dialect, str) else dialect.__name__} in {folder}")
+    whole = parts[0] if len(parts) == 1 else union(parts, check=())
+    return whole._with(whole.df, meta=replace(whole.meta, extra={**whole.meta.extra, "tem_samples": samples})) if samples else whole

@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 
+#: Rows that a sheet holds below its header.
+MOST_ROWS = 1_048_575
+
 
 def save_table(df: DataFrame, path: str, mode: str = "error") -> None:
-    """By the path's ending: csv (with a header), json, or parquet for anything else."""
+    """By the path's ending: csv (with a header), json, a workbook, or parquet for anything else.
+
+    A workbook is for summaries of a few rows: it is written by the driver, to
+    a local path, and needs openpyxl.
+    """
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("xlsx", "xls"):
-        raise ImportError("spreadsheets need a writer that isn't installed; use csv or parquet")
+        try:
+            import openpyxl
+        except ImportError:
+            raise ImportError("workbooks need openpyxl, which isn't installed; use csv or parquet") from None
+        target = path.removeprefix("file://")
+        if os.path.exists(target) and mode != "overwrite":
+            raise FileExistsError(target)
+        book = openpyxl.Workbook()
+        book.active.append(df.columns)
+        for row in df.limit(MOST_ROWS).collect():
+            book.active.append(list(row))
+        book.save(target)
+        return
     writer = df.write.mode(mode)
     if kind == "csv":
         writer.option("header", True).csv(path)

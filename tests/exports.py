@@ -55,19 +55,20 @@ def fourtec():
 
 
 def grimm_soft():
-    pre = ["<Header>", "Serial Number: G12", "Location: Hall", "Unit: particles/l", *("x" for _ in range(9))]
+    pre = ["<Header>", "Device: x", "Location: Hall /l", "Mass of g/m", *("x" for _ in range(3)), "Data: particles/l", *("x" for _ in range(5))]
+    pre[7] = "Serial: G12".replace(": ", ":") + " particles/l"
     return "\n".join([*pre, "Date;0.25 µm;0.5 µm;1.0 µm", *_rows(5, lambda i: f"row 01/03/2024 10:00:0{i}.000;{1000 + i};200;30")])
 
 
 def grimm_inst():
-    return "\n".join(["File name;x Count;y", "Date;0.25-0.5;0.5-1.0;1.0-2.0", "3/1/2024;1000;200;30", *_rows(4, lambda i: f"3/1/2024 12:00:0{i + 1} AM;{1000 + i};200;30")])
+    return "\n".join(["File name;x;y Count", "Date;0.25-0.5;0.5-1.0;>32", "3/1/2024;1000;200;30", *_rows(4, lambda i: f"3/1/2024 12:00:0{i + 1} AM;{1000 + i};200;30")])
 
 
 def nanoscan():
     mids = [11.5, 15.4, 20.5, 27.4, 36.5, 48.7, 64.9, 86.6, 115.5, 154.0, 205.4, 273.8, 365.2]
     names = ["File Index", "Sample #", "Date Time", *map(str, mids), "Total Conc", "Particle Density (g/cc)"]
     row = lambda i: ",".join(["0", str(i), f"2024/03/01 10:0{i}:00", *(str(k + i) for k in range(13)), "999", "1.2"])
-    return "\n".join(["Model,3910", "Serial Number,N55", "x", "x", "dN/dlogDp data", ",".join(names), *_rows(5, row)])
+    return "\n".join(["Model,3910", "x", "Serial Number,N55", "", "x", "dN/dlogDp data", ",".join(names), *_rows(5, row)])
 
 
 def opcn3():

@@ -246,3 +246,54 @@ def test_accessors(spark):
     assert s.time.columns == ["ts"] and s.total_concentration.first()[1] == 9 and s.size_data.columns == ["ts", *BINS.columns]
     assert series(spark, [1]).data_type is None and series(spark, [1]).metadata.instrument is None and s.data is s.df
     assert Activity("a", (), "c").shifted(timedelta(1)).periods == ()
+
+
+def test_smooth_of_ties_agrees_between_reruns(spark):
+    rows = [(START + timedelta(seconds=i // 6), float(i * 37 % 11), None if i % 5 == 0 else i % 2) for i in range(600)]
+    table = spark.createDataFrame(rows, "ts timestamp_ntz, v double, who int")
+    for by in ([], ["who"]):
+        made = [sorted(map(str, Series1D.from_df(t, "ts", ["v"], by=by).smooth(5, "mean", block_rows=40).df.collect())) for t in (table, table.repartition(7, "v"))]
+        assert made[0] == made[1] and len(made[0]) == 600
+
+
+@pytest.mark.parametrize("block_rows", [10, 10_000])
+def test_smooth_by_series_against_pandas(spark, block_rows):
+    rng = np.random.default_rng(3)
+    rows = [(START + timedelta(minutes=37 * int(i)), float(rng.random()), None if i % 4 == 0 else int(i % 3)) for i in rng.permutation(300)]
+    table = spark.createDataFrame(rows, "ts timestamp_ntz, v double, who int")
+    got = {(r.ts, r.who): r.v for r in Series1D.from_df(table, "ts", ["v"], by=["who"]).smooth(4, "mean", block_rows=block_rows).df.collect()}
+    frame = pd.DataFrame(rows, columns=["ts", "v", "who"]).sort_values("ts")
+    for _, own in frame.groupby("who", dropna=False):
+        want = [own["v"].iloc[max(0, i - 2) : i + 2].mean() for i in range(len(own))]
+        assert [got[t.to_pydatetime(), None if pd.isna(w) else int(w)] for t, w in zip(own["ts"], own["who"])] == pytest.approx(want)
+
+
+def test_many_periods_across_days(spark):
+    rng = np.random.default_rng(5)
+    s = series(spark, range(3000), step=97)
+    spans = [(START + timedelta(seconds=int(a)), START + timedelta(seconds=int(a + b))) for a, b in zip(rng.integers(-9000, 290_000, 80), rng.choice([0, 5, 600, 7000, 90_000], 80, p=[0.2, 0.3, 0.3, 0.15, 0.05]))]
+    spans += [(START + timedelta(hours=14), START + timedelta(hours=14)), (START + timedelta(hours=2), START + timedelta(hours=1))]
+    got = s.mark_from("a", spark.createDataFrame(spans, "start timestamp_ntz, end timestamp_ntz")).df.collect()
+    assert len(got) == 3000
+    assert all(r.act_a == any(a <= r.ts <= b for a, b in spans) for r in got)
+
+
+@pytest.mark.parametrize("method,expected", [("first", [1.0, 5.0]), ("last", [3.0, 6.0])])
+def test_rebin_by_the_ends_follows_time(spark, method, expected):
+    s = series(spark, [None, 1, 2, 3, None, 5, 6], step=15)
+    for n in (1, 5):
+        made = s._with(s.df.repartition(n, "total_conc")).rebin("1min", method)
+        assert [r.total_conc for r in made.df.orderBy("ts").collect()] == [1.0 if method == "first" else 3.0, expected[1]]
+
+
+def test_heat_map_of_nothing(spark):
+    s = sizes(spark, [[1, 2, 3, 4]])
+    empty = s._with(s.df.limit(0))
+    cells, scale = empty.heatmap(low=1)
+    assert cells.count() == 0 and scale == (1.0, None)
+    assert empty.heatmap()[1] == (None, None)
+
+
+def test_united_series_are_in_order_of_time(spark):
+    parts = [series(spark, [5, 6], start=START + timedelta(hours=1)), series(spark, [1, 2])]
+    assert [r.total_conc for r in union(parts).df.collect()] == [1, 2, 5, 6]

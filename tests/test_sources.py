@@ -68,7 +68,7 @@ def test_values_of_some_dialects(spark, write):
     o = load(spark, write(exports.opcn3()), "opcn3")
     assert o.df.orderBy("ts").first().bin_003 == pytest.approx(3 / (2 * 5))
     g = load(spark, write(exports.grimm_soft()), "grimm")
-    assert g.df.orderBy("ts").first().bin_001 == pytest.approx(0.2) and g.meta.extra["location"] == "Hall"
+    assert g.df.orderBy("ts").first().bin_001 == pytest.approx(0.2)
 
 
 def test_direct_counts_use_the_first_sixteen_bins(spark, write):  # T5, T6
@@ -113,7 +113,7 @@ def test_errors(spark, write):
     with pytest.raises(ValueError, match="no delimiter"):
         load(spark, write("abc\n" * 5), "ops")
     with pytest.raises(ImportError):
-        load(spark, "file:///none.xlsx", "fourtec")
+        load(spark, write("x", "none.xlsx"), "fourtec")
     with pytest.raises(ValueError, match="unknown dialect"):
         load(spark, write("a,b\n1,2\n3,4\n5,6"), "abacus")
 
@@ -138,6 +138,78 @@ def test_folder(spark, tmp_path, write):  # T12, T13, J4
         list_files(spark, f"file://{tmp_path}/none")
 
 
+def test_folder_is_in_order_of_time(spark, tmp_path, write):
+    write(exports.ops_direct("12:00:00"), "a 100%.csv")
+    write(exports.ops_direct("10:00:00"), "b.csv", encoding="utf-16")
+    write(exports.ops_direct("11:00:00").replace("note 9,x", "note 9,ä"), "c.csv", encoding="latin-1")
+    s = load_folder(spark, f"file://{tmp_path}", "ops", extra_data=True)
+    times = [r.ts for r in s.df.collect()]
+    assert times == sorted(times) and len(times) == 15
+    assert s.extra_data.count() == 15 and not {"file_seq", "row_seq"} & {*s.extra_data.columns, *s.df.columns}
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_places_of_lines_in_split_files(spark, write, end):
+    """Small splits: the places of lines, the footer and times by place come out the same."""
+    text = exports.cpc_focused()
+    body = [f"t{i},{i},0,0" for i in range(3000)]
+    lines = text.split("\n")
+    path = write(end.join([*lines[:15], *body, *lines[-3:]]), "long.txt")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = load(spark, path, "cpc").df.orderBy("ts").collect()
+        assert spark.read.text(path).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.total_conc for r in got] == list(range(3000))
+    assert all((r.ts - got[0].ts).total_seconds() == i for i, r in enumerate(got))
+
+
+def test_own_loader(spark, write):
+    from aeroframe.model import SeriesMeta
+    from aeroframe.sources.dialects import Layout
+
+    def mine(head):
+        return Layout(head.cells(0), 1, "try_to_timestamp(c0, 'yyyy-MM-dd')", SeriesMeta("Mine", head.cells(0)[1]), {"total_conc": "try_cast(c1 as double)"})
+
+    path = write("day,S1\n2024-01-02,2\n2024-01-01,1\n2024-01-03,3\n")
+    assert load(spark, path, mine).serial_number == "S1"
+    assert [r.total_conc for r in load_folder(spark, path.rsplit("/", 1)[0], mine).df.collect()] == [1, 2, 3]
+
+
+def test_samples_of_a_folder(spark, tmp_path, write):
+    write(exports.partector(), "a.txt")
+    write(exports.partector(False), "b.txt")
+    write(exports.partector().replace("01.03.2024", "02.03.2024"), "c.txt")
+    s = load_folder(spark, f"file://{tmp_path}", "partector")
+    assert s.df.count() == 16 and [x["sample_vol_ml"] for x in s.meta.extra["tem_samples"]] == pytest.approx([1500, 1500])
+
+
+def test_units_are_read_at_their_places(spark, write):
+    g = load(spark, write(exports.grimm_soft()), "grimm")  # other lines say g/m and /l, too
+    assert g.serial_number == "G12 particles/l" and g.meta.extra["location"] == "Hall /l"
+    assert load(spark, write(exports.grimm_inst(), "b.txt"), "grimm").bin_edges[-2:] == (32_000.0, 34_000.0)
+    mass = load(spark, write(exports.grimm_soft().replace(" particles/l", " µg/m3"), "c.txt"), "grimm").df.orderBy("ts").first()
+    assert mass.bin_000 == pytest.approx(1000 / (math.pi / 6 * (375 / 1e7) ** 3 * 1e12))
+
+
+def test_workbooks(spark, tmp_path, monkeypatch):
+    """With a reader (a stand-in for openpyxl here) a workbook is read like its text."""
+    import datetime as dt
+    import sys
+    import types
+
+    cells = [[f"h{k}" for k in range(5)] for _ in range(8)] + [["Date", "Time", "Temp", "Dew", "RH"]] + [[dt.datetime(2024, 3, 1), dt.time(10, 0, i), 20.5 + i, 9, 40 + i] for i in range(4)]
+    cells[2][2] = "F99"
+    book = types.SimpleNamespace(worksheets=[types.SimpleNamespace(iter_rows=lambda values_only: iter(cells))])
+    monkeypatch.setitem(sys.modules, "openpyxl", types.SimpleNamespace(load_workbook=lambda *a, **k: book))
+    from aeroframe.sources.dialects import layout
+    from aeroframe.sources.files import sheet_lines
+
+    lines = sheet_lines(b"")
+    assert lines[9] == "01-03-2024;10:00:00;20.5;9;40" and layout("fourtec", "\n".join(lines), ";").meta.serial_number == "F99"
+
+
 def test_sniff():  # T14
     assert sniff.decode("ä,b".encode())[1] == "UTF-8"
     assert sniff.decode("ä,b".encode("latin-1")) == ("ä,b", "ISO-8859-1")
