@@ -1,13 +1,16 @@
 """Operator 7: near-duplicate embeddings by a forest of random-projection trees.
 
-Equal vectors of a label form one class first. Trees are fitted on a sample of
-at most ``SAMPLE`` classes; each node splits along a random direction where few
-vectors lie near the cut, and vectors within ``spill`` of the cut go to both
-sides. Every class is indexed in every tree. Classes of one label that share a
-leaf are compared exactly (cosine in double precision); a pair is counted in
-the first leaf that it shares, so counts need no list of pairs. Leaves that
-stay large are compared tile by tile in separate tasks, without dropping any.
-A task returns numbers of links and a spanning forest, which are then united.
+Equal vectors of a label form one class first. Trees begin with a fit on a
+sample of at most about ``SAMPLE`` classes; each node splits along a random
+direction where few vectors lie near the cut, and vectors within ``spill`` of
+the cut go to both sides. Leaves that are still too large for one label are
+then split again and again by cuts from quantiles of all their own vectors,
+until they are small or no cut takes them apart (a knot). Every class is
+indexed in every tree. Classes of one label that share a leaf are compared
+exactly (cosine in double precision); a pair is counted in the first leaf that
+it shares, so counts need no list of pairs. Knots are compared tile by tile in
+separate tasks, without dropping any. A task returns numbers of links and a
+spanning forest, which are then united.
 
 Vectors that are null, empty, zero, or hold a null or non-finite component, and
 those with a null label, link with nothing. Vectors of different length differ.
@@ -35,6 +38,10 @@ SAMPLE = 1 << 15
 LEAST = 32
 #: Members of one label that a leaf is cut down to, and members of a tile.
 LEAF, TILE = 512, 2048
+#: Directions that a large leaf may be split along in one round, and rounds without a cut after which it is a knot.
+TRIES, PATIENCE = 3, 2
+#: Share of a node's vectors near a cut from which the cut isn't made: more copies would cost more than fewer comparisons save.
+KNOT = 0.4
 _NULL = -(1 << 63)
 
 
@@ -62,7 +69,7 @@ def fit_tree(points: np.ndarray, least: int, spill: float, rng: np.random.Genera
                 near = (np.searchsorted(value, spot + spill, "right") - np.searchsorted(value, spot - spill)) / len(value)
                 score = near + np.abs(at / len(value) - 0.5)
                 k = int(score.argmin())
-                if near[k] < 0.6 and (best is None or score[k] < best[0]):
+                if near[k] < KNOT and (best is None or score[k] < best[0]):
                     best = (score[k], d, spot[k])
         if best is None:  # small enough, or a knot that no cut takes apart
             name, leaves = ~leaves, leaves + 1
@@ -95,6 +102,78 @@ def leaves_of(tree: Tree, points: np.ndarray, spill: float) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(found)
 
 
+def best_cut(quantiles: np.ndarray, chances: np.ndarray, spill: float) -> tuple[float, float] | None:
+    """Score and place of the best cut by a leaf's quantiles along a direction; None if each cut leaves most on both sides."""
+    inner = np.flatnonzero((chances >= 0.1) & (chances <= 0.9))
+    spot = quantiles[inner]
+    near = np.interp(spot + spill, quantiles, chances, right=1.0) - np.interp(spot - spill, quantiles, chances, left=0.0)
+    score = near + np.abs(chances[inner] - 0.5)
+    k = int(score.argmin())
+    return (float(score[k]), float(spot[k])) if near[k] < KNOT else None
+
+
+def split_large(scratch: Scratch, classes: DataFrame, members: DataFrame, trees: int, spill: float, seed: int) -> DataFrame:
+    """``members`` (key, label, size, tree, leaf) with every leaf that is too large for a label split until it isn't, or is a knot.
+
+    A round projects the vectors of large leaves on a few directions of each
+    tree, takes the leaves' quantiles (mergeable, so a leaf isn't gathered), and
+    puts each vector into the children. Children are named by a hash; equal names would
+    only join two leaves.
+    """
+    chances = np.concatenate([[0.0], np.linspace(0.02, 0.98, 49), [1.0]])
+    knots, turn = None, 0
+    while True:
+        turn += 1
+        large = members.groupBy("label", "size", "leaf").count().where(F.col("count") > 2 * LEAF).select("size", "leaf").distinct()
+        if knots is not None:
+            large = large.join(knots, "leaf", "left").where(F.coalesce("failed", F.lit(0)) < PATIENCE)
+        else:
+            large = large.withColumn("failed", F.lit(0))
+        large = scratch.save(large.select("size", "leaf", F.coalesce("failed", F.lit(0)).alias("failed")), f"large-{turn}")
+        if large.isEmpty():
+            return members
+        rng_of = lambda size, turn=turn: np.random.default_rng([seed, size, turn])
+
+        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = batch.column("size").to_numpy()
+                values = np.zeros((batch.num_rows, TRIES * trees))
+                for size in np.unique(sizes).tolist():
+                    d = rng_of(size).standard_normal((size, TRIES * trees))
+                    where = np.flatnonzero(sizes == size)
+                    values[where] = _unit(batch.column("vector").take(pa.array(where))) @ (d / np.linalg.norm(d, axis=0))
+                edges = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (TRIES * trees))
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(edges, pa.array(values.ravel()))], ["key", "projections"])
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: dict[str, list] = {"leaf": [], "failed": [], "way": [], "cut": []}
+                for row in batch.to_pylist():
+                    found = [(*c, i) for i in range(TRIES) if (c := best_cut(np.array(row[f"q{i}"]), chances, spill))]
+                    _, cut, way = min(found, default=(0.0, 0.0, -1))
+                    for name, value in zip(out, (row["leaf"], row["failed"] + (way < 0), way, cut), strict=True):
+                        out[name].append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out["leaf"], pa.int64()), pa.array(out["failed"], pa.int32()), pa.array(out["way"], pa.int32()), pa.array(out["cut"], pa.float64())], list(out))
+
+        inside = members.join(large, ["size", "leaf"])
+        projected = classes.join(inside.select("key").distinct(), "key", "left_semi").select("key", "size", "vector").mapInArrow(project, "key long, projections array<double>")
+        own = [F.get("projections", F.col("tree") * TRIES + i).alias(f"p{i}") for i in range(TRIES)]
+        inside = scratch.save(inside.join(projected, "key").select(*inside.columns, *own), f"inside-{turn}")
+        quantiles = [F.percentile_approx(f"p{i}", chances.tolist(), 1000).alias(f"q{i}") for i in range(TRIES)]
+        cuts = inside.groupBy("leaf", "failed").agg(*quantiles).mapInArrow(choose, "leaf long, failed int, way int, cut double")
+        cuts = scratch.save(cuts, f"cuts-{turn}")
+        value = F.get(F.array(*(F.col(f"p{i}") for i in range(TRIES))), F.col("way")) - F.col("cut")
+        child = lambda side: F.xxhash64("leaf", F.lit(side), F.lit(turn))
+        below = F.when((F.col("way") < 0), F.col("leaf")).when(F.col("value") <= spill, child(0))
+        above = F.when((F.col("way") >= 0) & (F.col("value") >= -spill), child(1))
+        moved = inside.join(cuts.select("leaf", "way", "cut"), "leaf").withColumn("value", value)
+        moved = moved.select("key", "label", "size", "tree", F.explode(F.array_compact(F.array(below, above))).alias("leaf"))
+        rest = members.join(large.select("size", "leaf"), ["size", "leaf"], "left_anti").select("key", "label", "size", "tree", "leaf")
+        members = scratch.save(rest.unionByName(moved), f"members-{turn}")
+        failed = cuts.where("way < 0").select("leaf", "failed")
+        knots = scratch.save(failed if knots is None else knots.join(failed.select("leaf"), "leaf", "left_anti").unionByName(failed), f"knots-{turn}")
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     values = values / np.abs(values).max(axis=1, keepdims=True)
@@ -143,16 +222,17 @@ def compare(x: pa.Table, y: pa.Table | None, leaf: int, least: float) -> dict[st
     return {"node": np.concatenate([o[0] for o in out]), "links": np.concatenate([o[1] for o in out]).astype(np.int64), "root": np.concatenate([o[2] for o in out])}
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = 4, spill: float = 0.03, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = 6, spill: float = 0.03, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neardup")
-    v = F.col(vector_col).cast("array<double>")
+    kind = "float" if vectors.select(vector_col).dtypes[0][1] == "array<float>" else "double"
+    v = F.col(vector_col).cast(f"array<{kind}>")
     good = F.col(label_col).isNotNull() & F.coalesce(F.size(v) > 0, F.lit(False)) & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("vector"), F.coalesce(good, F.lit(False)).alias("good"))
     rows = rows.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.hash("vector"))
     classes = rows.where("good").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
-    classes = scratch.save(classes.withColumn("size", F.size("vector")), "classes")
+    classes = scratch.save(classes.withColumns({"size": F.size("vector"), "key": F.monotonically_increasing_id()}), "classes")
 
     counts = classes.groupBy("label", "size").count().groupBy("size").agg(F.max("count").alias("most"), F.sum("count").alias("n")).collect()  # a row for each length
     forest: dict[int, list[Tree]] = {}
@@ -177,20 +257,27 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = 4, spi
         for batch in batches:
             sizes = batch.column("size").to_numpy()
             lists: list = [None] * batch.num_rows
+            kinds: list = [None] * batch.num_rows
             for size in np.unique(sizes).tolist():
                 where = np.flatnonzero(sizes == size)
                 points = _unit(batch.column("vector").take(pa.array(where)))
                 found = [leaves_of(t, points, spill) for t in forest[size]]
                 row = np.concatenate([f[0] for f in found])
                 leaf = np.concatenate([f[1] + s for f, s in zip(found, starts[size], strict=True)])
-                order = np.lexsort((leaf, row))
-                for k, own in zip(where.tolist(), np.split(leaf[order], np.cumsum(np.bincount(row, minlength=len(where)))[:-1]), strict=True):
-                    lists[k] = own
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), batch.column("weight"), batch.column("vector"), pa.array(lists, pa.list_(pa.int64()))], ["node", "label", "weight", "vector", "leaves"])
+                tree = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                order = np.argsort(row, kind="stable")
+                stops = np.cumsum(np.bincount(row, minlength=len(where)))[:-1]
+                for k, own, of in zip(where.tolist(), np.split(leaf[order], stops), np.split(tree[order], stops), strict=True):
+                    lists[k], kinds[k] = own, of
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), batch.column("size"), pa.array(kinds, pa.list_(pa.int32())), pa.array(lists, pa.list_(pa.int64()))], ["key", "label", "size", "tree", "leaf"])
 
-    indexed = scratch.save(classes.select("node", "label", "weight", "vector", "size").mapInArrow(index, "node long, label string, weight long, vector array<double>, leaves array<long>"), "indexed")
+    first = classes.select("key", "label", "size", "vector").mapInArrow(index, "key long, label string, size int, tree array<int>, leaf array<long>")
+    members = scratch.save(first.select("key", "label", "size", F.inline(F.arrays_zip("tree", "leaf"))), "members-0")
+    members = split_large(scratch, classes, members, trees, spill, seed)
+    lists = members.groupBy("key").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # a few for each tree
+    indexed = scratch.save(classes.select("key", "node", "label", "weight", "vector").join(lists, "key").drop("key"), "indexed")
     placed = indexed.withColumn("leaf", F.explode("leaves"))
-    large = scratch.save(indexed.select("label", F.explode("leaves").alias("leaf")).groupBy("label", "leaf").count().where(F.col("count") > TILE).select("label", "leaf", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "large")
+    large = scratch.save(members.groupBy("label", "leaf").count().where(F.col("count") > TILE).select("label", "leaf", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "tiled")
     if large.isEmpty():
         tiled = placed.withColumn("tile", F.lit(0)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     else:

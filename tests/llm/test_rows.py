@@ -145,6 +145,31 @@ def test_forest_finds_what_it_splits(spark, monkeypatch):
     assert all(got[i] <= truth[i] for i in truth) and sum(got.values()) >= 0.9 * sum(truth.values()) > 100
 
 
+def test_large_leaves_are_split_again(spark, monkeypatch):
+    """A sample far too small for the vectors: leaves stay small, recall high, and a knot is compared whole."""
+    monkeypatch.setattr(neardup, "LEAF", 50)
+    monkeypatch.setattr(neardup, "TILE", 60)
+    monkeypatch.setattr(neardup, "SAMPLE", 200)
+    monkeypatch.setattr(neardup, "LEAST", 100)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((300, 32))
+    rows = [(i, [float(x) for x in centres[i % 300] + 0.2 * rng.standard_normal(32)], 0) for i in range(1500)]
+    rows += [(5000 + i, [float(x) for x in centres[7] + 0.01 * rng.standard_normal(32)], 0) for i in range(150)] + [(5000, rows[3][1], 0)] * 2
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    truth = brute_vectors(rows)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_duplicates(table).collect())
+    assert [g[0] for g in got] == [t[0] for t in truth]
+    assert all(g[1] <= t[1] for g, t in zip(got, truth)) and sum(g[1] for g in got) >= 0.99 * sum(t[1] for t in truth)
+
+    seen = []
+    split = neardup.split_large
+    monkeypatch.setattr(neardup, "split_large", lambda *a: seen.append(split(*a)) or seen[-1])
+    for n in (400, 1600):
+        near_duplicates(table.where(F.col("vec_id") < n)).count()
+    most = [m.groupBy("leaf").count().agg(F.max("count")).first()[0] for m in seen]
+    assert max(most) <= 2 * neardup.LEAF and seen[1].count() < 8 * seen[0].count()
+
+
 DATA = os.environ.get("AEROFRAME_DATA", "/root/testdata/sf0.001")
 
 
