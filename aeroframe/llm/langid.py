@@ -7,10 +7,12 @@ sampled documents of each language; a Nystroem map from them and one-versus-rest
 kernel ridge regression give a weight for each n-gram, so a batch of texts is
 scored by one product of its presence matrix with the weights.
 
-Fitting uses a bounded sample of labelled rows: about ``TRAIN`` in all, and
-``LANDMARKS`` landmarks, taken alike from every language by a hash of the id.
-All else covers every row and the whole text. The sums that training needs are
-made on the executors; the driver gets matrices of LANDMARKS x LANDMARKS.
+Fitting uses a bounded sample of labelled rows: at most ``TRAIN`` different
+texts in all, and ``LANDMARKS`` landmarks among those of at most ``LONGEST``
+bytes, taken alike from every language by the smallest hashes of id and text;
+rows that agree in both count once. All else covers every row and the whole
+text. The sums that training needs are made on the executors; the driver gets
+matrices of LANDMARKS x LANDMARKS and the landmarks' n-grams.
 
 Null texts and texts without a letter are ``und`` with score 0; so is every
 text where there is no labelled row to learn from. Very long texts are read
@@ -25,19 +27,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from aeroframe.llm.storage import small_batches
 from aeroframe.llm.textbytes import LOWER, blocks, text_bytes
 
-#: Labelled rows learned from, and landmarks: expected numbers.
-TRAIN, LANDMARKS = 3000, 128
+#: Labelled rows learned from, and landmarks, at most (and one more for a language); bytes of a landmark, at most.
+TRAIN, LANDMARKS, LONGEST = 3000, 128, 1 << 14
 GRAMS = 4
 RIDGE = 1e-3
-_SLOT_BITS = 22
-_SALT = np.uint64(0x9E3779B97F4A7C15)
+_SLOT_BITS = (22, 18)  # of the first table of slots, and of those for what it can't place
+_SALT = 0x9E3779B97F4A7C15
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -52,19 +54,37 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield where, code[where] | np.uint64((k + 1) << 40)
 
 
-def _slot(codes: np.ndarray) -> np.ndarray:
-    return (codes * _SALT) >> np.uint64(64 - _SLOT_BITS)
+def _slot(codes: np.ndarray, level: int = 0) -> np.ndarray:
+    salt = (_SALT + 2 * level * 0x9FB21C651E98DF25) & (1 << 64) - 1  # odd
+    return (codes * np.uint64(salt)) >> np.uint64(64 - _SLOT_BITS[min(level, 1)])
 
 
 class Vocabulary:
-    """N-grams with a number each; those whose slot is taken by a lower one are left out."""
+    """N-grams with a number each, from 1, found by tables of slots; those whose slot is taken go to the next table."""
 
     def __init__(self, codes: np.ndarray):
-        codes = np.unique(codes)
-        _, first = np.unique(_slot(codes), return_index=True)
-        self.codes = np.concatenate([np.zeros(1, np.uint64), codes[np.sort(first)]])
-        self.slots = np.zeros(1 << _SLOT_BITS, np.int32)
-        self.slots[_slot(self.codes[1:])] = np.arange(1, len(self.codes), dtype=np.int32)
+        self.codes = np.concatenate([np.zeros(1, np.uint64), np.unique(codes)])
+        self.levels = []
+        left = np.arange(1, len(self.codes), dtype=np.int32)
+        while len(left) or not self.levels:
+            level = len(self.levels)
+            table = np.zeros(1 << _SLOT_BITS[min(level, 1)], np.int32)
+            slot = _slot(self.codes[left], level)
+            table[slot[::-1]] = left[::-1]
+            left = left[table[slot] != left]
+            self.levels.append(table)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Number of each n-gram, 0 for those not here."""
+        entry = self.levels[0][_slot(codes)]
+        wrong = np.flatnonzero(self.codes[entry] != codes)
+        if len(self.levels) > 1:
+            wrong = wrong[entry[wrong] != 0]  # an empty slot has sent nothing on
+        for level, table in enumerate(self.levels[1:], 1):
+            entry[wrong] = table[_slot(codes[wrong], level)]
+            wrong = wrong[self.codes[entry[wrong]] != codes[wrong]]
+        entry[wrong] = 0
+        return entry
 
     def presence(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
         """Documents x n-grams, 1 where the document has it; column 0 is for none.
@@ -77,8 +97,7 @@ class Vocabulary:
         data = LOWER[data]
         base = np.repeat(np.arange(docs) * len(self.codes), np.diff(offsets))
         for where, codes in _codes(data, offsets):
-            entry = self.slots[_slot(codes)]
-            entry[self.codes[entry] != codes] = 0
+            entry = self.find(codes)
             flat[base[where] + entry] = 1
             if known is not None:
                 until = np.zeros(len(data) + 1, np.int64)
@@ -128,19 +147,22 @@ def _letters(text: Column) -> Column:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from rows with a language; None where there are none."""
     small_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.pmod(F.xxhash64(id_col, F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)).alias("draw"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit("langid")).alias("draw"))
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())  # a row for each language
+    if not languages:
         return None
-    languages = sorted(counts)
     number = {x: i for i, x in enumerate(languages)}
+    rows = rows.where(_letters(F.col("text"))).select("text", "lang", "draw")
 
-    def up_to(most: int) -> Column:
-        """Below the draw that about ``most`` rows in all, alike from every language, have."""
-        chance = F.lit(0.0)
-        for x in languages:
-            chance = F.when(F.col("lang") == x, F.lit(most / len(languages) / counts[x])).otherwise(chance)
-        return F.col("draw") < chance
+    def drawn(rows: DataFrame, most: int) -> DataFrame:
+        """About ``most`` different rows in all, alike from every language: those of the smallest draws."""
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+        own = -(-most // len(languages))
+        last = rows.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= own).groupBy("lang").agg(F.max("draw").alias("draw")).collect()
+        chosen = F.lit(False)
+        for r in last:
+            chosen |= (F.col("lang") == r.lang) & (F.col("draw") <= r.draw)
+        return rows.where(chosen).groupBy("lang", "draw").agg(F.first("text").alias("text")).select("text", "lang")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,16 +171,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 own = [np.unique(codes) for _, codes in _codes(LOWER[data[i:j]], np.array([0, j - i]))] if j > i else []
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(own).tobytes() if own else b""], pa.binary())], ["codes"])
 
-    rows = rows.where(_letters(F.col("text"))).select("text", "lang", "draw")
-    sets = [np.frombuffer(r.codes, np.uint64) for r in rows.where(up_to(LANDMARKS)).select("text").mapInArrow(grams, "codes binary").collect()]  # LANDMARKS rows, about
+    short = rows.where(F.octet_length("text") <= LONGEST)
+    sets = [np.frombuffer(r.codes, np.uint64) for r in drawn(short, LANDMARKS).select("text").mapInArrow(grams, "codes binary").collect()]  # LANDMARKS rows of LONGEST bytes
     if not sets:
         return None
     vocabulary = Vocabulary(np.concatenate(sets))
     marks = np.zeros((len(sets), len(vocabulary.codes)), np.float32)
     for k, own in enumerate(sets):
-        entry = vocabulary.slots[_slot(own)]
-        entry[vocabulary.codes[entry] != own] = 0
-        marks[k, entry] = 1
+        marks[k, vocabulary.find(own)] = 1
     marks[:, 0] = 0
     marks /= np.sqrt(np.maximum(1, marks.sum(axis=1)))[:, None]
     shared = labelled.sparkSession.sparkContext.broadcast((vocabulary.codes, marks))  # bounded by the landmarks
@@ -185,7 +205,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     m = len(marks)
     inner, outer, n = np.zeros((m, m)), np.zeros((m, len(languages) + 1)), 0
-    learned = rows.where(up_to(TRAIN)).select("text", "lang").coalesce(16).mapInArrow(sums, "inner binary, outer binary, n long")
+    learned = drawn(rows, TRAIN).coalesce(16).mapInArrow(sums, "inner binary, outer binary, n long")
     for r in learned.collect():  # 16 rows at most
         inner += np.frombuffer(r.inner).reshape(m, m)
         outer += np.frombuffer(r.outer).reshape(m, -1)
@@ -198,7 +218,6 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(languages, vocabulary, (marks.T @ (root @ ridge)).astype(np.float32))
 
 
-
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", added: tuple[str, str] = ("lang_pred", "score"), keep: tuple[str, ...] = (), share: str | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` with the predicted language and its score.
 
