@@ -15,7 +15,9 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeroframe.llm.storage import Scratch
@@ -25,11 +27,14 @@ SUMS = 1 << 16
 #: Rows numbered in one window, about.
 SLOT_ROWS = 4096
 _LOWEST = -(1 << 62)
+DIMS = ("doc", "size", "source", "lang")
 
 
-def _by_node(values: list[int]) -> Column:
-    """A constant for each node."""
-    return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), F.col("node") + 1)
+def _with_nodes(rows: DataFrame, nodes: list[dict], **columns: Callable[[dict], int]) -> DataFrame:
+    """Rows with figures of their node; a row for each node is broadcast, so plans don't grow with the nodes."""
+    table = [(i, *(int(f(n)) for f in columns.values())) for i, n in enumerate(nodes)]
+    schema = "node int, " + ", ".join(f"{c} long" for c in columns)
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, schema)), "node")
 
 
 def _cuts(rows: DataFrame, nodes: list[dict], tolerance: float) -> None:
@@ -40,18 +45,19 @@ def _cuts(rows: DataFrame, nodes: list[dict], tolerance: float) -> None:
     while pending:
         size = max(16, SUMS // len(pending))
         for n in nodes:
-            n["step"] = max(1, -(-(n["hi"] - n["lo"] + 1) // size)) if n in pending else 1
-        at = lambda name, other=0: _by_node([n[name] if n in pending and n.get(name) is not None else other for n in nodes])
-        value = F.element_at(F.array("doc", "size", "source", "lang"), _by_node([n.get("dim", 0) + 1 for n in nodes]).cast("int"))
-        tied = _by_node([int(n in pending and n["tie"] is not None) for n in nodes])
-        key = F.when(tied == 1, F.col("row")).otherwise(value)
-        inside = (at("open", 0) == 1) & ((tied == 0) | (value == at("tie"))) & (key >= at("lo")) & (key <= at("hi"))
-        sums = rows.where(inside).select("node", F.col("size").alias("bytes"), F.call_function("div", key - at("lo"), at("step", 1)).alias("bucket"))
+            n["step"] = max(1, -(-(n["hi"] - n["lo"] + 1) // size)) if not n.get("done") and n["shards"] > 1 else 1
+        waiting = {id(n) for n in pending}
+        now = lambda name: lambda n: n[name] if id(n) in waiting and n.get(name) is not None else 0
+        placed = _with_nodes(rows, nodes, at_open=lambda n: int(id(n) in waiting), at_tied=lambda n: int(id(n) in waiting and n["tie"] is not None), at_tie=now("tie"), at_lo=now("lo"), at_hi=now("hi"), at_step=lambda n: n["step"], at_dim=lambda n: n.get("dim", 0) + 1)
+        value = F.element_at(F.array(*DIMS), F.col("at_dim").cast("int"))
+        key = F.when(F.col("at_tied") == 1, F.col("row")).otherwise(value)
+        inside = (F.col("at_open") == 1) & ((F.col("at_tied") == 0) | (value == F.col("at_tie"))) & key.between(F.col("at_lo"), F.col("at_hi"))
+        sums = placed.where(inside).select("node", F.col("size").alias("bytes"), F.call_function("div", key - F.col("at_lo"), F.col("at_step")).alias("bucket"))
         found: dict[int, list] = {}
         for r in sums.groupBy("node", "bucket").agg(F.sum("bytes").alias("bytes")).collect():
             found.setdefault(r.node, []).append((r.bucket, r.bytes))
         for i, n in enumerate(nodes):
-            if n not in pending:
+            if id(n) not in waiting:
                 continue
             for bucket, weight in sorted(found.get(i, [])):
                 low = n["lo"] + bucket * n["step"]
@@ -93,23 +99,21 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
     whole = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("row").alias("row")).first()
     if shards is None:
         shards = max(1, -(-(whole.bytes or 0) // target_bytes))
-    dims = ("doc", "size", "source", "lang")
     nodes = [{"first": 0, "shards": shards}]
     spans = None
     level = 0
     while whole.n and any(n["shards"] > 1 for n in nodes):
-        stats = {r.node: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *(f(d).alias(f"{d}_{f.__name__}") for d in dims for f in (F.min, F.max))).collect()}
+        stats = {r.node: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *(f(d).alias(f"{d}_{f.__name__}") for d in DIMS for f in (F.min, F.max))).collect()}
         if spans is None:
-            spans = {d: max(1, stats[0][f"{d}_max"] - stats[0][f"{d}_min"]) for d in dims}
+            spans = {d: max(1, stats[0][f"{d}_max"] - stats[0][f"{d}_min"]) for d in DIMS}
         for i, n in enumerate(nodes):
             s = stats.get(i)
             n["open"] = int(n["shards"] > 1)
-            wide = max(range(4), key=lambda k: (s[f"{dims[k]}_max"] - s[f"{dims[k]}_min"]) / spans[dims[k]] if s else 0)
-            n |= {"dim": wide, "lo": s[f"{dims[wide]}_min"] if s else 0, "hi": s[f"{dims[wide]}_max"] if s else 0, "need": (s.bytes if s else 0) * (n["shards"] // 2) / n["shards"], "rows": whole.row}
+            wide = max(range(4), key=lambda k: (s[f"{DIMS[k]}_max"] - s[f"{DIMS[k]}_min"]) / spans[DIMS[k]] if s else 0)
+            n |= {"dim": wide, "lo": s[f"{DIMS[wide]}_min"] if s else 0, "hi": s[f"{DIMS[wide]}_max"] if s else 0, "need": (s.bytes if s else 0) * (n["shards"] // 2) / n["shards"], "rows": whole.row}
         _cuts(rows, nodes, whole.bytes / shards / 10_000)
-        value = F.element_at(F.array(*dims), _by_node([n["dim"] + 1 for n in nodes]).cast("int"))
-        cut, cut_row = (_by_node([n.get(k) if n["shards"] > 1 else 0 for n in nodes]) for k in ("cut", "cut_row"))
-        right = (value > cut) | ((value == cut) & (F.col("row") > cut_row))
+        value = F.element_at(F.array(*DIMS), F.col("at_dim").cast("int"))
+        right = (value > F.col("at_cut")) | ((value == F.col("at_cut")) & (F.col("row") > F.col("at_cut_row")))
         after, left, other = [], [], []
         for n in nodes:
             left.append(len(after))
@@ -121,10 +125,13 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
                 after += [{"first": n["first"], "shards": half}, {"first": n["first"] + half, "shards": n["shards"] - half}]
                 other.append(left[-1] + 1)
         level += 1
-        rows = scratch.save(rows.withColumn("node", F.when(right, _by_node(other)).otherwise(_by_node(left)).cast("int")), f"level-{level}")
+        ways = dict(enumerate(zip(left, other, strict=True)))
+        place = {id(n): i for i, n in enumerate(nodes)}
+        placed = _with_nodes(rows, nodes, at_dim=lambda n: n["dim"] + 1, at_cut=lambda n: n["cut"] if n["shards"] > 1 else 0, at_cut_row=lambda n: n["cut_row"] if n["shards"] > 1 else 0, at_left=lambda n: ways[place[id(n)]][0], at_right=lambda n: ways[place[id(n)]][1])
+        rows = scratch.save(placed.withColumn("node", F.when(right, F.col("at_right")).otherwise(F.col("at_left")).cast("int")).select(*rows.columns), f"level-{level}")
         scratch.drop(f"level-{level - 1}")
         nodes = after
-    rows = rows.select("doc_id", "size", "text_crc32", "row", _by_node([n["first"] for n in nodes]).cast("int").alias("shard"))
+    rows = _with_nodes(rows, nodes, at_first=lambda n: n["first"]).select("doc_id", "size", "text_crc32", "row", F.col("at_first").cast("int").alias("shard"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(max(1, whole.n // (shards * SLOT_ROWS)))))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     base = counts.select("shard", "part", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
