@@ -4,10 +4,11 @@ Every document is encoded once, its end id appended, and cut into whole
 sequences and one remainder. The pieces are dealt into randomised groups of a
 bounded expected size; in each group first-fit decreasing places them, finding
 the first bin with room by a tournament tree of the bins' free capacities. Only
-the pieces' numbers are shuffled, never their ids.
+the pieces' numbers are written and shuffled, never their ids.
 
 Null and empty texts give one piece with the end id alone. Repeated rows give
-pieces each (a row's place in its input split salts its group). An empty table
+pieces each (a row's place in its input split salts its group; as the pieces
+are written first, a repeated task can't deal them otherwise). An empty table
 gives no rows. Other columns are ignored.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.llm.storage import small_batches
+from aeroframe.llm.storage import Scratch, small_batches
 from aeroframe.llm.tokencache import memory
 
 #: Stands for a null id while pandas holds it.
@@ -85,7 +86,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, d
         bins, offsets = first_fit(frame["length"].tolist(), length)
         return frame.assign(sequence_id=(np.int64(key[0]) << 32) + np.array(bins, np.int64), offset=np.array(offsets, np.int64))[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    made = cut(docs, tokenizer, end_id, length, drops_space, id_col, text_col)
+    made = Scratch(docs.sparkSession, "packing").save(cut(docs, tokenizer, end_id, length, drops_space, id_col, text_col), "pieces")
     dealt = made.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "row", "start", F.lit(seed)), F.lit(groups)))
     placed = dealt.groupBy("pack_group").applyInPandas(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return placed.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))

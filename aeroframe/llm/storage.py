@@ -3,28 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """URI of the shared working folder: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, one machine) a folder of the driver's
-    own is made and set as the session's checkpoint folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    root = getattr(spark, "_aeroframe_root", None)
-    if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="aeroframe-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark._aeroframe_root = root
-    return root
+from aeroframe.session import file_system, shared_root
 
 
 def small_batches(spark: SparkSession, rows: int = 2048) -> None:
@@ -38,19 +22,13 @@ def small_batches(spark: SparkSession, rows: int = 2048) -> None:
         spark.conf.set(key, str(rows))
 
 
-def _files(spark: SparkSession, uri: str):
-    """Hadoop's file system of a URI, and its path."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
 class Scratch:
     """Written tables that cut lineage; a lost executor only rereads them. They go when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.uri = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        files, path = _files(spark, self.uri)
+        files, path = file_system(spark, self.uri)
         files.mkdirs(path)
         files.deleteOnExit(path)
 
@@ -60,7 +38,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        files, path = _files(self.spark, f"{self.uri}/{name}")
+        files, path = file_system(self.spark, f"{self.uri}/{name}")
         files.delete(path, True)
 
 
