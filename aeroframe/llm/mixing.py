@@ -8,11 +8,15 @@ length classes (powers of two), longer ones being likelier by ``tilt``, and are
 ranked by random odds divided by their inclusion odds. The ranking is cut where
 its words reach the target, at the nearer end of the document on the border.
 
-Only sums by source and class reach the driver (rows: sources times about 32);
-the rank at the border comes from sums over buckets of the rank, and only the
-border bucket of each source is sorted. The decision is then an expression of
-the row and its source, so documents are neither shuffled nor read twice. Draws are hashes of doc_id and a seed,
-so reruns agree; rows of one doc_id share their draw.
+All figures of the sources stay tables: shares by window, and the rank at the
+border from sums over buckets of the rank, of which only the border bucket of
+each source is sorted. The driver gets the number of sources. The decision is
+then an expression of the row and its source, so documents aren't shuffled.
+
+Draws are hashes of doc_id, text, a seed, and the row's number among rows that
+agree in doc_id, source and text, so reruns agree, and rows without an id or
+with one id are drawn apart. Rows that agree are numbered inside the parts of a
+written table first, so that a crowd of them isn't sorted by one task.
 
 Null text has size 0 and is never taken more than 0 words; a null source is a
 source of its own, last in order. An empty table gives no rows. Other columns
@@ -21,8 +25,6 @@ are kept by ``resample`` and ignored by ``mixture``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,22 +37,19 @@ BUCKET_DOCS = 2048
 BROADCAST_SOURCES = 4096
 
 
-def capped_shares(total: float, weights: list[float], caps: list[float]) -> list[float]:
-    """Shares of ``total`` by weight, none above its cap; the excess is shared again by weight."""
-    order = sorted(range(len(weights)), key=lambda i: caps[i] / weights[i])
-    spent, left = 0, sum(weights)
-    level = None
-    out = [0.0] * len(weights)
-    for at, i in enumerate(order):
-        level = (total - spent) / left
-        if level * weights[i] <= caps[i]:
-            for j in order[at:]:
-                out[j] = level * weights[j]
-            return out
-        out[i] = float(caps[i])
-        spent += caps[i]
-        left = sum(weights[j] for j in order[at + 1 :])
-    return out
+def capped_shares(rows: DataFrame, by: list[str], total: str, weight: str, cap: str, name: str) -> DataFrame:
+    """Shares of ``total`` by weight, none above its cap; the excess is shared again by weight.
+
+    A row's level, were all rows that are capped before it full, is what is left
+    for each unit of weight; the first row that stays below its cap sets it.
+    """
+    order = Window.partitionBy(*by).orderBy(F.col(cap) / F.col(weight), F.xxhash64(*rows.columns))
+    spent = F.coalesce(F.sum(cap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.sum(weight).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    steps = rows.withColumn("__level", (F.col(total) - spent) / left).withColumn("__step", F.row_number().over(order))
+    open_ = F.when(F.col("__level") * F.col(weight) <= F.col(cap), F.struct("__step", "__level"))
+    level = F.min(open_).over(Window.partitionBy(*by))["__level"]
+    return steps.withColumn(name, F.least(F.coalesce(level * F.col(weight), F.col(cap)), F.col(cap))).drop("__level", "__step")
 
 
 def words(text: str = "text") -> Column:
@@ -61,104 +60,118 @@ def _class() -> Column:
     return F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(0).cast("int")
 
 
-@dataclass
-class SourcePlan:
-    source: str | None
-    size: int
-    target: float
-    copies: int
-    wanted: float  # words beyond the whole copies
-    odds: list[float]  # inclusion by length class
-    buckets: int
-
-
-def plan(sized: DataFrame, share: float, weights: list[float], most: int, tilt: float) -> list[SourcePlan]:
-    """Targets of the sources in code-point order, null last, from their sums by length class."""
-    sums = sized.groupBy("source", _class().alias("class")).agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
-    names = sorted({r.source for r in sums}, key=lambda s: (s is None, s or ""))
-    own = {s: [r for r in sums if r.source == s] for s in names}
-    size = [sum(r["size"] for r in own[s]) for s in names]
-    target = capped_shares(share * sum(size), [weights[i % len(weights)] for i in range(len(names))], [most * x for x in size]) if names else []
-    plans = []
-    for name, n, t in zip(names, size, target, strict=True):
-        copies = min(most, int(t // n)) if n else 0
-        wanted = max(0.0, t - copies * n)
-        odds = [0.0] * 64
-        rows = sorted((r for r in own[name] if r["size"]), key=lambda r: r["class"])
-        if wanted and copies < most:
-            for r, x in zip(rows, capped_shares(wanted, [r["size"] * 2.0 ** (tilt * r["class"]) for r in rows], [r["size"] for r in rows]), strict=True):
-                odds[r["class"]] = min(1.0, x / r["size"])
-        plans.append(SourcePlan(name, n, t, copies, wanted if copies < most else 0.0, odds, max(1, sum(r.docs for r in own[name]) // BUCKET_DOCS)))
-    return plans
-
-
-_TABLE = "mix_source string, source_size long, target double, copies long, wanted double, odds array<double>, buckets long, border long, before long, cut_rank double, cut_key long, cut_size long"
-
-
-def _table(spark, plans: list[SourcePlan], borders: dict | None = None, cuts: dict | None = None) -> DataFrame:
-    rows = []
-    for p in plans:
-        border = (borders or {}).get(p.source, (p.buckets if p.wanted else -1, 0))
-        rows.append((p.source, p.size, p.target, p.copies, p.wanted, p.odds, p.buckets, *border, *(cuts or {}).get(p.source, (-1.0, 0, 0))))
-    table = spark.createDataFrame(rows, _TABLE)
-    return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
-
-
-def _ranked(sized: DataFrame, table: DataFrame, seed: int) -> DataFrame:
-    """Rows with mix_id, mix_key (the source) and size, and the rank: random odds over inclusion odds, mapped to 0..1."""
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("mix_id").cast("string"), F.lit("null")), F.lit(str(seed)))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    ranked = sized.withColumn("mix_class", _class()).join(table, F.col("mix_key").eqNullSafe(F.col("mix_source")))
-    ranked = ranked.withColumns({"draw": draw, "chance": F.expr("element_at(odds, mix_class + 1)"), "tie": F.xxhash64("mix_id")})
+def plan(sized: DataFrame, share: float, weights: tuple[float, ...], most: int, tilt: float) -> DataFrame:
+    """A row for each source, in code-point order, null last: its words, target, whole copies, what is wanted beyond, and odds by length class."""
+    classes = sized.groupBy("mix_key", _class().alias("class")).agg(F.sum("size").cast("double").alias("words"), F.count("*").alias("docs"))
+    own = classes.groupBy("mix_key").agg(F.sum("words").alias("source_words"), F.sum("docs").alias("docs"))
+    place = F.row_number().over(Window.orderBy(F.col("mix_key").asc_nulls_last())) - 1
+    own = own.withColumn("weight", F.get(F.array(*(F.lit(float(w)) for w in weights)), place % len(weights)))
+    own = own.withColumn("all", F.lit(float(share)) * F.sum("source_words").over(Window.partitionBy())).withColumn("cap", most * F.col("source_words"))
+    own = capped_shares(own, [], "all", "weight", "cap", "target")
+    copies = F.when(F.col("source_words") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_words")))).otherwise(0).cast("long")
+    own = own.withColumn("copies", copies).withColumn("wanted", F.when((F.col("source_words") > 0) & (F.col("copies") < most), F.col("target") - F.col("copies") * F.col("source_words")).otherwise(0.0))
+    own = own.select(F.col("mix_key").alias("mix_source"), F.col("source_words").cast("long").alias("source_size"), "target", "copies", "wanted", F.greatest(F.lit(1), F.floor(F.col("docs") / BUCKET_DOCS)).cast("long").alias("buckets"))
+    sizes = classes.where("words > 0").join(own.where("wanted > 0").select("mix_source", "wanted"), F.col("mix_key").eqNullSafe(F.col("mix_source"))).drop("mix_key")
+    sizes = sizes.withColumn("weight", F.col("words") * F.pow(F.lit(2.0), F.lit(float(tilt)) * F.col("class")))
+    odds = capped_shares(sizes, ["mix_source"], "wanted", "weight", "words", "part").groupBy(F.col("mix_source").alias("named")).agg(F.map_from_entries(F.collect_list(F.struct("class", F.least(F.lit(1.0), F.col("part") / F.col("words"))))).alias("odds"))
+    return own.join(odds, F.col("mix_source").eqNullSafe(F.col("named")), "left").drop("named")
+
+
+def _ranked(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """Rows with mix_id, mix_key (the source), mix_mark, mix_number and size, and the rank: random odds over inclusion odds, mapped to 0..1."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("mix_id").cast("string"), F.lit("null")), "mix_mark", F.lit(str(seed)), F.col("mix_number").cast("string")))
+    some = lambda at: F.conv(F.substring("mix_draw", at, 12), 16, 10)
+    ranked = sized.withColumns({"mix_class": _class(), "mix_draw": digest}).join(sources, F.col("mix_key").eqNullSafe(F.col("mix_source")))
+    ranked = ranked.withColumns({"draw": some(1).cast("double") / float(1 << 48), "tie": some(13).cast("long"), "chance": F.coalesce(F.expr("odds[mix_class]"), F.lit(0.0))})
     high = F.col("draw") * (1 - F.col("chance"))
     low = (1 - F.col("draw")) * F.col("chance")
     return ranked.withColumn("rank", F.when(F.col("chance") > 0, high / (high + low)).otherwise(1.0)).withColumn("bucket", F.least(F.floor(F.col("rank") * F.col("buckets")), F.col("buckets") - 1))
 
 
-def _decided(sized: DataFrame, table: DataFrame, seed: int) -> DataFrame:
+def _decided(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """With taken_copies: the whole ones, and one more up to the source's cut."""
-    ranked = _ranked(sized, table, seed)
-    within = F.expr("bucket < border or (bucket = border and (rank < cut_rank or (rank = cut_rank and (tie < cut_key or (tie = cut_key and size <= cut_size)))))")
-    return ranked.withColumn("taken_copies", F.col("copies") + within.cast("long"))
+    ranked = _ranked(sized, sources, seed)
+    within = F.expr("bucket < border or (bucket = border and (rank < cut.rank or (rank = cut.rank and (tie < cut.tie or (tie = cut.tie and size <= cut.size)))))")
+    return ranked.withColumn("taken_copies", F.col("copies") + F.coalesce(within, F.lit(False)).cast("long"))
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, *kept: Column) -> DataFrame:
+    return docs.select(*kept, F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_key"), words(text_col).alias("size"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("mix_mark"))
+
+
+_SAME = ("mix_id", "mix_key", "mix_mark")
+
+
+def _numbered(slim: DataFrame, scratch: Scratch) -> DataFrame:
+    """With mix_number, the place of each row among those that agree: inside parts of a written table, then beyond the parts before."""
+    rows = slim.withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id())
+    rows = scratch.save(rows, "repeated")
+    counts = rows.groupBy(*_SAME, "__part").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*_SAME).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*(F.col(c).alias(f"__{c}") for c in _SAME), F.col("__part").alias("__of"), "__before")
+    inside = rows.withColumn("__in", F.row_number().over(Window.partitionBy(*_SAME, "__part").orderBy("__row")) - 1)
+    same = F.col("__part") == F.col("__of")
+    for c in _SAME:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return inside.join(before, same).withColumn("mix_number", F.col("__before") + F.col("__in")).select(*slim.columns, "mix_number")
+
+
+def _apart(slim: DataFrame, repeated: DataFrame, scratch: Scratch) -> DataFrame:
+    """All rows with their numbers: 0 for those that are alone."""
+    if repeated.isEmpty():
+        return slim.withColumn("mix_number", F.lit(0).cast("long"))
+    other = repeated.select(*(F.col(c).alias(f"__{c}") for c in _SAME))
+    same = F.col("mix_mark") == F.col("__mix_mark")
+    for c in _SAME[:2]:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    alone = slim.join(other, same, "left_anti").withColumn("mix_number", F.lit(0).cast("long"))
+    return alone.unionByName(_numbered(slim.join(other, same, "left_semi"), scratch))
 
 
-def _sized(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return scratch.save(docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_key"), words(text_col).alias("size")), "sized")
+def _sized(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """Sizes and marks of all rows, and the keys that several rows agree in."""
+    sized = scratch.save(_slim(docs, id_col, text_col, source_col), "sized")
+    return sized, scratch.save(sized.groupBy(*_SAME).count().where("count > 1").select(*_SAME), "agreeing")
 
 
-def _cut(sized: DataFrame, share: float, weights: tuple[float, ...], most: int, tilt: float, seed: int) -> DataFrame:
-    """The sources' table with the place where each source's ranking is cut; a row for each source reaches the driver."""
-    spark = sized.sparkSession
-    plans = plan(sized.withColumnRenamed("mix_key", "source"), share, list(weights), most, tilt)
-    table = _table(spark, plans)
-    sums = _ranked(sized, table, seed).where("wanted > 0").groupBy("mix_key", "bucket").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
-    run = sums.withColumn("until", F.sum("words").over(Window.partitionBy("mix_key").orderBy("bucket")))
-    first = run.where("until >= wanted").groupBy("mix_key").agg(F.min(F.struct("bucket", (F.col("until") - F.col("words")).alias("before"))).alias("at"))
-    borders = {r["mix_key"]: (r["at"]["bucket"], r["at"]["before"]) for r in first.collect()}
-    order = Window.partitionBy("mix_key").orderBy("rank", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = _ranked(sized, _table(spark, plans, borders), seed).where("bucket = border").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = edge.where("ahead + size / 2 <= wanted").groupBy("mix_key").agg(F.max(F.struct("rank", "tie", "size")).alias("at"))
-    return _table(spark, plans, borders, {r["mix_key"]: tuple(r["at"]) for r in last.collect()})
+def _cut(sized: DataFrame, scratch: Scratch, share: float, weights: tuple[float, ...], most: int, tilt: float, seed: int) -> DataFrame:
+    """The sources' table with the place where each source's ranking is cut."""
+    sources = scratch.save(plan(sized, share, weights, most, tilt), "sources")
+    shown = F.broadcast if sources.count() <= BROADCAST_SOURCES else lambda t: t
+    sums = _ranked(sized, shown(sources), seed).where("wanted > 0").groupBy("mix_source", "bucket").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
+    run = sums.withColumn("until", F.sum("words").over(Window.partitionBy("mix_source").orderBy("bucket")))
+    first = run.where("until >= wanted").groupBy(F.col("mix_source").alias("named")).agg(F.min(F.struct("bucket", (F.col("until") - F.col("words")).alias("before"))).alias("at"))
+    whole = F.when(F.col("wanted") > 0, F.col("buckets")).otherwise(-1)  # no border: all rows, or none
+    bordered = sources.join(first, F.col("mix_source").eqNullSafe(F.col("named")), "left").select(*sources.columns, F.coalesce("at.bucket", whole).alias("border"), F.coalesce("at.before", F.lit(0)).alias("before"))
+    bordered = scratch.save(bordered, "bordered")
+    order = Window.partitionBy("mix_source").orderBy("rank", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = _ranked(sized, shown(bordered), seed).where("bucket = border").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    last = edge.where("ahead + size / 2 <= wanted").groupBy(F.col("mix_source").alias("named")).agg(F.max(F.struct("rank", "tie", "size")).alias("cut"))
+    return shown(scratch.save(bordered.join(last, F.col("mix_source").eqNullSafe(F.col("named")), "left").drop("named"), "cut"))
 
 
 def resample(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: int = 2, tilt: float = 0.25, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as many times as it is taken, with its own columns."""
-    table = _cut(_sized(docs, Scratch(docs.sparkSession, "mixing"), id_col, text_col, source_col), share, weights, most, tilt, seed)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sized, repeated = _sized(docs, scratch, id_col, text_col, source_col)
+    sources = _cut(_apart(sized, repeated, scratch), scratch, share, weights, most, tilt, seed)
     # The document in a struct, so that its columns' names can't clash with ours.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row"), F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_key"), words(text_col).alias("size"))
-    taken = _decided(rows, table, seed).where("taken_copies > 0")
+    rows = _slim(docs, id_col, text_col, source_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row"))
+    taken = _decided(_apart(rows, repeated, Scratch(docs.sparkSession, "mixing-rows")), sources, seed).where("taken_copies > 0")
     return taken.select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken_copies")))).select("mix_row.*")
 
 
 def mixture(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: int = 2, tilt: float = 0.25, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted)."""
-    sized = _sized(docs, Scratch(docs.sparkSession, "mixing"), id_col, text_col, source_col)
-    done = _decided(sized, _cut(sized, share, weights, most, tilt, seed), seed)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sized = _apart(*_sized(docs, scratch, id_col, text_col, source_col), scratch)
+    done = _decided(sized, _cut(sized, scratch, share, weights, most, tilt, seed), seed)
     return done.select(F.col("mix_id").alias("doc_id"), F.col("mix_key").alias("source"), "size", "source_size", "target", (F.col("size") * F.col("taken_copies")).alias("taken"))
 
 
 OP10_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS mark,
+    row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1 AS number FROM documents
 ), classed AS (SELECT *, CASE WHEN size > 0 THEN CAST(floor(log2(size)) AS INT) ELSE 0 END AS class FROM sized
 ), own AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM classed GROUP BY source
 ), ranked AS (
@@ -184,9 +197,9 @@ WITH sized AS (
   FROM class_steps s JOIN class_level l ON s.source IS NOT DISTINCT FROM l.source
 ), drawn AS (
   SELECT c.*, wants.source_size, wants.target, wants.copies, wants.wanted, coalesce(odds.p, 0.0) AS p,
-    ('0x' || substr(md5(c.doc_id || ':17'), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS u
+    md5(coalesce(c.doc_id::VARCHAR, 'null') || ':' || c.mark || ':17:' || c.number) AS draw, ('0x' || substr(draw, 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS u
   FROM classed c JOIN wants ON c.source IS NOT DISTINCT FROM wants.source LEFT JOIN odds ON c.source IS NOT DISTINCT FROM odds.source AND c.class = odds.class AND c.size > 0
 ), placed AS (SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) ELSE 1.0 END AS rank FROM drawn
-), summed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM placed)
+), summed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, substr(draw, 13, 12), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM placed)
 SELECT doc_id, source, size, source_size, target, CAST(size * (copies + CASE WHEN wanted > 0 AND ahead + size / 2 <= wanted THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM summed
 """
