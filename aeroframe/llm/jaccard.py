@@ -1,16 +1,22 @@
 """Operator 3: Jaccard join on word n-grams by rare-first prefix filtering.
 
-1. A sketch of fixed size counts all distinct shingles of all documents. Any
-   total order gives exact results; this one puts the rare shingles first.
+1. A sketch counts all distinct shingles of all documents; its counters grow
+   with the bytes of the texts. Any total order gives exact results; this one
+   puts the rare shingles first.
 2. Each document is reduced to its digest, its size, its prefix (the rarest
    shingles that any partner must share one of) and the parities of its
-   shingles in slots. Documents with equal sets fall together here.
-3. Sets that share a prefix shingle are first paired with one leader of that
-   shingle only; the links found there are contracted, and only pairs of sets
-   that are still in different components are then joined, with the length,
-   positional and suffix filters. Groups that hold many unlinked sets get more
-   rounds of leaders first. No pair is verified twice.
-4. A pair is verified once, on its whole shingle sets.
+   shingles in slots, two to four slots for each shingle. Documents with equal
+   sets fall together here.
+3. Sets that share a prefix shingle are first paired with leaders of that
+   shingle only; the links found there are contracted, and leaders are drawn
+   anew while that keeps closing groups. Only pairs of sets that are then still
+   in different components meet each other, by shingle and band of sizes, and
+   have to pass the length and positional filters and the parities already in
+   the join. No pair is verified twice.
+4. A pair is verified once, on its whole shingle sets: the suffix filter first
+   (recursive halves of one set, the sizes of the other's parts between the
+   same pivots, and their bound on the Hamming distance), then the exact
+   overlap.
 
 Every join is an equi-join that Spark can split where a key is hot; counts of
 groups are pre-aggregated. Working tables are written to the shared folder.
@@ -24,29 +30,28 @@ or null if it has none. Other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroframe.llm.graph import components
 from aeroframe.llm.storage import Scratch, small_batches
 from aeroframe.llm.textbytes import blocks, mix, shingles, text_bytes
 
-#: Counters of the sketch of shingle counts: its size doesn't depend on the input.
-SKETCH_BITS = 21
+#: Bits of the number of counters of the sketch of shingle counts (4 bytes each), at least and at most; one for some 1,600 bytes of text between.
+SKETCH_BITS = (21, 24)
 _SLICE_BITS = 15
-#: 64-bit words of parities in a set's outline, and folded into a row of the join.
-WORDS, JOIN_WORDS = 16, 4
-#: Bits of the filter that tells which documents' sets are wanted.
-FILTER_BITS = 25
-#: Sets of one shingle up to which a task sorts them.
-CROWD = 10_000
-#: Rounds of leaders before the rest of a group is joined in full.
-MOST_ROUNDS = 6
+#: 64-bit words of parities that a row of the join has, and that a set has at least; larger sets have more.
+JOIN_WORDS = 8
+#: Bits of the filter that tells which documents' sets are wanted, at least and at most (32 MB); 16 to 32 for each of them between.
+FILTER_BITS = (16, 28)
+#: Leaders of one shingle in a round, about.
+LEADERS = 4
 
 
 def _overlap(n: int | np.ndarray, num: int, den: int):
@@ -73,55 +78,73 @@ def _digest(hashes: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _bits(n: float, limits: tuple[int, int]) -> int:
+    """Bits of the first power of two from n, within limits."""
+    return min(max(limits[0], math.ceil(math.log2(max(1.0, n)))), limits[1])
+
+
 def shingle_sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Counts of all documents' distinct shingles by the high bits of their hash."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = _bits(size / 1600, SKETCH_BITS)
+    high = np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
             for _, _, _, hashes in _sets(batch, k):
-                np.add.at(counts, hashes >> np.uint64(64 - SKETCH_BITS), 1)
-        if counts.any():
-            parts = counts.reshape(-1, 1 << _SLICE_BITS)
-            yield pa.RecordBatch.from_pydict({"part": np.arange(len(parts)), "counts": [p.tobytes() for p in parts]})
+                np.add.at(counts, hashes >> high, 1)
+        parts = counts.reshape(-1, 1 << _SLICE_BITS)
+        for part in np.flatnonzero(parts.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_pydict({"part": [part], "counts": [parts[part].tobytes()]})
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
+    def add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << _SLICE_BITS, np.int64)
-        for value in table.column("counts"):
-            total += np.frombuffer(value.as_buffer(), np.int32)
-        return pa.Table.from_pydict({"part": [key[0].as_py()], "counts": [np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()]})
+        for table in tables:
+            for value in table.column("counts"):
+                total += np.frombuffer(value.as_buffer(), np.int32)
+        yield pa.RecordBatch.from_pydict({"part": [key[0].as_py()], "counts": [np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()]})
 
     made = docs.mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary")
-    whole = np.zeros((1 << (SKETCH_BITS - _SLICE_BITS), 1 << _SLICE_BITS), np.int32)
-    for row in made.collect():  # 2**SKETCH_BITS counters in all
+    whole = np.zeros((1 << (bits - _SLICE_BITS), 1 << _SLICE_BITS), np.int32)
+    for row in made.collect():  # 2**bits counters in all
         whole[row.part] = np.frombuffer(row.counts, np.int32)
     return whole.ravel()
 
 
+def _words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of parities of a set of n: a power of two, 2 n slots or more."""
+    return np.maximum(JOIN_WORDS, 1 << np.ceil(np.log2(np.maximum(1, n / 32))).astype(np.int64))
+
+
 def _profiles(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
     """doc_id, n, d1, d2 (digest of the set), prefix (rarest first), parity (bits)."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
+        high = np.uint64(65 - len(counts).bit_length())
         for batch in batches:
             for i, j, owner, hashes in _sets(batch, k):
                 docs_here = j - i
                 n = np.bincount(owner, minlength=docs_here)
                 begin = np.cumsum(n) - n
                 digests = [_digest(hashes, n, salt) for salt in _SALTS]
-                parity = np.zeros(docs_here * WORDS, np.uint64)
-                np.bitwise_xor.at(parity, owner * WORDS + (hashes >> np.uint64(6)).astype(np.int64) % WORDS, np.uint64(1) << (hashes & np.uint64(63)))
-                order = np.argsort(counts[hashes >> np.uint64(64 - SKETCH_BITS)], kind="stable")  # ties by hash
+                words = np.where(n > 0, _words(n), 0)
+                last = np.cumsum(words)
+                parity = np.zeros(last[-1], np.uint64)
+                slot = (last - words)[owner] + ((hashes >> np.uint64(6)).astype(np.int64) & (words[owner] - 1))
+                np.bitwise_xor.at(parity, slot, np.uint64(1) << (hashes & np.uint64(63)))
+                order = np.argsort(counts[hashes >> high], kind="stable")  # ties by hash
                 order = order[np.argsort(owner[order], kind="stable")]
                 size = np.where(n > 0, n - _overlap(n, num, den) + 1, 0)
                 place = np.arange(len(hashes)) - begin[owner]
                 kept = hashes[order][place < size[owner]]
-                edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                edges = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, docs_here), pa.array(n, pa.int64()), *map(pa.array, digests),
-                        pa.ListArray.from_arrays(pa.array(edges), pa.array(kept.view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(docs_here + 1, dtype=np.int32) * WORDS), pa.array(parity.view(np.int64))),
+                        pa.ListArray.from_arrays(edges(size), pa.array(kept.view(np.int64))),
+                        pa.ListArray.from_arrays(edges(words), pa.array(parity.view(np.int64))),
                     ],
                     ["doc_id", "n", "d1", "d2", "prefix", "parity"],
                 )
@@ -129,19 +152,26 @@ def _profiles(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
     return docs.mapInArrow(profile, "doc_id long, n long, d1 long, d2 long, prefix array<long>, parity array<long>")
 
 
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of one hash, of fixed size, as 64-bit words."""
-    word = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
+def _filter_of(nodes: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of one hash as 64-bit words."""
+    word = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
     rows = nodes.select(F.shiftright(word, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    found = rows.toArrow()  # 2**(FILTER_BITS - 6) words at most
+    words = np.zeros(1 << (bits - 6), np.int64)
+    found = rows.toArrow()  # 2**(bits - 6) words at most
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return words
 
 
 def _whole_sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents that may be among ``nodes``; the filter lets few others pass, and all without an id."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(nodes))
+    """(node, shingles) of the documents that may be among ``nodes``, and of all without an id; shingles ascend.
+
+    A filter of bounded size lets few others pass. Beyond what it can tell apart, texts are joined with the nodes.
+    """
+    count = nodes.count()
+    bits = _bits(16 * count, FILTER_BITS)
+    if count > 1 << (FILTER_BITS[1] - 2):
+        docs = docs.where("doc_id is not null").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(nodes, bits))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = wanted.value
@@ -156,23 +186,31 @@ def _whole_sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
                 own = _digest(hashes, n, _SALTS[0])
                 node = pc.coalesce(batch.column(0).slice(i, j - i), pa.array(own))
                 edges = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                found = pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes.view(np.int64)))], ["node", "shingles"])
+                rising = (hashes ^ np.uint64(1 << 63)).view(np.int64)
+                found = pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(edges), pa.array(rising))], ["node", "shingles"])
                 _, first = np.unique(np.stack([node.to_numpy(), own]), axis=1, return_index=True)  # repeated rows once
                 yield found.take(pa.array(np.sort(first)))
 
-    marked = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))).alias("slot"))
+    marked = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))).alias("slot"))
     return marked.mapInArrow(sets, "node long, shingles array<long>")
 
 
-def _with_partners(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows that another set of their shingle fits in length: the next smaller or larger one does, or none.
+def _folded(parity: str, words: Column) -> Column:
+    """Parities with as many words as said, a power of two."""
+    return F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.sequence(i, F.size(parity) - 1, words), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(parity, j))))
 
-    Groups of more than ``CROWD`` sets aren't sorted in one task and stay whole.
+
+def _halves(depth: int = 2) -> Column:
+    """The suffix filter's bound on the Hamming distance of set_a and set_b.
+
+    set_b is halved ``depth`` times; set_a falls into parts at the same pivots,
+    and each part differs by its difference in size at least.
     """
-    order = Window.partitionBy("token").orderBy("n")
-    fits = (F.lag("n").over(order) * den >= F.col("n") * num) | (F.lead("n").over(order) * num <= F.col("n") * den)
-    few = rows.where(F.col("k") <= CROWD).withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits").drop("fits")
-    return few.unionByName(rows.where(F.col("k") > CROWD))
+    parts = 1 << depth
+    places = [F.lit(0), *(F.expr(f"{i} * size(set_b) div {parts}") for i in range(1, parts)), F.size("set_b")]
+    below = lambda at: F.size(F.filter("set_a", lambda x: x < F.get("set_b", at)))
+    pivots = [F.lit(0), *map(below, places[1:-1]), F.size("set_a")]
+    return sum((F.abs((pivots[i + 1] - pivots[i]) - (places[i + 1] - places[i])) for i in range(parts)), F.lit(0))
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,25 +227,28 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     outline = sets.select("node", "n", "parity")
     rows = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     leaders = rows.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("other"), F.count("*").alias("k")).where("leader <> other").select("token", "leader", "k")
-    rows = _with_partners(scratch.save(rows.join(leaders, "token"), "shared"), num, den)
-    rows = scratch.save(rows, "rows")
-    scratch.drop("shared")
+    rows = scratch.save(rows.join(leaders, "token"), "rows")
 
     need = F.expr(f"({num} * (n_a + n_b) + {num + den - 1}) div {num + den}")
-    # Overlap is at most half of what the sizes have beyond the differing parities.
-    def fits(words: int) -> Column:
-        differing = " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(words))
-        return F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)") & (F.expr(f"(n_a + n_b - ({differing})) div 2") >= need)
+    close = F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
+
+    def alike(parity_a: Column, parity_b: Column) -> Column:
+        """Overlap is at most half of what the sizes have beyond the differing parities."""
+        differing = F.aggregate(F.zip_with(parity_a, parity_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        return F.col("n_a") + F.col("n_b") - differing >= 2 * need
 
     seen: list[DataFrame] = []  # verified pairs and links of each round
     linked: list[DataFrame] = []
 
     def verify(pairs: DataFrame, turn: int) -> None:
-        """Filter distinct pairs (a, b) by size and histogram, then compare whole sets."""
+        """Filter pairs (a, b) not seen before by size and parities, then compare whole sets."""
+        fresh = pairs.select("a", "b", F.lit(False).alias("old"))
         for old in seen:
-            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
+            fresh = fresh.unionByName(old.select("a", "b", F.lit(True).alias("old")))
+        fresh = fresh.groupBy("a", "b").agg(F.bool_or("old").alias("old")).where("not old").select("a", "b")
         side = lambda x: outline.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
-        fit = pairs.join(side("a"), "a").join(side("b"), "b").where(fits(WORDS))
+        words = F.least(F.size("parity_a"), F.size("parity_b"))
+        fit = fresh.join(side("a"), "a").join(side("b"), "b").where(close).where(alike(_folded("parity_a", words), _folded("parity_b", words)))
         fit = scratch.save(fit.select("a", "b", "n_a", "n_b"), f"pairs-{turn}")
         seen.append(fit)
         if fit.isEmpty():
@@ -216,9 +257,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         # Only the sets of this round's documents are moved; they are read from the texts again.
         nodes = fit.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         whole = scratch.save(_whole_sets(docs, k, nodes), f"whole-{turn}")
-        inter = F.size(F.array_intersect("set_a", "set_b"))
         both = fit.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-        good = both.where(F.lit(den) * inter >= F.lit(num) * (F.size("set_a") + F.size("set_b") - inter))
+        near = both.where(F.size("set_a") + F.size("set_b") - _halves() >= 2 * need)
+        inter = F.size(F.array_intersect("set_a", "set_b"))
+        good = near.where(F.lit(den) * inter >= F.lit(num) * (F.size("set_a") + F.size("set_b") - inter))
         linked.append(scratch.save(good.select("a", "b").distinct(), f"links-{turn}"))
         scratch.drop(f"whole-{turn}")
 
@@ -238,23 +280,27 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         turn += 1
         joined = components(scratch, union(linked), f"components-{turn}")
         placed = rows.select("token", "node", "n", "pos").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("leader")).where("low <> high")
+        drawn = F.struct(F.xxhash64("node", F.pmod(F.xxhash64("token"), F.lit(LEADERS)), F.lit(turn)).alias("h"), "node", "component")
+        mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(drawn).alias("leader")).where("low <> high")
         open_rows = scratch.save(placed.join(mixed.select("token", F.col("leader.node").alias("leader"), F.col("leader.component").alias("leader_component")), "token"), f"open-{turn}")
+        scratch.drop(f"open-{turn - 1}")
         sizes = open_rows.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("same"))
         work = sizes.agg(F.sum("k").alias("rows"), (F.sum(F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")).first()
         left_pairs = work.pairs or 0
-        if turn < MOST_ROUNDS and left_pairs > 4 * (work.rows or 0) and left_pairs < 0.7 * before:
+        if left_pairs > 4 * (work.rows or 0) and left_pairs < 0.7 * before:
             before = left_pairs
             verify(open_rows.where("component <> leader_component").select(*pair("node", "leader")).distinct(), turn)
             continue
-        # Every pair that is left: the larger set's prefix against the smaller one's shorter prefix.
-        folded = F.array(*(F.expr(" ^ ".join(f"parity[{i}]" for i in range(j, WORDS, JOIN_WORDS))) for j in range(JOIN_WORDS)))
-        open_rows = open_rows.join(outline.select("node", folded.alias("parity")), "node")
-        side = lambda x: open_rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "component", "parity")))
+        # Every pair that is left: the larger set's prefix against the smaller one's shorter prefix, in the same or the next lower band of sizes.
+        band = F.floor(F.log("n") / math.log(den / num) * (1 - 1e-9)).cast("int") if num < den else F.col("n").cast("int")
+        open_rows = open_rows.join(outline.select("node", _folded("parity", F.lit(JOIN_WORDS)).alias("parity")), "node").withColumn("band", band)
+        side = lambda x: open_rows.select("token", "band", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "component", "parity")))
+        left = side("a").withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
         right = side("b").where(F.expr(f"pos_b <= n_b - ({2 * num} * n_b + {num + den - 1}) div {num + den}"))
         room = F.expr("least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1)")
-        met = side("a").join(right, "token").where("component_a <> component_b and (n_b < n_a or (n_b = n_a and node_b < node_a))").where((room >= need) & fits(JOIN_WORDS))
-        verify(met.select(*pair("node_a", "node_b")).distinct(), turn)
+        bits = sum((F.bit_count(F.get("parity_a", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i)))) for i in range(JOIN_WORDS)), F.lit(0))
+        met = left.join(right, ["token", "band"]).where("component_a <> component_b and (n_b < n_a or (n_b = n_a and node_b < node_a))").where(close & (room >= need) & (F.col("n_a") + F.col("n_b") - bits >= 2 * need))
+        verify(met.select(*pair("node_a", "node_b")), turn)
         break
 
     final = components(scratch, union(linked), "components-final")

@@ -73,7 +73,7 @@ def test_jaccard(spark, k, num, den, seed):
 
 
 def test_jaccard_of_many_unlinked_copies(spark, monkeypatch):
-    """A crowd that shares its prefixes without linking is joined in full, with and without rounds of leaders."""
+    """A crowd that shares its prefixes without linking meets in full after the rounds of leaders."""
     rng = random.Random(5)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -83,8 +83,8 @@ def test_jaccard_of_many_unlinked_copies(spark, monkeypatch):
             own[rng.randrange(120)] = f"x{rng.random()}"
         rows.append((i, " ".join(own)))
     expected = brute_components(rows, 4, 85, 100)
-    for most in (1, 6):
-        monkeypatch.setattr(jaccard, "MOST_ROUNDS", most)
+    for most in (1, 4):
+        monkeypatch.setattr(jaccard, "LEADERS", most)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(table(spark, rows)).collect()} == expected
 
 
@@ -113,11 +113,38 @@ def test_components(spark):
         assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
 
 
-def test_capped_shares():
-    assert capped_shares(12, [3, 1, 2], [100, 100, 100]) == [6, 2, 4]
-    assert capped_shares(12, [3, 1, 2], [2, 100, 100]) == [2, pytest.approx(10 / 3), pytest.approx(20 / 3)]
-    assert capped_shares(12, [3, 1, 2], [2, 4, 4]) == [2, 4, 4]
-    assert sum(capped_shares(50, [1] * 10, list(range(1, 11)))) == pytest.approx(50)
+def plain_shares(total, weights, caps):
+    """By repeated sharing: whoever is above its cap is set to it."""
+    full = set()
+    while True:
+        left, free = total - sum(caps[i] for i in full), [i for i in range(len(caps)) if i not in full]
+        share = {i: left * weights[i] / sum(weights[j] for j in free) for i in free}
+        over = {i for i in free if share[i] > caps[i]}
+        if not over:
+            return [caps[i] if i in full else share[i] for i in range(len(caps))]
+        full |= over
+
+
+def test_capped_shares(spark):
+    rng = random.Random(2)
+    cases = [(12.0, [3, 1, 2], [100, 100, 100]), (12.0, [3, 1, 2], [2, 100, 100]), (12.0, [3, 1, 2], [2, 4, 4]), (50.0, [1] * 10, list(range(1, 11))), (9.0, [1, 2], [1, 2]), (0.0, [1, 2], [0, 0])]
+    cases += [(rng.uniform(1, 90), [rng.choice([1, 2, 3]) for _ in range(7)], [rng.choice([0, 3, 10, 40]) for _ in range(7)]) for _ in range(12)]
+    rows = [(c, i, t, float(w), float(m)) for c, (t, weights, caps) in enumerate(cases) for i, (w, m) in enumerate(zip(weights, caps))]
+    got = {(r.c, r.i): r.share for r in capped_shares(spark.createDataFrame(rows, "c int, i int, t double, w double, m double"), ["c"], "t", "w", "m", "share").collect()}
+    for c, (total, weights, caps) in enumerate(cases):
+        assert [got[c, i] for i in range(len(caps))] == pytest.approx(plain_shares(total, weights, caps))
+
+
+def test_mixture_draws_rows_without_an_own_id_apart(spark):
+    """2,000 rows of one source without ids, or of one id, with equal and with different texts: near the target all the same."""
+    rows = [(None, "w " * 40, None, "a") for _ in range(2000)] + [(None, "w " * 39 + f"v{i}", None, "b") for i in range(2000)] + [(7, "w " * 40, None, "c") for _ in range(1000)] + [(i, "w " * 40, None, "d") for i in range(2000)]
+    docs = table(spark, rows).withColumn("mix_number", F.lit("clash"))
+    got = mixture(docs, share=0.9)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n"), F.countDistinct("taken").alias("kinds")).collect():
+        assert abs(r.taken - r.target) <= 40 and r.n in (1000, 2000)
+    assert sorted(map(tuple, mixture(docs.repartition(3, F.rand(1)), share=0.9).collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
+    taken = {r.source: r["count"] for r in resample(docs, share=0.9).groupBy("source").count().collect()}
+    assert taken == {r.source: r.n for r in got.groupBy("source").agg((F.sum("taken") / 40).cast("int").alias("n")).collect()}
 
 
 def test_mixture(spark):
@@ -135,7 +162,7 @@ def test_mixture(spark):
         by.setdefault(r.source, []).append(r)
     order = sorted(by, key=lambda s: (s is None, s or ""))
     weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
-    targets = capped_shares(1.5 * total, [weights[s] for s in order], [2 * sum(r.size for r in by[s]) for s in order])
+    targets = plain_shares(1.5 * total, [weights[s] for s in order], [2 * sum(r.size for r in by[s]) for s in order])
     for s, t in zip(order, targets):
         assert by[s][0].target == pytest.approx(t) and by[s][0].source_size == sum(r.size for r in by[s])
         assert abs(sum(r.taken for r in by[s]) - t) <= max(max(r.size for r in by[s] if r.size < 20_000), 20_000 if s == "b" else 0)
@@ -176,6 +203,46 @@ def test_shards(spark):
     assert kd_shards(docs, None, target_bytes=sum(sizes) // 3).select("shard").distinct().count() in (3, 4)
 
 
+def plain_tree(rows, shards, spans, first=0):
+    """A k-d tree over rows (doc, size, source, lang, place): widest dimension, weighted median, ties by place."""
+    if shards == 1:
+        return {r[4]: first for r in rows}
+    low, high = ([f(r[d] for r in rows) for d in range(4)] for f in (min, max)) if rows else ([0] * 4, [0] * 4)
+    wide = max(range(4), key=lambda d: (high[d] - low[d]) / spans[d])
+    half = shards // 2
+    need = sum(r[1] for r in rows) * half / shards
+    order, left = sorted(rows, key=lambda r: (r[wide], r[4])), []
+    while order:
+        same = [r for r in order if r[wide] == order[0][wide]]
+        if sum(r[1] for r in same) <= need:
+            left, order, need = left + same, order[len(same) :], need - sum(r[1] for r in same)
+            continue
+        for r in same:
+            if r[1] > need and 2 * need < r[1]:
+                break
+            left, order = left + [r], order[1:]
+            if r[1] > need:
+                break
+            need -= r[1]
+        break
+    return plain_tree(left, half, spans, first) | plain_tree(order, shards - half, spans, first + half)
+
+
+@pytest.mark.parametrize("shards", [8, 5])
+def test_shards_are_those_of_a_plain_tree(spark, shards):
+    import zlib
+
+    rng = random.Random(shards)
+    rows = [(rng.randrange(4000) if i % 7 else None, "x" * rng.choice([0, 3, 50, 700]), rng.choice(["en", "de", None]), f"s{i % 3}") for i in range(900)] + [(9999, "same", "en", "s0")] * 500
+    got = kd_shards(table(spark, rows).coalesce(1), shards)
+    code = lambda x: -1 if x is None else zlib.crc32(x.encode())
+    known = [((r[0] >> 2) if r[0] is not None else -(1 << 62), len(r[1]) + 1, code(r[3]), code(r[2]), i) for i, r in enumerate(rows)]
+    spans = [max(1, max(r[d] for r in known) - min(r[d] for r in known)) for d in range(4)]
+    expected = plain_tree(known, shards, spans)
+    counts = lambda pairs: sorted(((k, n) for k, n in __import__("collections").Counter(pairs).items()), key=str)
+    assert counts((r.doc_id, r.size, r.shard) for r in got.collect()) == counts((rows[i][0], len(rows[i][1]) + 1, s) for i, s in expected.items())
+
+
 def test_sharding_and_chat_stay_in_the_jvm(spark):
     docs = table(spark, [(1, "a"), (2, "b")])
     assert "Python" not in kd_shards(docs)._jdf.queryExecution().executedPlan().toString()
@@ -278,6 +345,19 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_pipeline_tells_rows_without_an_own_id_apart(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda seed: " ".join(f"w{(seed * 7919 + i * 31) % 977}" for i in range(60))
+    rows = [(1, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (None, text(1)), (None, text(5)), (None, text(5)), (None, text(6)), (4, text(3) + " tail"), (None, None), (None, None)]
+    docs = table(spark, rows).withColumn("node", F.lit("clash"))
+    got = pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    either = [[(3, text(3)), (3, text(4))], [(4, text(3) + " tail"), (3, text(4))]]  # which row of id 3 has the id isn't fixed
+    rest = [(1, text(1)), (2, text(2)), (None, text(5)), (None, text(6)), (None, None), (None, None)]
+    assert kept in [sorted(rest + own, key=str) for own in either]
+
+
 def test_pipeline_rejects_unlearned_languages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = np.random.default_rng(0)
