@@ -7,7 +7,7 @@ and reads it again, so a lost executor repeats one stage's tasks at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeroframe.llm.jaccard import jaccard_components
@@ -32,16 +32,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 5-word shingle sets linked at a Jaccard similarity of 0.8 stays: the smallest id.
+    """One row of each group of 5-word shingle sets linked at a Jaccard similarity of 0.8 stays: that of the smallest id.
 
-    Of rows with one doc_id one stays. Rows without an id can't be named and stay.
+    Rows without an id, and all but one of the rows of one id, get keys above
+    all ids: each is compared by its own text, and stays where no row of a
+    smaller key is in its group.
     """
-    groups = jaccard_components(docs, k=5, num=80, den=100)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    key, place, head = "__key", "__place", "__head"
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    scratch = Scratch(spark, "near-duplicates")
+    several = scratch.save(ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(key)), "several")
+    rows = docs.withColumn(key, F.col("doc_id").cast("long"))
+    if not several.isEmpty():
+        above = (ids.agg(F.max("doc_id")).first()[0] or 0) + 1
+        doubtful = rows.where(F.col(key).isNull()).unionByName(rows.join(several, key, "left_semi"))
+        doubtful = scratch.save(doubtful.withColumn(place, F.monotonically_increasing_id()), "doubtful")
+        heads = doubtful.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(place).alias(place)).select(place, F.lit(True).alias(head))
+        told = doubtful.join(heads, place, "left").withColumn(key, F.when(F.col(head), F.col(key)).otherwise(F.col(place) + above)).drop(place, head)
+        rows = scratch.save(rows.where(F.col(key).isNotNull()).join(several, key, "left_anti").unionByName(told), "rows")
+    groups = jaccard_components(rows, k=5, num=80, den=100, id_col=key)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
