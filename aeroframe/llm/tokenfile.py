@@ -1,9 +1,8 @@
 """Operator 9: flat files of unsigned token ids with 64-bit document offsets.
 
-Texts are encoded where they lie and written once as a table of ids; that table
-is range-partitioned and sorted by document id, so the texts aren't shuffled.
-Each task writes its range as three flat little-endian files to the shared
-folder:
+Documents are range-partitioned and sorted by id, a hash of the text, and a
+number among rows that agree in both. Each task encodes its range and writes
+three flat little-endian files to the shared folder:
 
 ``part-K.ids``  all ids of the range, unsigned 16 or 32 bits by the vocabulary
 ``part-K.off``  unsigned 64-bit offsets of its documents in ids, and the end
@@ -14,22 +13,21 @@ document's place in the whole is its part's base plus its own offset. Reading
 maps the files into memory; no part is ever merged or passed by the driver.
 
 Null and empty texts give a document of the end id alone. Repeated rows give a
-document each: rows of one id are ordered by a digest of their ids, then by
-their place in the table, so that they may be dealt to several tasks. A null id
-sorts first. An empty table gives a manifest without parts. Other columns are
-ignored.
+document each: rows of one id are ordered by a hash of their texts, and may be
+dealt to several tasks, even where they agree; those that do are written with
+their numbers first, so that a repeated task can't number them otherwise. A
+null id sorts first. An empty table gives a manifest without parts. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,31 +37,25 @@ from aeroframe.llm.tokencache import memory
 from aeroframe.session import qualified
 
 NO_ID = -(1 << 63)
-#: Bytes of ids in a part, about, up to ``MOST_PARTS``; parts are larger beyond.
+#: Bytes of texts in a part, about, up to ``MOST_PARTS``; parts are larger beyond.
 PART_BYTES, MOST_PARTS = 1 << 24, 100_000
 
 
-def _encoded(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool) -> DataFrame:
-    """doc_id, ids (flat, little-endian, with the end id), bits of an id and a digest of the ids."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = memory(tokenizer, drops_space)
-        if end_id > np.iinfo(words.dtype).max:
-            raise ValueError(f"end id {end_id} doesn't fit the file's {words.dtype}")
-        for batch in batches:
-            ids, n = words.encode(batch.column(1))
-            flat = np.full(len(ids) + len(n), end_id, words.dtype)
-            stop = np.cumsum(n + 1)
-            inner = np.ones(len(flat), bool)
-            inner[stop - 1] = False
-            flat[inner] = ids
-            raw, width = flat.tobytes(), words.dtype.itemsize
-            edges = np.concatenate([[0], stop]) * width
-            parts = [raw[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            mark = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary()), pa.array(np.full(len(n), width * 8, np.int32)), pa.array(mark, pa.int64())], ["doc_id", "ids", "bits", "mark"])
-
-    return docs.mapInArrow(encode, "doc_id long, ids binary, bits int, mark long")
+def _ordered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id and text in parts by doc_id, mark (a hash of the text) and place (among rows that agree)."""
+    rows = docs.withColumn("mark", F.xxhash64("text"))
+    counts = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    counts = scratch.save(counts, "counts")
+    count = min(MOST_PARTS, max(1, -(-(counts.agg(F.sum("bytes")).first()[0] or 0) // PART_BYTES)))
+    several = scratch.save(counts.where("rows > 1").select(F.col("doc_id").alias("several"), F.col("mark").alias("of")), "several")
+    if several.isEmpty():
+        placed = rows.withColumn("place", F.lit(0).cast("long"))
+    else:
+        same = F.col("doc_id").eqNullSafe(F.col("several")) & (F.col("mark") == F.col("of"))
+        told = scratch.save(rows.join(several, same, "left_semi").withColumn("place", F.monotonically_increasing_id()), "told")
+        placed = rows.join(several, same, "left_anti").withColumn("place", F.lit(0).cast("long")).unionByName(told)
+    order = ("doc_id", "mark", "place")
+    return placed.repartitionByRange(count, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
 def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int, drops_space: bool = False, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
@@ -71,39 +63,39 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int, dr
     spark = docs.sparkSession
     small_batches(spark)
     uri = qualified(spark, uri)
-    scratch = Scratch(spark, "token-files")
-    made = _encoded(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), tokenizer, end_id, drops_space)
-    made = scratch.save(made.withColumn("row", F.monotonically_increasing_id()), "encoded")
-    size = made.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    count = min(MOST_PARTS, max(1, -(-size // PART_BYTES)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = SharedFiles(uri)
+        words, files = memory(tokenizer, drops_space), SharedFiles(uri)
+        if end_id > np.iinfo(words.dtype).max:
+            raise ValueError(f"end id {end_id} doesn't fit the file's {words.dtype}")
         name = f"part-{TaskContext.get().partitionId():06d}"
-        lengths, keys, bits = [], [], []
+        counts, keys = [], []
 
-        def raw() -> Iterator[bytes]:
+        def encoded() -> Iterator[bytes]:
             for batch in batches:
-                lengths.append(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+                ids, n = words.encode(batch.column(1))
+                out = np.full(len(ids) + len(n), end_id, words.dtype)
+                stop = np.cumsum(n + 1)
+                inner = np.ones(len(out), bool)
+                inner[stop - 1] = False
+                out[inner] = ids
+                counts.append(n + 1)
                 keys.append(batch.column(0).fill_null(NO_ID).to_numpy())
-                bits.extend(batch.column(2).slice(0, 1).to_pylist())
-                yield from (x.as_buffer() for x in batch.column(1))
+                yield out.tobytes()
 
-        files.write(f"{name}.ids", raw())
-        if not keys:
+        files.write(f"{name}.ids", encoded())
+        size = np.concatenate([np.zeros(0, np.int64), *counts])
+        if not len(size):
             return
-        n = np.concatenate(lengths) // (bits[0] // 8)
-        files.write(f"{name}.off", [np.concatenate([[0], np.cumsum(n)]).astype("<u8").tobytes()])
+        files.write(f"{name}.off", [np.concatenate([[0], np.cumsum(size)]).astype("<u8").tobytes()])
         files.write(f"{name}.doc", [np.concatenate(keys).astype("<i8").tobytes()])
-        yield pa.RecordBatch.from_pydict({"part": [name], "documents": [len(n)], "tokens": [int(n.sum())], "bits": pa.array(bits[:1], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"part": [name], "documents": [len(size)], "tokens": [int(size.sum())], "bits": [words.dtype.itemsize * 8]})
 
-    order = ("doc_id", "mark", "row")
-    ordered = made.repartitionByRange(count, *order).sortWithinPartitions(*order).select("doc_id", "ids", "bits")
+    ordered = _ordered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), Scratch(spark, "token-files"))
     parts, base = [], 0
-    for row in sorted(ordered.mapInArrow(write, "part string, documents long, tokens long, bits int").collect()):  # a row for each task
+    for row in sorted(ordered.mapInArrow(write, "part string, documents long, tokens long, bits long").collect()):  # a row for each task
         parts.append(row.asDict() | {"base": base})
         base += row.tokens
-    scratch.drop("encoded")
     SharedFiles(uri).write("manifest.json", [json.dumps({"parts": parts, "end_id": end_id, "tokens": base}).encode()])
     return parts
 

@@ -271,3 +271,20 @@ def test_colliding_words_share_no_shingle():
     a, b = colliding_words()
     offsets, data = text_bytes(pa.array([a, b, f"x {a} y z", f"x {b} y z"]))
     assert len(set(shingles(data, offsets, 4)[1].tolist())) == 4
+
+
+def test_token_files_deal_out_a_hot_id(spark, monkeypatch):
+    """Rows of one id, or of none, go to several parts, equal ones too; reruns agree."""
+    import aeroframe.llm.tokenfile as tokenfile
+
+    monkeypatch.setattr(tokenfile, "PART_BYTES", 2000)
+    docs = table(spark, [(None, "same words here")] * 800 + [(5, f"words {i}") for i in range(800)] + [(6, None)])
+    starts = []
+    for _ in range(2):
+        uri = Scratch(spark, "tokens").uri
+        parts = write_token_files(docs, uri, BYTE, end_id=2)
+        assert len(parts) > 2 and max(p["documents"] for p in parts) < 800
+        got = read_token_files(spark, uri).orderBy("start").collect()
+        assert [r.doc_id for r in got] == [None] * 800 + [5] * 800 + [6]
+        starts.append([(r.start, r.ids_crc32) for r in got])
+    assert starts[0] == starts[1]
