@@ -116,23 +116,23 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, ``turns`` (role, text) and ``loss`` (the unescaped texts under the mask), from the output alone."""
+    """conv_id, ``turns`` (role, text) and ``loss`` (the unescaped texts under the mask), from the output alone; ``unknown`` as it was."""
     chunks = F.expr(r"filter(split(formatted, '<\\|im_start\\|>'), (c, i) -> i > 0)")
     parts = F.transform(chunks, lambda c: F.split(c, r"\n(?!\\)", 2))
     turns = F.transform(parts, lambda p: F.struct(unescape(F.element_at(p, 1)).alias("role"), unescape(F.substring_index(F.element_at(p, 2), "<|im_end|>", 1)).alias("text")))
     loss = F.transform("loss_mask", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
+    return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"), "unknown")
 
 
 def chat_digests(conversations: DataFrame) -> DataFrame:
-    """Formats rows by turn and returns what the output says: counts, digests, lengths."""
+    """Formats rows by turn and returns what the output says: counts, digests, lengths; and how many records no mapping knew."""
     rows = conversations.select("conv_id", F.to_variant_object(F.struct(F.col("turn"), F.col("role"), F.col("text"))).alias("r"))
     done = read_back(format_turns(canonical_turns(rows).select("conv_id", "turns")))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     under = F.concat_ws("", F.col("loss"))
     return done.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length(under).cast("long").alias("loss_chars"),
-        F.sha2(under, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.sha2(under, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), F.col("unknown").alias("n_unknown"),
     )
 
 
@@ -153,5 +153,5 @@ WITH rows AS (
     sum(12 + length(regexp_replace(role, '[<\[\\\n]', 'xx', 'g')) + 1 + length(regexp_replace(text, '[<\[\\]', 'xx', 'g')) + 11) AS chars
   FROM rows GROUP BY conv_id
 )
-SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM joined
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_unknown FROM joined
 """
