@@ -303,7 +303,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         verify(met.select(*pair("node_a", "node_b")), turn)
         break
 
-    final = components(scratch, union(linked), "components-final")
+    final = joined if linked[-1].isEmpty() else components(scratch, union(linked), "components-final")
     members = profiles.select("doc_id", "n", "d1", "d2").join(sets.select("d1", "d2", "node"), ["d1", "d2"], "left").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     real = members.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     out = members.join(real, "component", "left")
