@@ -36,6 +36,8 @@ from aeroframe.llm.textbytes import LOWER, blocks, text_bytes
 
 #: Labelled rows learned from, and landmarks, at most (and one more for a language); bytes of a landmark, at most.
 TRAIN, LANDMARKS, LONGEST = 3000, 128, 1 << 14
+#: Parts of a language's draws from which the smallest ones are taken first, so that no task gets a whole language.
+PARTS = 256
 GRAMS = 4
 RIDGE = 1e-3
 _SLOT_BITS = (22, 18)  # of the first table of slots, and of those for what it can't place
@@ -156,9 +158,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def drawn(rows: DataFrame, most: int) -> DataFrame:
         """About ``most`` different rows in all, alike from every language: those of the smallest draws."""
-        place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
         own = -(-most // len(languages))
-        last = rows.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= own).groupBy("lang").agg(F.max("draw").alias("draw")).collect()
+        first = lambda rows, *keys: rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("draw"))).where(F.col("place") <= own)
+        parts = rows.select("lang", "draw").distinct().withColumn("part", F.pmod("draw", F.lit(PARTS)))
+        last = first(first(parts, "lang", "part"), "lang").groupBy("lang").agg(F.max("draw").alias("draw")).collect()  # a row for each language
         chosen = F.lit(False)
         for r in last:
             chosen |= (F.col("lang") == r.lang) & (F.col("draw") <= r.draw)
