@@ -15,6 +15,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -32,9 +33,9 @@ DIMS = ("doc", "size", "source", "lang")
 
 def _with_nodes(rows: DataFrame, nodes: list[dict], **columns: Callable[[dict], int]) -> DataFrame:
     """Rows with figures of their node; a row for each node is broadcast, so plans don't grow with the nodes."""
-    table = [(i, *(int(f(n)) for f in columns.values())) for i, n in enumerate(nodes)]
-    schema = "node int, " + ", ".join(f"{c} long" for c in columns)
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, schema)), "node")
+    table = json.dumps([{"node": i} | {c: int(f(n)) for c, f in columns.items()} for i, n in enumerate(nodes)])
+    schema = "array<struct<node: int, " + ", ".join(f"{c}: bigint" for c in columns) + ">>"
+    return rows.join(F.broadcast(rows.sparkSession.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(table), schema)))), "node")
 
 
 def _cuts(rows: DataFrame, nodes: list[dict], tolerance: float) -> None:
