@@ -58,7 +58,8 @@ class Series1D:
 
     The first value column is the total. ``by`` names columns that tell several
     series apart. Every operation gives a new object; only ``rebin`` reads the
-    span of time when it is called, all else is computed when rows are asked for.
+    span of time and ``smooth`` counts rows when they are called, all else is
+    computed when rows are asked for.
     """
 
     def __init__(self, df: DataFrame, meta: SeriesMeta | None = None, ts: str = "ts", values: Sequence[str] = ("total_conc",), by: Sequence[str] = (), original: DataFrame | None = None, extra: DataFrame | None = None):
@@ -198,9 +199,10 @@ class Series1D:
     def smooth(self, window: int = 5, method: str = "mean", block_rows: int = BLOCK_ROWS) -> Series1D:
         """Centred rolling statistic over rows; for an even window the extra row lies before.
 
-        Each series is numbered in time order (rows of one time by their
-        values), cut into blocks that overlap by half a window, and rolled
-        block by block.
+        Rows of one time follow by their values. Series of up to ``block_rows``
+        rows, which are counted when this is called, are a window each; longer
+        ones are numbered in order, cut into blocks that overlap by half a
+        window, and rolled block by block.
         """
         if method not in _SMOOTH:
             raise ValueError(f"unknown method {method!r}; one of {', '.join(_SMOOTH)}")
@@ -208,6 +210,9 @@ class Series1D:
             raise ValueError("a window has at least one row")
         before, after = window // 2, (window - 1) // 2
         size = max(block_rows, window)
+        if (self.df.groupBy(*self.by).count().agg(F.max("count")).first()[0] or 0) <= size:
+            frame = Window.partitionBy(*self.by).orderBy(self.ts, *self.values).rowsBetween(-before, after)
+            return self._with(self.df.withColumns({c: _SMOOTH[method](F.col(c)).over(frame) for c in self.values}))
         numbered = _numbered(self.df, self.ts, self.values, self.by).withColumn("__block", F.floor(F.col("__n") / size)).withColumn("__place", F.col("__n") % size)
         copies = F.filter(F.array(F.lit(0), F.when(F.col("__place") < after, F.lit(-1)), F.when(F.col("__place") >= size - before, F.lit(1))), lambda x: x.isNotNull())
         spread = numbered.withColumn("__copy", F.explode(copies)).withColumn("__block", F.col("__block") + F.col("__copy"))
