@@ -98,6 +98,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aeroframe.llm.collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aeroframe.llm.storage import Scratch
     from aeroframe.llm.tokenfile import read_token_files, write_token_files
@@ -108,13 +114,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_jpeg_media, op3_jaccard_join, op4_kd_sharding, op5_language_id, op6_secret_scan, op7_embedding_near_dedup, op8_chat_format, op9_token_files, op10_mixing, op11_prefix_trie)}
+    return {f.__name__: f for f in (op1_packing, op2_jpeg_media, op3_jaccard_join, op4_kd_sharding, op5_language_id, op6_secret_scan, op7_embedding_near_dedup, op8_chat_format, op9_token_files, op10_mixing, op11_prefix_trie, op12_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
     from aeroframe.llm.chat import OP8_SQL
+    from aeroframe.llm.collocations import OP12_SQL
     from aeroframe.llm.mixing import OP10_SQL
     from aeroframe.llm.neardup import OP7_SQL
     from aeroframe.llm.trie import OP11_SQL
 
-    return {"op3_jaccard_join": OP3_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_chat_format": OP8_SQL, "op10_mixing": OP10_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op7_embedding_near_dedup": OP7_SQL, "op8_chat_format": OP8_SQL, "op10_mixing": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_collocations": OP12_SQL}

@@ -90,12 +90,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return state[0], state[1]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes other than space and 9-13, cut at documents."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that aren't ``white`` (space and 9-13), cut at documents."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~WHITE[data]
+    inside = ~white[data]
     first = np.empty(n, bool)
     first[0] = True
     np.logical_not(inside[:-1], out=first[1:])
@@ -108,6 +108,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(first & inside), np.flatnonzero(last & inside) + 1
 
 
+def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """data[s:e] of each span, which must be UTF-8, as an Arrow string array."""
+    size = (ends - starts).astype(np.int64)
+    stop = np.cumsum(size)
+    total = int(stop[-1]) if len(stop) else 0
+    at = np.repeat(starts - (stop - size), size) + np.arange(total)
+    offsets = np.concatenate([[0], stop])
+    kind, offsets = (pa.large_string(), offsets.astype(np.int64)) if total >= 1 << 31 else (pa.string(), offsets.astype(np.int32))
+    return pa.Array.from_buffers(kind, len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
 _WEIGHTS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3, 0xB42F5CD7A7D3A5C1)
 
 
