@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs over documents, embeddings and conversations.
+"""Training-data operators: thirteen Spark jobs over documents, embeddings and conversations.
 
 Nothing outside this subpackage imports it.
 """

@@ -104,6 +104,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aeroframe.llm.licenses import license_digests
+
+    return license_digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aeroframe.llm.storage import Scratch
     from aeroframe.llm.tokenfile import read_token_files, write_token_files
@@ -114,7 +120,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_jpeg_media, op3_jaccard_join, op4_kd_sharding, op5_language_id, op6_secret_scan, op7_embedding_near_dedup, op8_chat_format, op9_token_files, op10_mixing, op11_prefix_trie, op12_collocations)}
+    return {f.__name__: f for f in (op1_packing, op2_jpeg_media, op3_jaccard_join, op4_kd_sharding, op5_language_id, op6_secret_scan, op7_embedding_near_dedup, op8_chat_format, op9_token_files, op10_mixing, op11_prefix_trie, op12_collocations, op13_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
