@@ -3,21 +3,24 @@
 A record is any nested value (a struct, or JSON text). Its fingerprint is a
 hash of its nested field paths without the types of the leaves; it selects a
 declarative mapping from the record's layout to canonical turns (turn, role,
-text). Turns of one conversation are joined in order and written with the
+text). A record with further fields takes the mapping of the most paths that it
+has all of (the first declared of equally many): the hash of those of the
+mapping's paths that it has is the mapping's own; its other fields are left out. Turns of one conversation are joined in order and written with the
 template
 
     <|im_start|>ROLE NEWLINE TEXT <|im_end|> NEWLINE
 
 Control strings inside texts and roles are escaped reversibly: a backslash is
-put behind every ``<``, ``[`` and backslash (in roles also behind a line
-break), so that no control string survives and reading back drops it again. The
+put behind every ``<``, ``[`` and backslash, so that no control string survives
+and reading back drops it again; a line break in a role becomes ``[n``, which
+nothing else does, so that a role ends at the first line break. The
 loss mask is a list of [start, end) in code points of the formatted text, one
 for each assistant text.
 
 Null text and null role count as empty; a null turn sorts first; turns that tie
-are ordered by role, then text. Repeated rows are turns each. A record whose
-fingerprint no mapping knows, or that isn't JSON, gives no turns and is counted
-in ``unknown``. An empty table gives no rows. Other columns are ignored. A
+are ordered by role, then text. Repeated rows are turns each. A record that has
+the paths of no mapping, or that isn't JSON, gives no turns and is counted in
+``unknown``; one with an empty list of messages is known and has none. An empty table gives no rows. Other columns are ignored. A
 conversation is one value, so one task formats it whole.
 """
 
@@ -43,6 +46,7 @@ class Mapping:
     name: str
     example: str
     turns: str
+    paths: tuple[str, ...]
 
 
 def _get(path: str, kind: str = "string") -> str:
@@ -59,16 +63,25 @@ def _messages(path: str, role: str, text: str) -> str:
     return f"transform({_get(path, f'array<struct<`{role}`: string, `{text}`: string>>')}, (m, i) -> named_struct('turn', cast(i as bigint), 'role', coalesce(element_at(map({known}), m.`{role}`), m.`{role}`), 'text', m.`{text}`))"
 
 
+def _after_system(turns: str) -> str:
+    """A system turn, where the record's field has a text, before the others."""
+    said = _get("system")
+    return f"concat(if(coalesce({said}, '') = '', array(), array(named_struct('turn', -1L, 'role', 'system', 'text', {said}))), {turns})"
+
+
 _ASK = f"concat_ws('\\n\\n', {_get('instruction')}, nullif({_get('input')}, ''))"
+_MESSAGES, _CONVERSATIONS = _messages("messages", "role", "content"), _messages("conversations", "from", "value")
 MAPPINGS = (
-    Mapping("turn rows", '{"role":"","text":"","turn":0}', f"array(named_struct('turn', {_get('turn', 'bigint')}, 'role', {_get('role')}, 'text', {_get('text')}))"),
-    Mapping("prompt and response", '{"prompt":"","response":""}', _dialogue(("user", _get("prompt")), ("assistant", _get("response")))),
-    Mapping("prompt and completion", '{"completion":"","prompt":""}', _dialogue(("user", _get("prompt")), ("assistant", _get("completion")))),
-    Mapping("question and answer", '{"answer":"","question":""}', _dialogue(("user", _get("question")), ("assistant", _get("answer")))),
-    Mapping("instruction", '{"instruction":"","output":""}', _dialogue(("user", _get("instruction")), ("assistant", _get("output")))),
-    Mapping("instruction with input", '{"input":"","instruction":"","output":""}', _dialogue(("user", _ASK), ("assistant", _get("output")))),
-    Mapping("messages", '{"messages":[{"content":"","role":""}]}', _messages("messages", "role", "content")),
-    Mapping("conversations", '{"conversations":[{"from":"","value":""}]}', _messages("conversations", "from", "value")),
+    Mapping("turn rows", '{"role":"","text":"","turn":0}', f"array(named_struct('turn', {_get('turn', 'bigint')}, 'role', {_get('role')}, 'text', {_get('text')}))", ("turn", "role", "text")),
+    Mapping("prompt and response", '{"prompt":"","response":""}', _dialogue(("user", _get("prompt")), ("assistant", _get("response"))), ("prompt", "response")),
+    Mapping("prompt and completion", '{"completion":"","prompt":""}', _dialogue(("user", _get("prompt")), ("assistant", _get("completion"))), ("prompt", "completion")),
+    Mapping("question and answer", '{"answer":"","question":""}', _dialogue(("user", _get("question")), ("assistant", _get("answer"))), ("question", "answer")),
+    Mapping("instruction", '{"instruction":"","output":""}', _dialogue(("user", _get("instruction")), ("assistant", _get("output"))), ("instruction", "output")),
+    Mapping("instruction with input", '{"input":"","instruction":"","output":""}', _dialogue(("user", _ASK), ("assistant", _get("output"))), ("instruction", "input", "output")),
+    Mapping("messages", '{"messages":[{"content":"","role":""}]}', _MESSAGES, ("messages[].role", "messages[].content")),
+    Mapping("conversations", '{"conversations":[{"from":"","value":""}]}', _CONVERSATIONS, ("conversations[].from", "conversations[].value")),
+    Mapping("messages after a system text", '{"messages":[{"content":"","role":""}],"system":""}', _after_system(_MESSAGES), ("messages[].role", "messages[].content", "system")),
+    Mapping("conversations after a system text", '{"conversations":[{"from":"","value":""}],"system":""}', _after_system(_CONVERSATIONS), ("conversations[].from", "conversations[].value", "system")),
 )
 
 
@@ -78,9 +91,25 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.regexp_replace(paths, _LEAVES, "$1_"), _ITEMS, "$1_"))
 
 
+def _has(path: str) -> Column:
+    """Whether ``r`` has a path; an empty list has those of its items."""
+    head, _, item = path.partition("[].")
+    if not item:
+        return F.expr(f"try_variant_get(r, '$.{head}', 'variant') is not null")
+    items = f"try_variant_get(r, '$.{head}', 'array<variant>')"
+    return F.expr(f"coalesce(size({items}) = 0 or exists({items}, m -> try_variant_get(m, '$.{item}', 'variant') is not null), false)")
+
+
+def _paths_hash(paths: tuple[str, ...]) -> Column:
+    """Hash of those of the paths that ``r`` has."""
+    return F.xxhash64(F.concat_ws("\n", *(F.when(_has(p), F.lit(p)) for p in sorted(paths))))
+
+
 def canonical_turns(records: DataFrame, record_col: str = "r") -> DataFrame:
     """``records`` with ``turns`` by the mapping that the fingerprint of the variant column selects; null if none does."""
     out = F.lit(None).cast(_TURNS)
+    for m in sorted(reversed(MAPPINGS), key=lambda m: len(m.paths)):  # the last one asked is the most specific
+        out = F.when(_paths_hash(m.paths) == F.xxhash64(F.lit("\n".join(sorted(m.paths)))), F.expr(m.turns).cast(_TURNS)).otherwise(out)
     for m in MAPPINGS:
         known = fingerprint(F.parse_json(F.lit(m.example)))
         out = F.when(F.col("layout") == known, F.expr(m.turns).cast(_TURNS)).otherwise(out)
@@ -88,11 +117,13 @@ def canonical_turns(records: DataFrame, record_col: str = "r") -> DataFrame:
 
 
 def escape(text: Column, role: bool = False) -> Column:
-    return F.regexp_replace(text, r"([<\[\\\n])" if role else r"([<\[\\])", r"$1\\")
+    marked = F.regexp_replace(text, r"([<\[\\])", r"$1\\")
+    return F.replace(marked, F.lit("\n"), F.lit("[n")) if role else marked
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([<\[\\\n])\\", "$1")
+def unescape(text: Column, role: bool = False) -> Column:
+    plain = F.replace(text, F.lit("[n"), F.lit("\n")) if role else text
+    return F.regexp_replace(plain, r"([<\[\\])\\", "$1")
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -118,8 +149,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, ``turns`` (role, text) and ``loss`` (the unescaped texts under the mask), from the output alone; ``unknown`` as it was."""
     chunks = F.expr(r"filter(split(formatted, '<\\|im_start\\|>'), (c, i) -> i > 0)")
-    parts = F.transform(chunks, lambda c: F.split(c, r"\n(?!\\)", 2))
-    turns = F.transform(parts, lambda p: F.struct(unescape(F.element_at(p, 1)).alias("role"), unescape(F.substring_index(F.element_at(p, 2), "<|im_end|>", 1)).alias("text")))
+    parts = F.transform(chunks, lambda c: F.split(c, "\n", 2))
+    turns = F.transform(parts, lambda p: F.struct(unescape(F.element_at(p, 1), True).alias("role"), unescape(F.substring_index(F.element_at(p, 2), "<|im_end|>", 1)).alias("text")))
     loss = F.transform("loss_mask", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
     return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"), "unknown")
 

@@ -181,3 +181,41 @@ def test_sql(spark, name):
         db.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     show = lambda f: sorted(tuple(f"{v:.6f}" if isinstance(v, float) else str(v) for v in row) for row in f[sorted(f.columns)].itertuples(index=False, name=None))
     assert show(queries()[name](spark, DATA).toPandas()) == show(db.execute(oracle_sql()[name]).fetchdf())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_round_trip_of_marks_and_line_breaks(spark, seed):
+    """Texts and roles of escapes, control signs, line breaks and letters, all read back as they were."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["\\", "<", "[", "\n", "n", "|", ">", "im_start", "<|im_end|>\n", "x"]) for _ in range(rng.randrange(7)))
+    rows = [(c, t, rng.choice(["assistant", "user", word()]), rng.choice([word(), "\\frac{a}{b} is", "\\"])) for c in range(150) for t in range(rng.randint(1, 4))]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = format_turns(canonical_turns(table.select("conv_id", F.to_variant_object(F.struct("turn", "role", "text")).alias("r"))))
+    got = {r.conv_id: r for r in read_back(formatted).collect()}
+    for c, row in got.items():
+        own = [(role, text) for at, _, role, text in rows if at == c]
+        assert [tuple(t) for t in row.turns] == own and row.loss == [text for role, text in own if role == "assistant"]
+        assert row.formatted.count(OPEN) == row.formatted.count(CLOSE.strip()) == len(own)
+
+
+def test_records_with_further_fields(spark):
+    """The mapping of the most paths that a record has; other fields are left out."""
+    records = {
+        '{"id": 7, "messages": [{"role": "user", "content": "u"}]}': [("user", "u")],
+        '{"messages": [{"role": "user", "content": "u", "name": "me"}, {"role": "assistant", "content": "a"}]}': [("user", "u"), ("assistant", "a")],
+        '{"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": null, "tool": [1]}]}': [("user", "u"), ("assistant", None)],
+        '{"system": "be brief", "conversations": [{"from": "human", "value": "h"}]}': [("system", "be brief"), ("user", "h")],
+        '{"id": 1, "system": "", "conversations": [{"from": "human", "value": "h", "weight": 1}]}': [("user", "h")],
+        '{"instruction": "i", "output": "o", "source": "s"}': [("user", "i"), ("assistant", "o")],
+        '{"instruction": "i", "input": "x", "output": "o", "source": {"a": 1}}': [("user", "i\n\nx"), ("assistant", "o")],
+        '{"messages": []}': [],
+        '{"id": 3, "messages": []}': [],
+        '{"messages": [{"content": "without a role"}]}': None,
+        '{"messages": 5}': None,
+        '{"prompt": "alone"}': None,
+    }
+    table = spark.createDataFrame([(k,) for k in records], "json string").select("json", F.try_parse_json("json").alias("r"))
+    got = canonical_turns(table)
+    for row in got.select("json", F.transform("turns", lambda t: F.struct(t["role"], t["text"])).alias("turns")).collect():
+        assert (None if row.turns is None else [tuple(t) for t in row.turns]) == records[row.json], row.json
+    assert format_turns(got.select(F.lit(1).alias("conv_id"), "turns")).first().unknown == 3
