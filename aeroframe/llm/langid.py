@@ -8,9 +8,10 @@ kernel ridge regression give a weight for each n-gram, so a batch of texts is
 scored by one product of its presence matrix with the weights.
 
 Fitting uses a bounded sample of labelled rows: at most ``TRAIN`` different
-texts in all, and ``LANDMARKS`` landmarks among those of at most ``LONGEST``
-bytes, taken alike from every language by the smallest hashes of id and text;
-rows that agree in both count once. All else covers every row and the whole
+texts and ``LANDMARKS`` landmarks, taken alike from every language by the
+smallest hashes of id and text; landmarks are texts of at most ``LONGEST`` bytes
+as long as a language has them, and longer ones beyond. Rows that agree in both
+count once, and so do ties. All else covers every row and the whole
 text. The sums that training needs are made on the executors; the driver gets
 matrices of LANDMARKS x LANDMARKS and the landmarks' n-grams.
 
@@ -34,7 +35,7 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from aeroframe.llm.storage import small_batches
 from aeroframe.llm.textbytes import LOWER, blocks, text_bytes
 
-#: Labelled rows learned from, and landmarks, at most (and one more for a language); bytes of a landmark, at most.
+#: Labelled rows learned from, and landmarks, at most (and one more for a language); bytes of a text that is a landmark before longer ones are.
 TRAIN, LANDMARKS, LONGEST = 3000, 128, 1 << 14
 #: Parts of a language's draws from which the smallest ones are taken first, so that no task gets a whole language.
 PARTS = 256
@@ -156,15 +157,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     number = {x: i for i, x in enumerate(languages)}
     rows = rows.where(_letters(F.col("text"))).select("text", "lang", "draw")
 
-    def drawn(rows: DataFrame, most: int) -> DataFrame:
-        """About ``most`` different rows in all, alike from every language: those of the smallest draws."""
+    def drawn(rows: DataFrame, most: int, longest: int | None = None) -> DataFrame:
+        """About ``most`` different rows in all, alike from every language: those of the smallest draws, longer texts after the others."""
         own = -(-most // len(languages))
-        first = lambda rows, *keys: rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("draw"))).where(F.col("place") <= own)
-        parts = rows.select("lang", "draw").distinct().withColumn("part", F.pmod("draw", F.lit(PARTS)))
-        last = first(first(parts, "lang", "part"), "lang").groupBy("lang").agg(F.max("draw").alias("draw")).collect()  # a row for each language
+        rows = rows.withColumn("late", F.lit(0) if longest is None else (F.octet_length("text") > longest).cast("int"))
+        first = lambda rows, *keys: rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("late", "draw"))).where(F.col("place") <= own)
+        parts = rows.select("lang", "late", "draw").distinct().withColumn("part", F.pmod("draw", F.lit(PARTS)))
+        last = first(first(parts, "lang", "part"), "lang").groupBy("lang").agg(F.max(F.struct("late", "draw")).alias("last")).collect()  # a row for each language
         chosen = F.lit(False)
         for r in last:
-            chosen |= (F.col("lang") == r.lang) & (F.col("draw") <= r.draw)
+            chosen |= (F.col("lang") == r.lang) & (F.struct("late", "draw") <= F.struct(F.lit(r.last.late).alias("late"), F.lit(r.last.draw).alias("draw")))
         return rows.where(chosen).groupBy("lang", "draw").agg(F.first("text").alias("text")).select("text", "lang")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +176,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 own = [np.unique(codes) for _, codes in _codes(LOWER[data[i:j]], np.array([0, j - i]))] if j > i else []
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(own).tobytes() if own else b""], pa.binary())], ["codes"])
 
-    short = rows.where(F.octet_length("text") <= LONGEST)
-    sets = [np.frombuffer(r.codes, np.uint64) for r in drawn(short, LANDMARKS).select("text").mapInArrow(grams, "codes binary").collect()]  # LANDMARKS rows of LONGEST bytes
+    sets = [np.frombuffer(r.codes, np.uint64) for r in drawn(rows, LANDMARKS, LONGEST).select("text").mapInArrow(grams, "codes binary").collect()]  # the different n-grams of LANDMARKS rows
     if not sets:
         return None
     vocabulary = Vocabulary(np.concatenate(sets))

@@ -1,5 +1,6 @@
 """Packing, token files and language ID against plain per-document code."""
 
+import random
 import zlib
 
 import numpy as np
@@ -288,3 +289,20 @@ def test_token_files_deal_out_a_hot_id(spark, monkeypatch):
         assert [r.doc_id for r in got] == [None] * 800 + [5] * 800 + [6]
         starts.append([(r.start, r.ids_crc32) for r in got])
     assert starts[0] == starts[1]
+
+
+@pytest.mark.parametrize("long_langs", [("en", "de"), ("de",)])
+def test_languages_of_long_texts_only(spark, long_langs):
+    """Long labelled texts are landmarks where a language has no short ones, so none is lost."""
+    from aeroframe.llm.langid import LONGEST
+
+    words = {"en": ["the", "with", "house", "thing", "they", "while"], "de": ["der", "und", "nicht", "schön", "über", "zwischen"]}
+    rng = random.Random(7)
+    rows = []
+    for i in range(80):
+        lang = ["en", "de"][i % 2]
+        size = 4000 if lang in long_langs else 30
+        rows.append((i, " ".join(rng.choices(words[lang], k=size)), lang, None))
+    assert all((len(r[1].encode()) > LONGEST) == (r[2] in long_langs) for r in rows)
+    got = {r.doc_id: r for r in language_id(table(spark, rows)).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang, _ in rows)
