@@ -36,6 +36,8 @@ from aeroframe.llm.storage import Scratch
 SAMPLE = 1 << 15
 #: Sampled classes that a leaf keeps at least.
 LEAST = 32
+#: Sampled classes from which a leaf is cut even if its labels are small, so that small tables have several leaves, too.
+SMALLEST = 48
 #: Members of one label that a leaf is cut down to, and members of a tile.
 LEAF, TILE = 512, 2048
 #: Directions that a large leaf may be split along in one round, and rounds without a cut after which it is a knot.
@@ -243,7 +245,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = 6, spi
         sample = classes.where((F.col("size") == c["size"]) & (F.abs(F.xxhash64("h1", "h2", F.lit(seed)) % 1_000_000) < int(share * 1_000_000))).select("vector").toArrow()
         points = _unit(sample.column("vector").combine_chunks()) if sample.num_rows else np.zeros((0, c["size"]))
         rng = np.random.default_rng([seed, c["size"]])
-        small = max(LEAST, int(len(points) * LEAF / max(1, c.most)))
+        small = min(max(LEAST, int(len(points) * LEAF / max(1, c.most))), max(SMALLEST, len(points) // 8))  # several leaves at any size
         forest[c["size"]], starts[c["size"]] = [], []
         for _ in range(trees if len(points) > small else 1):
             tree = fit_tree(points, small, spill, rng)

@@ -173,6 +173,15 @@ def test_large_leaves_are_split_again(spark, monkeypatch):
 DATA = os.environ.get("AEROFRAME_DATA", "/root/testdata/sf0.001")
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+def test_small_tables_have_several_leaves(spark, monkeypatch):
+    fitted = []
+    fit = neardup.fit_tree
+    monkeypatch.setattr(neardup, "fit_tree", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    near_duplicates(spark.read.parquet(f"{DATA}/embeddings.parquet")).count()
+    assert len(fitted) == 6 and all(len(t.cut) >= 3 for t in fitted)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, name):
