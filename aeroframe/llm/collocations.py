@@ -18,12 +18,12 @@ Suffixes end before a word, or a pair of words, that is rarer than ``least``:
 no phrase with it counts. Frequent words and pairs are known by bit tables of
 bounded size (a byte counter for each slot, saturating, added up over tasks); a
 slot shared by chance only keeps suffixes longer than need be, and counts stay
-exact. Equal suffixes of a block of texts are one row with a count before they
-are moved.
+exact. Equal suffixes of a block of texts are counted, and those of one group
+packed, before they are moved.
 
 What reaches the driver is bounded: 2^20 slot sums, at most 2^20 prefixes above
-the budget for each length (the budget grows where all suffixes are more than
-2^20 times its least value), and the bit tables (at most 2^26 bits each).
+the budget for each length (a text of more than 2^40 words gets groups of more
+suffixes), and the bit tables (at most 2^26 bits each).
 
 Results for odd input: null and empty texts have no words; a null lang is
 ``und``, one group with a lang of that name; very long texts are read whole, in
@@ -49,10 +49,10 @@ from aeroframe.llm.textbytes import LOWER, blocks, gather, mix, span_hashes, tex
 
 #: Words of a phrase at most; occurrences of a candidate at least.
 DEPTH, LEAST = 4, 30
-#: Suffixes of a group, about; prefixes and slots that the driver may get are at most 2^MOST_BITS.
-BUDGET, MOST_BITS = 1 << 18, 20
-#: Bytes of texts whose equal suffixes are made one row.
-TEXT_BLOCK = 1 << 21
+#: Suffixes of a group, at most, and groups, at least, of any but the smallest tables; prefixes and slots that the driver may get are at most 2^MOST_BITS.
+BUDGET, GROUPS, MOST_BITS = 1 << 20, 64, 20
+#: Bytes of texts whose equal suffixes are made one.
+TEXT_BLOCK = 1 << 22
 #: Bits of the tables of frequent words and pairs, from and to.
 FEWEST, MOST = 18, 26
 #: Parts of a language that are ranked on their own first.
@@ -169,7 +169,7 @@ def _count_prefixes(texts: DataFrame, plan: Plan, length: int) -> DataFrame:
             row = words.row[there][first]
             yield pa.RecordBatch.from_arrays([langs.take(pa.array(row)), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "key", "n"])
 
-    return texts.mapInArrow(counted, "lang string, key long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.first("lang").alias("lang"))
+    return texts.mapInArrow(counted, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 def _slot_bits(n: int, fewest: int, most: int) -> int:
@@ -225,7 +225,7 @@ def partition_vertically(scratch: Scratch, texts: DataFrame, least: int = LEAST,
     counts = scratch.save(_count_prefixes(texts, plan, 1), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    plan.budget = max(budget, total >> MOST_BITS)
+    plan.budget = max(1, min(budget, total // GROUPS), total >> MOST_BITS)
     plan.words = _frequent_words(counts, least)
     plan.slot_bits = _slot_bits(16 * total // plan.budget, 4, MOST_BITS)
     sums = np.zeros(1 << plan.slot_bits, np.int64)
@@ -243,7 +243,7 @@ def partition_vertically(scratch: Scratch, texts: DataFrame, least: int = LEAST,
 
 
 def _suffixes(texts: DataFrame, plan: Plan) -> DataFrame:
-    """(grp, cut, lang, suffix, n): suffixes up to the first rare word or pair; nodes of fewer than ``cut`` words may be in several groups."""
+    """(grp, lang, size, packed): suffixes up to the first rare word or pair, those of a block, group and language packed into one row."""
     shared = texts.sparkSession.sparkContext.broadcast(plan)
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def _suffixes(texts: DataFrame, plan: Plan) -> DataFrame:
             going[going] = plan.pairs.has(words.longer(words.key, 2)[going])
             length = often.astype(np.int64)
             keys, whole = words.key, words.key.copy()
-            group, cut = words.key.copy(), np.ones(count, np.int64)
+            group, cut = words.key.copy(), np.ones(count, np.uint8)
             ahead = np.ones(count, bool)
             for by in range(2, DEPTH + 1):
                 words.go_on(ahead, going, by)
@@ -268,37 +268,57 @@ def _suffixes(texts: DataFrame, plan: Plan) -> DataFrame:
                 group[heavy & ahead] = keys[heavy & ahead]
             whole = mix(whole + length.astype(np.uint64))
             kept = np.flatnonzero(length)
+            if not len(kept):
+                continue
             _, first, n = np.unique(whole[kept], return_index=True, return_counts=True)
             at = kept[first]
+            coded = langs.dictionary_encode()
+            names, lang = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)[words.row[at]]
+            grp = plan.group(group[at])
+            order = np.lexsort((group[at], words.key[at], lang, grp))
+            at, n, lang, grp = at[order], n[order].astype("<u4"), lang[order], grp[order]
             # The words one by one with a space behind each, so that a suffix is one span.
             size = words.ends - words.starts + 1
             stop = np.cumsum(size)
             begin = stop - size
-            place = np.repeat(words.starts - begin, size) + np.arange(int(stop[-1]) if count else 0)
-            spaced = words.data[np.minimum(place, len(words.data) - 1)]
+            spaced = words.data[np.minimum(np.repeat(words.starts - begin, size) + np.arange(int(stop[-1])), len(words.data) - 1)]
             spaced[stop - 1] = 0x20
-            last = at + length[at] - 1
-            for a in range(0, len(at), 50_000):
-                b = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(plan.group(group[at[b]])), pa.array(cut[at[b]].astype(np.int8)), langs.take(pa.array(words.row[at[b]])), gather(spaced, begin[at[b]], stop[last[b]] - 1), pa.array(n[b])], ["grp", "cut", "lang", "suffix", "n"]
-                )
+            begin, span, cut = begin[at], stop[at + length[at] - 1] - begin[at], cut[at]
+            edge = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (lang[1:] != lang[:-1]), [True]]))
+            sizes, packed = [], []
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                ends = np.cumsum(span[i:j])
+                text = spaced[np.repeat(begin[i:j] - (ends - span[i:j]), span[i:j]) + np.arange(int(ends[-1]))]
+                text[ends - 1] = 0x0A
+                raw = np.uint32(j - i).tobytes() + n[i:j].tobytes() + cut[i:j].tobytes() + text.tobytes()
+                sizes.append(len(raw))
+                packed.append(pa.compress(raw, "zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(grp[edge[:-1]]), names.take(pa.array(lang[edge[:-1]])), pa.array(sizes), pa.array(packed, pa.binary())], ["grp", "lang", "size", "packed"])
 
-    return texts.mapInArrow(emitted, "grp int, cut tinyint, lang string, suffix string, n long")
+    return texts.mapInArrow(emitted, "grp int, lang string, size long, packed binary")
 
 
 def subtrees(suffixes: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, words, n, partial): nodes of each group's suffix tree that occur often enough, or may go on in other groups."""
 
     def grown(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()  # a group: the budget's suffixes, about
-        offsets, data = text_bytes(table.column("suffix"))
-        langs = table.column("lang").combine_chunks()
-        n, cut = table.column("n").to_numpy(), table.column("cut").to_numpy()
+        counts, cuts, bodies, langs = [], [], [], []  # a group: the budget's suffixes, about
+        for batch in batches:
+            for lang, size, packed in zip(batch.column("lang"), batch.column("size").to_pylist(), batch.column("packed"), strict=True):
+                raw = pa.decompress(packed.as_buffer(), size, "zstd")
+                rows = int(np.frombuffer(raw, "<u4", 1)[0])
+                counts.append(np.frombuffer(raw, "<u4", rows, 4))
+                cuts.append(np.frombuffer(raw, np.uint8, rows, 4 + 4 * rows))
+                bodies.append(np.frombuffer(raw, np.uint8, offset=4 + 5 * rows))
+                langs += [lang.as_py()]
+        coded = pa.array(langs, pa.string()).dictionary_encode()
+        lang = np.repeat(coded.indices.to_numpy(), [len(c) for c in counts])
+        n, cut, data = np.concatenate(counts).astype(np.int64), np.concatenate(cuts), np.concatenate(bodies)
+        salt = _salts(coded.dictionary)[lang]
+        offsets = np.concatenate([[0], np.flatnonzero(data == 0x0A) + 1])
         starts, ends = word_spans(data, offsets)
         row = np.searchsorted(offsets, starts, "right") - 1
         place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(n)))[row]
-        salt = _salts(langs)
         hashes, stops = np.zeros((DEPTH, len(n)), np.uint64), np.zeros((DEPTH, len(n)), np.int64)
         for d in range(DEPTH):
             own, stop = row[place == d], ends[place == d]
@@ -317,7 +337,7 @@ def subtrees(suffixes: DataFrame, least: int) -> DataFrame:
             kept = partial | (totals >= least)
             node = node[kept]
             if len(node):
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(node)), gather(data, offsets[node], stops[d, node]), pa.array(np.full(len(node), d + 1, np.int32)), pa.array(totals[kept]), pa.array(partial[kept])], ["lang", "phrase", "words", "n", "partial"])
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(lang[node])), gather(data, offsets[node], stops[d, node]), pa.array(np.full(len(node), d + 1, np.int32)), pa.array(totals[kept]), pa.array(partial[kept])], ["lang", "phrase", "words", "n", "partial"])
 
     return suffixes.groupBy("grp").applyInArrow(grown, "lang string, phrase string, words int, n long, partial boolean")
 

@@ -61,7 +61,7 @@ def found(df):
     return sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in df.collect())
 
 
-@pytest.mark.parametrize("seed, budget, parts", [(1, 1 << 18, 2), (2, 200, 3), (3, 25, 5)])
+@pytest.mark.parametrize("seed, budget, parts", [(1, 1 << 20, 2), (2, 200, 3), (3, 25, 5)])
 def test_against_plain_counting(spark, seed, budget, parts):
     rows = texts(seed)
     table = spark.createDataFrame(rows, SCHEMA).withColumn("phrase", F.lit("clash")).withColumn("n", F.lit(1)).repartition(parts)
