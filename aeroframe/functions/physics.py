@@ -28,7 +28,7 @@ def conversion(bins: Bins, source: Moment, target: Moment, density: float) -> li
 
 def share_below(bins: Bins, cut: float) -> list[float]:
     """Part of each bin below a diameter, linear in diameter inside a bin."""
-    return [min(1.0, max(0.0, (cut - a) / (b - a))) for a, b in zip(bins.edges[:-1], bins.edges[1:], strict=True)]
+    return [min(1.0, max(0.0, (cut - a) / (b - a))) for a, b in bins.spans]
 
 
 def reynolds(diameter: float, flow: float, temperature: float = 293.0, pressure: float = 101300.0) -> float:

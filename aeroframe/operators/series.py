@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeroframe.functions.metrics import no_nan
-from aeroframe.model import ALL_DATA, Activity, SeriesMeta, moment_of_time, periods
+from aeroframe.model import ALL_DATA, Activity, Bins, Scale, SeriesMeta, common_bins, moment_of_time, periods
 
 #: Rows in a block of a rolling window over one long series.
 BLOCK_ROWS = 65_536
@@ -304,13 +304,24 @@ def first_by_time(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
 
 
-def union(parts: Sequence[Series1D], check: Sequence[str] = ("serial_number",)) -> Series1D:
-    """All rows of series whose checked metadata equal the first one's; of rows with one time the earliest part's stays."""
+def union(parts: Sequence[Series1D], check: Sequence[str] = ("serial_number",), overlapping: bool = False) -> Series1D:
+    """All rows of series whose checked metadata equal the first one's; of rows with one time the earliest part's stays.
+
+    Size distributions are brought to the first one's moment and normalisation.
+    A bin is told by its edges, so bins of different sizes stay apart, null in
+    the rows of parts without them; bins that overlap without being equal are
+    an error unless ``overlapping``.
+    """
     if not parts:
         raise ValueError("nothing to unite")
     first = parts[0]
     known = lambda p: [getattr(p.meta, c) if hasattr(p.meta, c) else p.meta.extra.get(c) for c in check]
     good = [p for p in parts if known(p) == known(first)]
+    if first.meta.bins is not None:
+        good = [_as_first(p, first.meta) for p in good]
+        bins = common_bins((p.meta.bins for p in good), overlapping)
+        first = first._with(first.df, meta=replace(first.meta, bins=bins), values=("total_conc", *bins.columns))
+        good = [_in_bins(p, bins) for p in good]
     join = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     rows = join([p.df.withColumn("__file", F.lit(i)).withColumn("__row", F.monotonically_increasing_id()) for i, p in enumerate(good)])
     out = first._with(rows).deduplicated(["__file", "__row"])
@@ -319,6 +330,28 @@ def union(parts: Sequence[Series1D], check: Sequence[str] = ("serial_number",))
     return out._with(out.df.drop("__file", "__row"), original_data=out.df.drop("__file", "__row"), extra_data=beside)
 
 
+def _as_first(part: Series1D, meta: SeriesMeta) -> Series1D:
+    """A size distribution with the moment and normalisation of ``meta``."""
+    if part.meta.bins is None:
+        raise ValueError("a series without a size distribution among some that have one")
+    if (part.meta.moment, part.meta.scale) == (meta.moment, meta.scale):
+        return part
+    part = part.unnormalize().convert(meta.moment)
+    if meta.scale is Scale.LINEAR:
+        raise ValueError("a distribution by linear widths among others; unnormalize it first")
+    return part.normalize() if meta.scale is Scale.LOG else part
+
+
+def _in_bins(part: Series1D, bins: Bins) -> Series1D:
+    """The part's bins as those of ``bins`` with the same edges; the others are null."""
+    if part.meta.bins.spans == bins.spans:
+        return part
+    own = dict(zip(part.meta.bins.spans, part.meta.bins.columns, strict=True))
+    columns = [F.col(own[s]).alias(c) if s in own else F.lit(None).cast("double").alias(c) for s, c in zip(bins.spans, bins.columns, strict=True)]
+    rest = [F.col(f"`{c}`") for c in part.df.columns if c not in own.values()]
+    return part._with(part.df.select(*rest, *columns), meta=replace(part.meta, bins=bins), values=("total_conc", *bins.columns))
+
+
 def _united(periods: DataFrame, *keys: str) -> DataFrame:
     """Periods (s, e) of each key with those that overlap made one; the last key is dropped unless it is the only one."""
     order = Window.partitionBy(*keys).orderBy("s", "e")

@@ -171,8 +171,7 @@ class Series2D(Series1D):
         if half is not None:
             micros = round(half.total_seconds() * 1e6)
             cells = cells.withColumns({"cell_start": F.col(self.ts) - seconds(micros), "cell_end": F.col(self.ts) + seconds(micros)})
-        edges = self.bin_edges
-        lower, upper = (F.element_at(F.array(*map(F.lit, e)), F.col("bin_idx") + 1) for e in (edges[:-1], edges[1:]))
+        lower, upper = (F.element_at(F.array(*map(F.lit, e)), F.col("bin_idx") + 1) for e in zip(*self.bins.spans, strict=True))
         top = high or ends.high  # None without rows
         scale = (float(low), top if top is None else float(top)) if (low, high) != (0, 0) else (ends.low, ends.high)
         return cells.withColumns({"edge_low": lower, "edge_high": upper}), scale
@@ -180,5 +179,5 @@ class Series2D(Series1D):
 
 def counts_by_bin(df: DataFrame, bucket: Column, diameter: Column, bins: Bins) -> DataFrame:
     """Particles counted one by one to a distribution: rows in [low, high) of each bin for each bucket."""
-    inside = [F.count_if((diameter >= a) & (diameter < b)).cast("double").alias(c) for c, a, b in zip(bins.columns, bins.edges[:-1], bins.edges[1:], strict=True)]
+    inside = [F.count_if((diameter >= a) & (diameter < b)).cast("double").alias(c) for c, (a, b) in zip(bins.columns, bins.spans, strict=True)]
     return df.groupBy(bucket.alias("ts")).agg(*inside)

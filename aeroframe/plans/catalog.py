@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from aeroframe.functions.physics import PM_CUTS
 from aeroframe.operators.series import Series1D, union
-from aeroframe.plans.exports import EXPORTS, expected, loaded
+from aeroframe.plans.exports import EXPORTS, expected, loaded, other_bins, other_bins_sql
 from aeroframe.plans.fixtures import ACTIVITIES, BINS, EDGES, FINE_BINS, events, s1, s2, s2_marked, s2d, s2m
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -329,6 +329,7 @@ _register("ops_deadtime_conc", _ops, "SELECT l_orderkey, l_linenumber, CASE WHEN
 
 for _dialect in EXPORTS:
     _register(f"load_{_dialect}", lambda spark, d, x=_dialect: loaded(spark, d, x), expected(_dialect))
+_register("folder_union_other_bins", other_bins, other_bins_sql())
 
 
 def queries() -> dict[str, Query]:

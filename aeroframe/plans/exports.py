@@ -1,8 +1,8 @@
 """Instruments' exports made from events, a file for each day, and what loading them must give.
 
 Each dialect says how a file begins (SQL that may use ``day``), its header, and
-a row (SQL over ``t``, the time to the second, ``secs`` of the day, ``event_id``
-and ``value``). The expected rows are SQL over the same events, so that neither
+a row (SQL over ``t``, the time to the second, ``secs`` of the day, ``place`` in
+the day from 0, ``event_id`` and ``value``). The expected rows are SQL over the same events, so that neither
 side takes anything from the loaders.
 """
 
@@ -12,7 +12,7 @@ import math
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aeroframe.plans.fixtures import events
@@ -25,8 +25,11 @@ class Made:
     start: list[str]  # SQL of the lines before the table
     header: str
     row: str  # SQL
-    expected: dict[str, str]  # column: DuckDB's SQL over t, event_id, value
-    end: int = 0  # lines after the table
+    expected: dict[str, str]  # column: DuckDB's SQL over event_id, value
+    end: tuple[str, ...] = ()  # lines after the table
+    dialect: str = ""  # where it isn't the export's name
+    time: str = ""  # DuckDB's SQL over day and place, where times follow from places
+    extra: dict[str, str] | None = None  # further columns: DuckDB's SQL
 
 
 def _lines(*texts: str) -> list[str]:
@@ -142,28 +145,96 @@ def _smps() -> Made:
     return Made(start, ",".join(names), row, _bins(_wide(edges)))
 
 
-EXPORTS: dict[str, Made] = {f.__name__[1:]: f() for f in (_aethalometer, _cpc, _discmini, _elpi, _fmps, _fourtec, _grimm, _nanoscan, _opcn3, _ops, _partector, _smps)}
+def _cpc_focused() -> Made:
+    start = [*_lines("Title,x,y,z", *("a,b,c,d" for _ in range(3))), "concat('Start Date,', date_format(day, 'MM/dd/yy'), ',,')", *_lines('Serial,"CPC 39123 !!",,', "Start Time,00:00:00,,", *("x,,," for _ in range(7)))]
+    row = _joined(",", "concat('t', place)", _VALUE, "'0'", "'0'")
+    return Made(start, "Time,Conc,c,d", row, {"total_conc": _NUMBER}, ("end,1,1,1",) * 3, "cpc", "day + (place + 1) * INTERVAL 1 SECOND")
 
 
-def write_exports(spark: SparkSession, sf_dir: str, dialect: str) -> str:
-    """A folder with a file for each day of events."""
-    made = EXPORTS[dialect]
+def _fmps_english() -> Made:
+    danish = _fmps()
+    start = ["concat('Start Time,Friday ', date_format(day, 'MMM d'), ',', date_format(day, 'yyyy'), ' 12:00:00 AM')", *danish.start[1:]]
+    row = danish.row.replace("secs", "date_format(cast(day as timestamp_ntz) + make_dt_interval(0, 0, 0, 2 * place), 'hh:mm:ss a')", 1)
+    return Made(start, danish.header.replace("Elapsed Time [s]", "Time"), row, danish.expected, dialect="fmps", time="day + 2 * place * INTERVAL 1 SECOND")
+
+
+def _grimm_instrument() -> Made:
+    row = _joined(";", _DAY.format("M/d/yyyy hh:mm:ss a"), *map(_count, range(5)))
+    return Made(_lines("File name;x;y Count"), "Date;0.25-0.5;0.5-1.0;1.0-2.5;2.5-10.0;>32", row, _bins(["/ 1000"] * 5), dialect="grimm")
+
+
+def _ops_software() -> Made:
+    cuts = [0.3, 0.374, 0.465, 0.579, 0.721, 0.897, 1.117, 1.391, 1.732, 2.156, 2.685, 3.343, 4.162, 5.182, 6.451, 8.031, 10.0]
+    pad = [""] * 17
+    start = _lines("Sample File,x", "Serial Number,A9", "Density,1.0", "x", "x", "Weight,Number", "Units,dW/dlogDp", "x", "x", "x", ",".join([*pad, *map(str, cuts[:-1]), ""]), ",".join([*pad, *map(str, cuts[1:]), ""]), "x")
+    names = ["Sample #", "Date", "Start Time", *(f"k{k}" for k in range(14)), *(f"{(a + b) / 2:.4f}" for a, b in zip(cuts[:-1], cuts[1:], strict=True)), "tail"]
+    row = _joined(",", "event_id", _DAY.format("MM/dd/yyyy"), _DAY.format("HH:mm:ss"), *("'0'",) * 14, *map(_count, range(16)), "'t'")
+    return Made(start, ",".join(names), row, _bins(_wide(cuts)), dialect="ops")
+
+
+def _smps_extra() -> Made:
+    plain = _smps()
+    return Made(plain.start, plain.header, plain.row, plain.expected, dialect="smps", extra={"Sample #": "event_id::VARCHAR", "a": "'0'", "Scan": "'up'"})
+
+
+def _ops_other(shift: int) -> Made:
+    """The same instrument with its cut points ``shift`` steps further up."""
+    made = _ops()
+    cuts = [f"Bin {k + 1} Cut Point (um),{0.3 * 1.25 ** (k + shift):.3f}" for k in range(17)]
+    return Made([*made.start[:5], *_lines(*cuts), *made.start[22:]], made.header, made.row, made.expected, dialect="ops")
+
+
+EXPORTS: dict[str, Made] = {f.__name__[1:]: f() for f in (_aethalometer, _cpc, _cpc_focused, _discmini, _elpi, _fmps, _fmps_english, _fourtec, _grimm, _grimm_instrument, _nanoscan, _opcn3, _ops, _ops_software, _partector, _smps, _smps_extra)}
+
+
+def write_exports(spark: SparkSession, sf_dir: str, made: Made, where: str = "true", folder: str = "") -> str:
+    """A folder with a file for each day of the events ``where`` says."""
     rows = events(spark, sf_dir).select(F.date_trunc("second", "ts").cast("timestamp_ntz").alias("t"), "event_id", "value")
-    rows = rows.withColumns({"day": F.to_date("t"), "secs": F.expr("hour(t) * 3600 + minute(t) * 60 + second(t)")})
+    rows = rows.withColumns({"day": F.to_date("t"), "secs": F.expr("hour(t) * 3600 + minute(t) * 60 + second(t)")}).where(where)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy("event_id")) - 1)
     table = rows.select("day", F.col("event_id").alias("n"), F.expr(made.row).alias("line"))
-    first = rows.select("day").distinct().select("day", F.posexplode(F.array(*map(F.expr, made.start), F.lit(made.header))).alias("n", "line"))
-    first = first.select("day", (F.col("n") - (1 << 40)).alias("n"), "line")
-    folder = f"{shared_root(spark)}/exports-{uuid.uuid4().hex}"
-    first.unionByName(table).repartition("day").sortWithinPartitions("day", "n").select("day", "line").write.partitionBy("day").text(folder)
+    days = rows.select("day").distinct()
+    first = days.select("day", F.posexplode(F.array(*map(F.expr, made.start), F.lit(made.header))).alias("n", "line"))
+    table = table.unionByName(first.select("day", (F.col("n") - (1 << 40)).alias("n"), "line"))
+    if made.end:
+        table = table.unionByName(days.select("day", F.posexplode(F.array(*map(F.lit, made.end))).alias("n", "line")).select("day", (F.col("n") + (1 << 40)).alias("n"), "line"))
+    folder = folder or f"{shared_root(spark)}/exports-{uuid.uuid4().hex}"
+    table.repartition("day").sortWithinPartitions("day", "n").select("day", "line").write.mode("append").partitionBy("day").text(folder)
     return folder
 
 
-def loaded(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
+def loaded(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """All of events by way of the export's text."""
-    series = load_folder(spark, write_exports(spark, sf_dir, dialect), dialect, search_word="part-", max_subfolder=1)
-    return series.df.select("ts", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in EXPORTS[dialect].expected))
+    made = EXPORTS[name]
+    series = load_folder(spark, write_exports(spark, sf_dir, made), made.dialect or name, search_word="part-", max_subfolder=1, extra_data=made.extra is not None)
+    if made.extra:
+        return series.extra_data.select("ts", *(F.col(f"`{c}`") for c in made.extra))
+    return series.df.select("ts", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in made.expected))
+
+
+def expected(name: str) -> str:
+    made = EXPORTS[name]
+    cells = ", ".join(f'({sql}) AS "{c}"' for c, sql in made.extra.items()) if made.extra else ", ".join(f"round(({sql})::DOUBLE, 6) AS {c}" for c, sql in made.expected.items())
+    if made.time:
+        return f"SELECT {made.time} AS ts, {cells} FROM (SELECT *, date_trunc('day', ts)::TIMESTAMP AS day, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY event_id) - 1 AS place FROM events)"
+    return f"SELECT date_trunc('second', ts)::TIMESTAMP AS ts, {cells} FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('second', ts) ORDER BY event_id) = 1"
 
 
-def expected(dialect: str) -> str:
-    cells = ", ".join(f"round(({sql})::DOUBLE, 6) AS {name}" for name, sql in EXPORTS[dialect].expected.items())
-    return f"SELECT date_trunc('second', ts)::TIMESTAMP AS ts, {cells} FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('second', ts) ORDER BY event_id) = 1"
+#: Steps between the cut points of the two folders' files: eight of sixteen bins are the same.
+_APART = 8
+
+
+def other_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of even days with one set of cut points, those of odd days with another, as one series."""
+    folder = write_exports(spark, sf_dir, _ops_other(0), "day(t) % 2 = 0", f"{shared_root(spark)}/exports-{uuid.uuid4().hex}/even")
+    write_exports(spark, sf_dir, _ops_other(_APART), "day(t) % 2 = 1", folder.removesuffix("even") + "odd")
+    series = load_folder(spark, folder.removesuffix("/even"), "ops", search_word="part-", max_subfolder=2)
+    return series.df.select("ts", *(F.round(F.col(c), 6).alias(c) for c in ("total_conc", *series.bins.columns)))
+
+
+def other_bins_sql() -> str:
+    cell = lambda k: f"{_count(k)}::DOUBLE / (16.67::DOUBLE * (60 - event_id % 7))"
+    even = lambda k: cell(k) if k < 16 else "NULL"
+    odd = lambda k: cell(k - _APART) if k >= _APART else "NULL"
+    bins = ", ".join(f"round(CASE WHEN day(ts) % 2 = 0 THEN {even(k)} ELSE {odd(k)} END, 6) AS bin_{k:03d}" for k in range(16 + _APART))
+    return f"SELECT date_trunc('second', ts)::TIMESTAMP AS ts, round({' + '.join(f'({cell(k)})' for k in range(16))}, 6) AS total_conc, {bins} FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('second', ts) ORDER BY event_id) = 1"

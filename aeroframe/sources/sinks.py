@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 
 from pyspark.sql import DataFrame
 
-#: Rows that a sheet holds below its header.
-MOST_ROWS = 1_048_575
+from aeroframe.session import file_system, qualified
+from aeroframe.sources.workbook import SHEET_ROWS, write_workbook
 
 
-def save_table(df: DataFrame, path: str, mode: str = "error") -> None:
+def save_table(df: DataFrame, path: str, mode: str = "error", sheet_rows: int = SHEET_ROWS) -> None:
     """By the path's ending: csv (with a header), json, a workbook, or parquet for anything else.
 
-    A workbook is for summaries of a few rows: it is written by the driver, to
-    a local path, and needs openpyxl.
+    A workbook is one file in any store Spark writes to: partitions are
+    fetched one after the other and written on as they come, with a further
+    sheet wherever one is full.
     """
     kind = path.rsplit(".", 1)[-1].lower()
-    if kind in ("xlsx", "xls"):
-        try:
-            import openpyxl
-        except ImportError:
-            raise ImportError("workbooks need openpyxl, which isn't installed; use csv or parquet") from None
-        target = path.removeprefix("file://")
-        if os.path.exists(target) and mode != "overwrite":
-            raise FileExistsError(target)
-        book = openpyxl.Workbook()
-        book.active.append(df.columns)
-        for row in df.limit(MOST_ROWS).collect():
-            book.active.append(list(row))
-        book.save(target)
+    if kind == "xls":
+        raise ValueError("the old binary workbooks aren't written; use .xlsx")
+    if kind == "xlsx":
+        spark = df.sparkSession
+        files, target = file_system(spark, qualified(spark, path))
+        if files.exists(target) and mode != "overwrite":
+            if mode == "ignore":
+                return
+            raise FileExistsError(path)
+        with tempfile.NamedTemporaryFile(suffix=".xlsx") as local:  # the driver's own, then moved to the store
+            write_workbook(local, df.columns, df.toLocalIterator(prefetchPartitions=True), sheet_rows)
+            local.flush()
+            files.copyFromLocalFile(False, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local.name}"), target)
         return
     writer = df.write.mode(mode)
     if kind == "csv":

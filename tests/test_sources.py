@@ -112,8 +112,12 @@ def test_errors(spark, write):
         load(spark, write("Raw data,a,b\n" + "1,2,3\n" * 30), "fmps")
     with pytest.raises(ValueError, match="no delimiter"):
         load(spark, write("abc\n" * 5), "ops")
-    with pytest.raises(ImportError):
+    with pytest.raises(ValueError, match="not a workbook"):
         load(spark, write("x", "none.xlsx"), "fourtec")
+    with pytest.raises(ValueError, match="no line"):
+        load(spark, write("", "empty.csv"), "ops")
+    with pytest.raises(FileNotFoundError):
+        load(spark, "/no/such/file.csv", "ops")
     with pytest.raises(ValueError, match="unknown dialect"):
         load(spark, write("a,b\n1,2\n3,4\n5,6"), "abacus")
 
@@ -193,21 +197,149 @@ def test_units_are_read_at_their_places(spark, write):
     assert mass.bin_000 == pytest.approx(1000 / (math.pi / 6 * (375 / 1e7) ** 3 * 1e12))
 
 
-def test_workbooks(spark, tmp_path, monkeypatch):
-    """With a reader (a stand-in for openpyxl here) a workbook is read like its text."""
+def test_workbook_is_read_like_its_text(spark, tmp_path):
+    """Dates and times of cells, gaps between rows and cells, and a serial number at its place."""
     import datetime as dt
-    import sys
-    import types
 
-    cells = [[f"h{k}" for k in range(5)] for _ in range(8)] + [["Date", "Time", "Temp", "Dew", "RH"]] + [[dt.datetime(2024, 3, 1), dt.time(10, 0, i), 20.5 + i, 9, 40 + i] for i in range(4)]
-    cells[2][2] = "F99"
-    book = types.SimpleNamespace(worksheets=[types.SimpleNamespace(iter_rows=lambda values_only: iter(cells))])
-    monkeypatch.setitem(sys.modules, "openpyxl", types.SimpleNamespace(load_workbook=lambda *a, **k: book))
-    from aeroframe.sources.dialects import layout
-    from aeroframe.sources.files import sheet_lines
+    from aeroframe.sources.workbook import write_workbook
+
+    rows = [[f"h{k}" for k in range(5)], ["a", "b", "F99", None, None], *([["x"] * 5] * 5), ["Date", "Time", "Temp", "Dew", "RH"]]
+    rows += [[dt.date(2024, 3, 1), f"10:00:0{i}", 20.5 + i, 9, 40 + i] for i in range(4)]
+    with open(tmp_path / "book.xlsx", "wb") as out:
+        write_workbook(out, [f"h{k}" for k in range(5)], rows)
+    s = load(spark, f"{tmp_path}/book.xlsx", "fourtec")
+    assert s.serial_number == "F99" and [(str(r.ts), r.temperature, r.rh) for r in s.df.orderBy("ts").collect()] == [(f"2024-03-01 10:00:0{i}", 20.5 + i, 40.0 + i) for i in range(4)]
+    with open(tmp_path / "more.xlsx", "wb") as out:
+        write_workbook(out, [f"h{k}" for k in range(5)], [*rows[:8], [dt.date(2024, 3, 2), "10:00:00", 1.5, 9, 50]])
+    both = load_folder(spark, str(tmp_path), "fourtec")
+    assert both.df.count() == 5 and both.df.orderBy("ts").collect()[-1].rh == 50
+
+
+FOREIGN = {
+    "[Content_Types].xml": "<Types/>",
+    "xl/workbook.xml": '<w:workbook xmlns:w="u" xmlns:r="v"><w:sheets><w:sheet name="B" sheetId="2" r:id="k2"/><w:sheet name="A" sheetId="1" r:id="k1"/></w:sheets></w:workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="k1" Target="worksheets/other.xml"/><Relationship Id="k2" Target="/xl/worksheets/one.xml"/></Relationships>',
+    "xl/sharedStrings.xml": '<s:sst xmlns:s="u"><s:si><s:t>plain &amp; simple</s:t></s:si><s:si><s:r><s:t>two </s:t></s:r><s:r><s:t>runs</s:t></s:r><s:rPh><s:t>reading</s:t></s:rPh></s:si></s:sst>',
+    "xl/styles.xml": '<s xmlns="u"><numFmts><numFmt numFmtId="170" formatCode="[Red]&quot;day&quot; 0.0"/><numFmt numFmtId="171" formatCode="hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></s>',
+    "xl/worksheets/one.xml": '<x:worksheet xmlns:x="u"><x:sheetData><x:row r="2"><x:c r="B2" t="s"><x:v>1</x:v></x:c><x:c r="D2" s="1"><x:v>45352</x:v></x:c><x:c r="E2" s="2"><x:v>7.5</x:v></x:c><x:c r="AB2" s="3"><x:v>0.75</x:v></x:c></x:row><x:row r="4"><x:c t="s"><x:v>0</x:v></x:c><x:c t="b"><x:v>1</x:v></x:c><x:c t="str"><x:f>A1</x:f><x:v>said</x:v></x:c><x:c t="e"><x:v>#N/A</x:v></x:c><x:c s="1"><x:v>45352.5</x:v></x:c><x:c t="inlineStr"><x:is><x:t>in_x0041_line</x:t></x:is></x:c></x:row></x:sheetData></x:worksheet>',
+    "xl/worksheets/other.xml": "<worksheet><sheetData/></worksheet>",
+}
+
+
+def test_workbook_as_other_programs_write_it(tmp_path):
+    import datetime as dt
+    import io
+    import zipfile
+
+    from aeroframe.sources.workbook import read_sheet, sheets
+
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as book:
+        for name, text in FOREIGN.items():
+            book.writestr(name, text)
+    rows = list(read_sheet(made.getvalue()))
+    assert sheets(made.getvalue()) == ["B", "A"] and list(read_sheet(made.getvalue(), 1)) == []
+    assert rows[0] == rows[2] == [] and rows[1][:5] == [None, "two runs", None, dt.datetime(2024, 3, 1), "7.5"] and rows[1][27] == dt.time(18) and len(rows[1]) == 28
+    assert rows[3] == ["plain & simple", True, "said", None, dt.datetime(2024, 3, 1, 12), "inAline"]
+    with pytest.raises(ValueError, match="not a workbook"):
+        list(read_sheet(b"PK"))
+
+
+def test_paths_in_any_spelling(spark, tmp_path, write, monkeypatch):
+    """Relative, doubled and roundabout paths, and signs that patterns use, give the rows; nothing is lost without an error."""
+    write(exports.ops_direct(), "sub/a [1] {x}*.csv")
+    monkeypatch.chdir(tmp_path)
+    spark.sparkContext._jvm.java.lang.System.setProperty("user.dir", str(tmp_path))
+    for path in (f"{tmp_path}/sub/a [1] {{x}}*.csv", f"{tmp_path}//sub///a [1] {{x}}*.csv", f"{tmp_path}/none/../sub/a [1] {{x}}*.csv", f"file://{tmp_path}/sub/a [1] {{x}}*.csv"):
+        assert load(spark, path, "ops").df.count() == 5
+    assert load_folder(spark, f"{tmp_path}//sub/../sub/", "ops").df.count() == 5
+
+
+@pytest.mark.parametrize("split", [None, 20_000])
+def test_encoding_is_that_of_the_whole_file(spark, write, split):
+    """The first byte that isn't UTF-8 comes long after the first lines."""
+    rows = [f"2024-01-{1 + i // 1440:02d} {i // 60 % 24:02d}:{i % 60:02d}:00,{i},{'mål' if i == 19_990 else 'x'}" for i in range(20_000)]
+    text = "\n".join(["t,v,note", *rows])
+
+    def mine(head):
+        from aeroframe.model import SeriesMeta
+        from aeroframe.sources.dialects import Layout
+
+        return Layout(head.cells(0), 1, "try_to_timestamp(c0, 'yyyy-MM-dd HH:mm:ss')", SeriesMeta("Mine"), {"total_conc": "try_cast(c1 as double)"}, extra={"note": "c2"})
+
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        for encoding in ("latin-1", "utf-8"):
+            s = load(spark, write(text, f"{encoding}.csv", encoding), mine, extra_data=True)
+            assert [r.note for r in s.extra_data.where("note <> 'x'").collect()] == ["mål"] and s.df.count() == 20_000
+    finally:
+        if split:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_bins_of_other_sizes_stay_apart(spark, tmp_path, write):
+    text = exports.ops_direct("10:00:00")
+    up = text
+    for k in range(17):
+        up = up.replace(f"Bin {k + 1} Cut Point (um),{0.3 * 1.25**k:.3f}", f"Bin {k + 1} Cut Point (um),{0.3 * 1.25 ** (k + 10):.3f}")
+    write(text, "a.csv")
+    write(up.replace("10:00:00", "12:00:00"), "b.csv")
+    s = load_folder(spark, f"file://{tmp_path}", "ops")
+    assert len(s.bin_mids) == 26 and s.df.count() == 10
+    first, last = s.df.where("hour(ts) = 10").orderBy("ts").first(), s.df.where("hour(ts) = 12").orderBy("ts").first()
+    assert first.bin_000 == last.bin_010 == pytest.approx(100 / (16.67 * 58)) and first.bin_015 == last.bin_025
+    assert last.bin_000 is None and first.bin_025 is None and last.total_conc == pytest.approx(first.total_conc)
+    assert s.convert("dV").df.where("hour(ts) = 12").orderBy("ts").first().bin_025 > 0 and s.psd().count() == 26
+
+    far = text.replace("10:00:00", "13:00:00")
+    for k in range(17):
+        far = far.replace(f"Bin {k + 1} Cut Point (um),{0.3 * 1.25**k:.3f}", f"Bin {k + 1} Cut Point (um),{0.9 * 1.25**k:.3f}")
+    write(far, "c.csv")
+    with pytest.raises(ValueError, match="overlap"):
+        load_folder(spark, f"file://{tmp_path}", "ops")
+    assert load_folder(spark, f"file://{tmp_path}", "ops", overlapping=True).df.count() == 15
+
+
+def test_bins_with_gaps():
+    from aeroframe.functions.physics import share_below
+    from aeroframe.model import Bins, common_bins
 
-    lines = sheet_lines(b"")
-    assert lines[9] == "01-03-2024;10:00:00;20.5;9;40" and layout("fourtec", "\n".join(lines), ";").meta.serial_number == "F99"
+    low, high = Bins.arithmetic((100.0, 200.0, 400.0)), Bins.arithmetic((800.0, 1200.0))
+    both = common_bins([high, low])
+    assert both.spans == ((100.0, 200.0), (200.0, 400.0), (800.0, 1200.0)) and both.mids == (150.0, 300.0, 1000.0)
+    assert share_below(both, 1000.0) == [1, 1, 0.5] and both.widths(Scale.LINEAR) == [100, 200, 400]
+    assert common_bins([low, Bins.arithmetic((400.0, 800.0)), high]).pairs is None  # no gap is left
+    with pytest.raises(ValueError, match="overlap"):
+        common_bins([low, Bins.arithmetic((150.0, 250.0))])
+
+
+def test_many_small_files_take_no_call_each(spark, tmp_path, monkeypatch):
+    from py4j.java_gateway import GatewayClient
+
+    for k in range(300):
+        (tmp_path / f"f{k:03d}.csv").write_text(f"t,v\n2024-01-01 {k // 60:02d}:{k % 60:02d}:00,{k}\n2023-01-01 {k // 60:02d}:{k % 60:02d}:00,{k}\n2022-01-01 {k // 60:02d}:{k % 60:02d}:00,{k}\n")
+
+    def mine(head):
+        from aeroframe.model import SeriesMeta
+        from aeroframe.sources.dialects import Layout
+
+        return Layout(head.cells(0), 1, "try_to_timestamp(c0, 'yyyy-MM-dd HH:mm:ss')", SeriesMeta("Mine"), {"total_conc": "try_cast(c1 as double)"})
+
+    calls = []
+    send = GatewayClient.send_command
+
+    def counted(self, command, *a, **k):
+        if not command.startswith("m"):  # not what the collector of garbage sends
+            calls.append(command)
+        return send(self, command, *a, **k)
+
+    monkeypatch.setattr(GatewayClient, "send_command", counted)
+    load_folder(spark, str(tmp_path), mine, search_word="f00")
+    few = len(calls)
+    calls.clear()
+    s = load_folder(spark, str(tmp_path), mine)
+    assert len(calls) < few + 100 and s.df.count() == 900
 
 
 def test_sniff():  # T14
@@ -229,5 +361,39 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(f"file://{tmp_path}/s.csv", header=True, schema=df.schema).exceptAll(df).count() == 0
     assert spark.read.json(f"file://{tmp_path}/s.json", schema=df.schema).exceptAll(df).count() == 0
     assert spark.read.parquet(f"file://{tmp_path}/s.parquet").exceptAll(df).count() == 0
-    with pytest.raises(ImportError):
-        save_table(df, "s.xlsx")
+    with pytest.raises(ValueError, match="old binary"):
+        save_table(df, "s.xls")
+
+
+def test_workbook_sink(spark, tmp_path):
+    """Further sheets where one is full, nothing cut off, and kinds of cells kept."""
+    import datetime as dt
+
+    from aeroframe.sources.sinks import save_table
+    from aeroframe.sources.workbook import read_sheet, sheets
+
+    rows = [(i, i / 7, f"a<&>\"{i}\x01_x0041_ ;", dt.datetime(2024, 3, 1, 10, 0, i % 60, 250_000), dt.date(1999, 12, 31), i % 2 == 0, None) for i in range(25)]
+    df = spark.createDataFrame(rows, "n long, x double, said string, at timestamp_ntz, day date, even boolean, none string")
+    path = f"{tmp_path}/s.xlsx"
+    save_table(df.repartition(3).orderBy("n"), path, sheet_rows=11)
+    content = open(path, "rb").read()
+    assert sheets(content) == ["Sheet1", "Sheet2", "Sheet3"]
+    got = []
+    for k in range(3):
+        top, *own = read_sheet(content, k)
+        assert top == df.columns and len(own) == [10, 10, 5][k]
+        got += own
+    assert [(int(r[0]), float(r[1]), *r[2:4], r[4].date(), *r[5:]) for r in got] == rows
+    with pytest.raises(FileExistsError):
+        save_table(df, path)
+    save_table(df.limit(0), path, mode="overwrite")
+    assert list(read_sheet(open(path, "rb").read())) == [df.columns]
+
+
+def test_workbook_of_more_rows_than_a_sheet_holds(spark, tmp_path):
+    from aeroframe.sources.sinks import save_table
+    from aeroframe.sources.workbook import SHEET_ROWS, read_sheet, sheets
+
+    save_table(spark.range(SHEET_ROWS), f"{tmp_path}/s.xlsx")
+    content = open(f"{tmp_path}/s.xlsx", "rb").read()
+    assert len(sheets(content)) == 2 and sum(1 for _ in read_sheet(content)) == SHEET_ROWS and list(read_sheet(content, 1)) == [["id"], [str(SHEET_ROWS - 1)]]
