@@ -8,6 +8,8 @@ from dataclasses import replace
 from datetime import datetime, timedelta
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from aeroframe.model import ALL_DATA, Activity, Bins, Scale, SeriesMeta, common_
 
 #: Rows in a block of a rolling window over one long series.
 BLOCK_ROWS = 65_536
+#: Rows of a window up to which each row's window is looked through.
+FRAME_ROWS = 16
 #: Buckets that a rebinning with gaps may make.
 MOST_BUCKETS = 50_000_000
 
@@ -200,9 +204,11 @@ class Series1D:
         """Centred rolling statistic over rows; for an even window the extra row lies before.
 
         Rows of one time follow by their values. Series of up to ``block_rows``
-        rows, which are counted when this is called, are a window each; longer
+        rows, which are counted when this is called, are a block each; longer
         ones are numbered in order, cut into blocks that overlap by half a
-        window, and rolled block by block.
+        window, and rolled block by block. Windows of more than ``FRAME_ROWS``
+        rows take time that doesn't grow with the window (the median's grows
+        with its logarithm).
         """
         if method not in _SMOOTH:
             raise ValueError(f"unknown method {method!r}; one of {', '.join(_SMOOTH)}")
@@ -210,15 +216,27 @@ class Series1D:
             raise ValueError("a window has at least one row")
         before, after = window // 2, (window - 1) // 2
         size = max(block_rows, window)
-        if (self.df.groupBy(*self.by).count().agg(F.max("count")).first()[0] or 0) <= size:
+        columns = [F.col(f"`{c}`") for c in self.df.columns]
+        whole = (self.df.groupBy(*self.by).count().agg(F.max("count")).first()[0] or 0) <= size
+        if whole and window <= FRAME_ROWS:
             frame = Window.partitionBy(*self.by).orderBy(self.ts, *self.values).rowsBetween(-before, after)
             return self._with(self.df.withColumns({c: _SMOOTH[method](F.col(c)).over(frame) for c in self.values}))
-        numbered = _numbered(self.df, self.ts, self.values, self.by).withColumn("__block", F.floor(F.col("__n") / size)).withColumn("__place", F.col("__n") % size)
-        copies = F.filter(F.array(F.lit(0), F.when(F.col("__place") < after, F.lit(-1)), F.when(F.col("__place") >= size - before, F.lit(1))), lambda x: x.isNotNull())
-        spread = numbered.withColumn("__copy", F.explode(copies)).withColumn("__block", F.col("__block") + F.col("__copy"))
-        frame = Window.partitionBy(*self.by, "__block").orderBy("__n").rowsBetween(-before, after)
-        rolled = spread.withColumns({c: _SMOOTH[method](F.col(c)).over(frame) for c in self.values}).where("__copy = 0")
-        return self._with(rolled.select(*[F.col(f"`{c}`") for c in self.df.columns]))
+        if whole:
+            order = Window.partitionBy(*self.by).orderBy(self.ts, *self.values)
+            spread = self.df.withColumn("__n", F.row_number().over(order) - 1).withColumn("__block", F.lit(0)).withColumn("__copy", F.lit(0))
+        else:
+            numbered = _numbered(self.df, self.ts, self.values, self.by).withColumn("__block", F.floor(F.col("__n") / size)).withColumn("__place", F.col("__n") % size)
+            copies = F.filter(F.array(F.lit(0), F.when(F.col("__place") < after, F.lit(-1)), F.when(F.col("__place") >= size - before, F.lit(1))), lambda x: x.isNotNull())
+            spread = numbered.withColumn("__copy", F.explode(copies)).withColumn("__block", F.col("__block") + F.col("__copy")).drop("__place")
+        keys = [*self.by, "__block"]
+        if window <= FRAME_ROWS:
+            frame = Window.partitionBy(*keys).orderBy("__n").rowsBetween(-before, after)
+            rolled = spread.withColumns({c: _SMOOTH[method](F.col(c)).over(frame) for c in self.values})
+        elif method == "median":
+            rolled = _rolling_median(spread, keys, self.values, window)
+        else:
+            rolled = _rolling(spread, keys, self.values, window, method)
+        return self._with(rolled.where("__copy = 0").select(*columns))
 
     def rebin(self, freq: str | timedelta = "1s", method: str | Callable[[Column], Column] = "mean", fill_gaps: bool = True, most: int = MOST_BUCKETS) -> Series1D:
         """Tumbling buckets from midnight of the first day; flags by any row.
@@ -361,6 +379,65 @@ def _united(periods: DataFrame, *keys: str) -> DataFrame:
     return merged.select(*(keys[:-1] or keys), "s", "e")
 
 
+def _rolling(df: DataFrame, keys: Sequence[str], values: Sequence[str], window: int, method: str) -> DataFrame:
+    """Sums, means and extremes of centred windows over ``__n`` (places without gaps), in linear time.
+
+    Rows are cut into runs as long as the window. A window reaches from inside
+    one run to inside the next, so it is what is left of the first and what has
+    come of the second: running aggregates from either end of a run, fetched
+    from the window's ends. Nothing is subtracted, so no digits are lost.
+    """
+    before, after = window // 2, (window - 1) // 2
+    parts = {"sum": ("sum",), "mean": ("sum", "count"), "min": ("min",), "max": ("max",)}[method]
+    whole = Window.unboundedPreceding, Window.currentRow
+    run = Window.partitionBy(*keys, "__run")
+    come, left = run.orderBy("__n").rowsBetween(*whole), run.orderBy(F.desc("__n")).rowsBetween(*whole)
+    named = [(i, c, p) for i, c in enumerate(values) for p in parts]
+    one = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+    df = df.withColumn("__run", F.floor(F.col("__n") / window))
+    df = df.withColumns({f"__{p}_left_{i}": one[p](F.col(f"`{c}`")).over(left) for i, c, p in named})
+    df = df.withColumns({f"__{p}_come_{i}": one[p](F.col(f"`{c}`")).over(come) for i, c, p in named})
+    place = Window.partitionBy(*keys).orderBy("__run", "__n")
+    every = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = {"__first": F.first("__n").over(every), "__last": F.last("__n").over(every), "__lead": F.lead(F.lit(True), after).over(place) if after else F.lit(True)}
+    for i, _, p in named:
+        ends[f"__{p}_left_{i}"] = F.lag(f"__{p}_left_{i}", before).over(place)
+        ends[f"__{p}_next_{i}"] = F.lead(f"__{p}_come_{i}", after).over(place) if after else F.col(f"__{p}_come_{i}")
+        ends[f"__{p}_end_{i}"] = F.last(f"__{p}_come_{i}").over(every)
+    df = df.withColumns(ends)
+    start, end = F.col("__n") - before, F.least(F.col("__n") + after, F.col("__last"))
+    alone = F.floor(start / window) == F.floor(end / window)
+
+    def met(i: int, p: str) -> Column:
+        far = F.when(F.col("__lead"), F.col(f"__{p}_next_{i}")).otherwise(F.col(f"__{p}_end_{i}"))
+        near = F.col(f"__{p}_left_{i}")
+        both = {"min": F.least, "max": F.greatest}.get(p, lambda a, b: F.coalesce(a + b, a, b))(near, far)
+        return F.when(start < F.col("__first"), far).when(alone, near).otherwise(both)
+
+    shown = lambda i: F.when(met(i, "count") > 0, met(i, "sum") / met(i, "count")) if method == "mean" else met(i, method)
+    return df.withColumns({c: shown(i) for i, c in enumerate(values)})
+
+
+def _rolling_median(df: DataFrame, keys: Sequence[str], values: Sequence[str], window: int) -> DataFrame:
+    """Medians of centred windows over ``__n``, block by block: pandas keeps a window's values in an indexable skip list."""
+    after = (window - 1) // 2
+    df = df.withColumns({c: F.col(f"`{c}`").cast("double") for c in values})
+    names = list(values)
+
+    def rolled(table: pa.Table) -> pa.Table:
+        import pandas as pd
+
+        table = table.take(pa.array(np.argsort(table.column("__n").to_numpy(), kind="stable")))
+        for c in names:
+            at = table.schema.get_field_index(c)
+            own = np.concatenate([table.column(at).to_numpy(zero_copy_only=False).astype(float), np.full(after, np.nan)])
+            found = pd.Series(own).rolling(window, min_periods=1).median().to_numpy()[after:]
+            table = table.set_column(at, table.schema.field(at), pa.chunked_array([pa.array(found, mask=np.isnan(found))]))
+        return table
+
+    return df.groupBy(*keys).applyInArrow(rolled, df.schema)
+
+
 def _numbered(df: DataFrame, ts: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows with ``__n``, their place in the time order of their series: counts of days and minutes, then places inside a minute.
 

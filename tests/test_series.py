@@ -297,3 +297,25 @@ def test_heat_map_of_nothing(spark):
 def test_united_series_are_in_order_of_time(spark):
     parts = [series(spark, [5, 6], start=START + timedelta(hours=1)), series(spark, [1, 2])]
     assert [r.total_conc for r in union(parts).df.collect()] == [1, 2, 5, 6]
+
+
+@pytest.mark.parametrize("method", ["mean", "median", "sum", "min", "max"])
+@pytest.mark.parametrize("window", [17, 18, 50, 91, 300])
+@pytest.mark.parametrize("block_rows", [20, 1000])
+def test_long_windows_against_pandas(spark, method, window, block_rows):
+    """Windows beyond FRAME_ROWS, of several series with gaps, also longer than a series."""
+    rng = np.random.default_rng(window)
+    rows, want = [], {}
+    for who, n in (("a", 230), ("b", 91), ("c", 1), (None, 40)):
+        v = [None if rng.random() < 0.2 or 60 < i < 110 else float(x) for i, x in enumerate(rng.normal(0, 100, n))]
+        rows += [(START + timedelta(seconds=i), who, x) for i, x in enumerate(v)]
+        own = pd.Series([np.nan if x is None else x for x in v])
+        rolled = getattr(own.rolling(window, center=True, min_periods=1), method)()
+        want |= {(START + timedelta(seconds=i), who): x for i, x in enumerate(rolled)}
+    rng.shuffle(rows)
+    table = spark.createDataFrame([tuple(r) for r in rows], "ts timestamp_ntz, who string, v double")
+    out = Series1D.from_df(table, "ts", ["v"], by=["who"]).smooth(window, method, block_rows=block_rows).df
+    got = {(r.ts, r.who): r.v for r in out.collect()}
+    assert out.columns == ["ts", "v", "who"] and set(got) == set(want)
+    for k, x in want.items():
+        assert (got[k] is None) if np.isnan(x) else got[k] == pytest.approx(x, rel=1e-9, abs=1e-9), k
