@@ -10,7 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from aeroframe.functions.metrics import no_nan
@@ -20,8 +20,8 @@ from aeroframe.model import ALL_DATA, Activity, Bins, Scale, SeriesMeta, common_
 BLOCK_ROWS = 65_536
 #: Rows of a window up to which each row's window is looked through.
 FRAME_ROWS = 16
-#: Buckets that a rebinning with gaps may make.
-MOST_BUCKETS = 50_000_000
+#: Buckets that a rebinning with gaps may make, and those that one row makes.
+MOST_BUCKETS, PIECE = 50_000_000, 4096
 
 _UNITS = {"us": 1, "ms": 1_000, "s": 1_000_000, "t": 60_000_000, "min": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 
@@ -52,7 +52,26 @@ def seconds(micros: int | Column) -> Column:
 
 
 _SMOOTH: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "sum": F.sum, "min": F.min, "max": F.max}
-_REBIN: dict[str, Callable[[Column], Column]] = {**_SMOOTH, "std": F.stddev_samp, "var": F.var_samp, "count": F.count}
+
+
+def _skew(c: Column) -> Column:
+    """Skewness with the correction for samples: null below three values, 0 without spread."""
+    n = F.count(c)
+    return F.when(n > 2, F.when(F.var_pop(c) == 0, 0.0).otherwise(F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)))
+
+
+def _kurt(c: Column) -> Column:
+    """Excess kurtosis with the correction for samples: null below four values, 0 without spread."""
+    n = F.count(c)
+    return F.when(n > 3, F.when(F.var_pop(c) == 0, 0.0).otherwise(((n + 1) * F.kurtosis(c) + 6) * (n - 1) / ((n - 2) * (n - 3))))
+
+
+_REBIN: dict[str, Callable[[Column], Column]] = {
+    **_SMOOTH, "std": F.stddev_samp, "var": F.var_samp, "count": F.count, "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)), "skew": _skew, "kurt": _kurt, "prod": lambda c: F.coalesce(F.product(c), F.lit(1.0)),
+    "nunique": F.count_distinct, "size": lambda c: F.count(F.lit(1)), "any": lambda c: F.coalesce(F.bool_or(c != 0), F.lit(False)), "all": lambda c: F.coalesce(F.bool_and(c != 0), F.lit(True)),
+}
+#: What a bucket without rows has; the others have nothing.
+_EMPTY: dict[str, object] = {"sum": 0, "count": 0, "nunique": 0, "size": 0, "prod": 1.0, "any": False, "all": True}
 #: By time, whatever the order of the rows: nulls don't count.
 _ENDS: dict[str, Callable[[Column, Column], Column]] = {"first": lambda c, ts: F.min_by(c, F.when(c.isNotNull(), ts)), "last": lambda c, ts: F.max_by(c, F.when(c.isNotNull(), ts))}
 
@@ -238,19 +257,22 @@ class Series1D:
             rolled = _rolling(spread, keys, self.values, window, method)
         return self._with(rolled.where("__copy = 0").select(*columns))
 
-    def rebin(self, freq: str | timedelta = "1s", method: str | Callable[[Column], Column] = "mean", fill_gaps: bool = True, most: int = MOST_BUCKETS) -> Series1D:
+    def rebin(self, freq: str | timedelta = "1s", method: str | Callable = "mean", fill_gaps: bool = True, most: int = MOST_BUCKETS, python: bool | None = None) -> Series1D:
         """Tumbling buckets from midnight of the first day; flags by any row.
 
+        ``method`` is the name of an aggregate, or a function: from a column to
+        an aggregate of it, or in Python from a pandas series of a bucket's
+        values to a number (numpy's functions, and those that can't take a
+        column, count as such unless ``python`` says). A bucket's values meet
+        in one task for the latter.
+
         Empty buckets between the first and the last are kept with null values
-        (0 for sums and counts) and no activity, unless ``fill_gaps`` is off.
+        (0 for sums and counts, 1 for products) and no activity, unless
+        ``fill_gaps`` is off; with ``by`` each series fills its own span. There
+        are ``most`` buckets at most, of all series together.
         """
         step = microseconds(freq)
-        if method in _ENDS:
-            how = lambda c: _ENDS[method](c, F.col(self.ts))
-        else:
-            how = _REBIN.get(method) if isinstance(method, str) else method
-        if how is None:
-            raise ValueError(f"unknown method {method!r}; one of {', '.join([*_REBIN, *_ENDS])}")
+        how, in_python = self._reducer(method, python)
         span = self.df.agg(F.min(self.ts).alias("a"), F.max(self.ts).alias("b")).first()
         if span.a is None:
             return self._with(self.df.select(*self.by, self.ts, *[F.col(c).cast("double").alias(c) for c in self.values], *[F.col(f"`{a.column}`") for a in self.meta.activities]).limit(0))
@@ -259,22 +281,66 @@ class Series1D:
         flags = [a.column for a in self.meta.activities]
         bucket = F.window(self.ts, f"{step} microseconds", None, f"{offset} microseconds")
         placed = self.df.withColumn("__at", bucket["start"])
-        out = placed.groupBy(*self.by, F.col("__at").alias("__ts")).agg(*(how(F.col(c)).alias(c) for c in self.values), *(F.bool_or(f"`{f}`").alias(f) for f in flags))
+        groups = placed.groupBy(*self.by, F.col("__at").alias("__ts"))
+        flagged = [F.bool_or(f"`{f}`").alias(f) for f in flags]
+        if in_python:
+            out = groups.agg(*(how(F.col(c).cast("double")).alias(c) for c in self.values))
+            if flags:  # Python's and built-in aggregates can't be in one stage
+                out = _null_safe_join(out, groups.agg(*flagged), [*self.by, "__ts"])
+        else:
+            out = groups.agg(*(how(F.col(c)).alias(c) for c in self.values), *flagged)
         out = out.select(*self.by, F.col("__ts").alias(self.ts), *self.values, *(F.col(f"`{f}`") for f in flags))
+        empty = _EMPTY.get(method) if isinstance(method, str) else None
         if fill_gaps:
-            first = midnight + timedelta(microseconds=((span.a - midnight) // timedelta(microseconds=1)) // step * step)
+            grid = self._grid(out, span, midnight, step, most, freq)
+            out = _null_safe_join(grid, out, [*self.by, self.ts])
+            out = out.select(*self.by, self.ts, *(F.col(c) if empty is None else F.coalesce(c, F.lit(empty)).alias(c) for c in self.values), *(F.coalesce(F.col(f"`{f}`"), F.lit(False)).alias(f) for f in flags))
+        return self._with(out)
+
+    def _reducer(self, method: str | Callable, python: bool | None) -> tuple[Callable[[Column], Column], bool]:
+        """An aggregate of a column, and whether Python computes it."""
+        if isinstance(method, str):
+            if method in _ENDS:
+                return lambda c: _ENDS[method](c, F.col(self.ts)), False
+            if method not in _REBIN:
+                raise ValueError(f"unknown method {method!r}; one of {', '.join([*_REBIN, *_ENDS])}")
+            return _REBIN[method], False
+        if python is None:
+            python = (getattr(method, "__module__", None) or "numpy").split(".")[0] in ("numpy", "pandas", "scipy", "statistics", "builtins", "math")
+            if not python:
+                try:
+                    python = not isinstance(method(F.col(self.values[0])), Column)
+                except Exception:  # it wants numbers, not a column
+                    python = True
+        if not python:
+            return method, False
+
+        def reduced(values: pd.Series) -> float:
+            return float(method(values))
+
+        import pandas as pd
+
+        reduced.__annotations__ = {"values": pd.Series, "return": float}
+        return F.pandas_udf(reduced, "double"), True
+
+    def _grid(self, out: DataFrame, span: Row, midnight: datetime, step: int, most: int, freq: str | timedelta) -> DataFrame:
+        """All buckets between the first and the last of each series, made from a distributed range or in pieces."""
+        too_many = lambda n: ValueError(f"{n} buckets of {freq} between the first and the last row; at most {most}")
+        first = midnight + timedelta(microseconds=((span.a - midnight) // timedelta(microseconds=1)) // step * step)
+        if not self.by:
             n = (span.b - first) // timedelta(microseconds=1) // step + 1
             if n > most:
-                raise ValueError(f"{n} buckets of {freq} between the first and the last row; at most {most}")
-            grid = self.df.sparkSession.range(n).select((ntz(first) + seconds(F.col("id") * step)).alias(self.ts))
-            if self.by:
-                # Each series fills its own span.
-                spans = out.groupBy(*self.by).agg(F.min(self.ts).alias("__a"), F.max(self.ts).alias("__b"))
-                grid = spans.select(*self.by, F.explode(F.sequence("__a", "__b", seconds(step))).alias(self.ts))
-            zero = isinstance(method, str) and method in ("sum", "count")
-            out = grid.join(out, [*self.by, self.ts], "left")
-            out = out.select(*self.by, self.ts, *(F.coalesce(c, F.lit(0)).alias(c) if zero else F.col(c) for c in self.values), *(F.coalesce(F.col(f"`{f}`"), F.lit(False)).alias(f) for f in flags))
-        return self._with(out)
+                raise too_many(n)
+            return self.df.sparkSession.range(n).select((ntz(first) + seconds(F.col("id") * step)).alias(self.ts))
+        spans = out.groupBy(*self.by).agg(F.min(self.ts).alias("__a"), F.max(self.ts).alias("__b"))
+        spans = spans.withColumn("__buckets", F.floor(F.timestamp_diff("MICROSECOND", F.col("__a"), F.col("__b")) / step) + 1)
+        n = spans.agg(F.sum("__buckets")).first()[0]
+        if n > most:
+            raise too_many(n)
+        pieces = spans.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__buckets") - 1) / PIECE)))).repartition(*self.by, "__piece")
+        last = F.least((F.col("__piece") + 1) * PIECE, F.col("__buckets")) - 1
+        rows = pieces.withColumn("__k", F.explode(F.sequence(F.col("__piece") * PIECE, last)))
+        return rows.select(*self.by, (F.col("__a") + seconds(F.col("__k") * step)).alias(self.ts))
 
     # Summaries
 
@@ -304,6 +370,18 @@ class Series1D:
         spark = self.df.sparkSession
         return spark.createDataFrame(rows, "activity string, start timestamp_ntz, end timestamp_ntz")
 
+    def observed_spans(self, which: bool | Sequence[str] = True) -> DataFrame:
+        """The same periods with the first and last time of the rows inside and their number (none: null and 0), in one pass."""
+        wanted = [] if which is False else [a for a in self.meta.activities if which is True or a.name in which]
+        parts = []
+        for a in wanted:
+            for start, end in a.periods:
+                own = F.when(F.col(self.ts).between(ntz(start), ntz(end)), F.col(self.ts))
+                parts.append(F.struct(F.lit(a.name).alias("activity"), ntz(start).alias("start"), ntz(end).alias("end"), F.min(own).alias("first"), F.max(own).alias("last"), F.count(own).alias("n")))
+        if not parts:
+            return self.df.sparkSession.createDataFrame([], "activity string, start timestamp_ntz, end timestamp_ntz, first timestamp_ntz, last timestamp_ntz, n long")
+        return self.df.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
+
     # Several files
 
     def deduplicated(self, order: Sequence[str]) -> Series1D:
@@ -316,6 +394,13 @@ def present(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.where(reduce(lambda x, y: x & y, (F.col(f"`{c}`").isNotNull() for c in columns), F.lit(True)))
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be null."""
+    renamed = right.select(*(F.col(k).alias(f"__right_{k}") for k in keys), *(F.col(f"`{c}`") for c in right.columns if c not in keys))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys))
+    return left.join(renamed, same, "left").drop(*(f"__right_{k}" for k in keys))
+
+
 def first_by_time(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in the given order."""
     first = Window.partitionBy(*keys).orderBy(*order)

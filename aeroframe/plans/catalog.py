@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +135,37 @@ for _name, _freq, _interval, _method, _crop, _zero in (
     _source = "SELECT * FROM s1" + (f" WHERE ts BETWEEN TIMESTAMP '{_crop[0]}' AND TIMESTAMP '{_crop[1]}'" if _crop else "")
     _register(_name, lambda spark, d, f=_freq, m=_method, c=_crop: _rounded((s1(spark, d).crop(*c) if c else s1(spark, d)).rebin(f, m).df), _rebin_sql(_source, _interval, _method, zero=_zero))
 
+_MORE_AGG = {"skew": "skewness(total_conc)", "kurt": "kurtosis(total_conc)", "sem": "stddev_samp(total_conc) / sqrt(count(total_conc))", "nunique": "count(DISTINCT total_conc)", "size": "count(total_conc)", "ptp": "max(total_conc) - min(total_conc)", "prod": "product(1 + total_conc / 100000)"}
+for _method in ("skew", "kurt", "sem", "nunique"):
+    _register(f"rebin_6h_{_method}", lambda spark, d, m=_method: _rounded(s1(spark, d).rebin("6h", m).df, 6), _rebin_sql("SELECT * FROM s1", "6 hours", "max", zero=_method == "nunique").replace("max(total_conc)", _MORE_AGG[_method]).replace(", 9)", ", 6)"))
+
+
+def _scaled(spark: SparkSession, d: str) -> Series1D:
+    s = s1(spark, d)
+    return s._with(s.df.withColumn("total_conc", 1 + F.col("total_conc") / 100_000))
+
+
+_register("rebin_6h_prod", lambda spark, d: _rounded(_scaled(spark, d).rebin("6h", "prod").df, 6), _rebin_sql("SELECT * FROM s1", "6 hours", "max").replace("max(total_conc)", f"coalesce({_MORE_AGG['prod']}, 1)").replace(", 9)", ", 6)"))
+_register(
+    "rebin_6h_python", lambda spark, d: _rounded(s1(spark, d).mark({"Emission": ACTIVITIES["Emission"]}, column=lambda n: n.lower()).rebin("6h", np.ptp).df),
+    f"""WITH {S1}, b AS (SELECT time_bucket(INTERVAL '6 hours', ts, (SELECT date_trunc('day', min(ts)) FROM s1)) AS slot, total_conc, {_inside('Emission')} AS em FROM s1),
+    g AS (SELECT unnest(generate_series((SELECT min(slot) FROM b), (SELECT max(slot) FROM b), INTERVAL '6 hours')) AS ts)
+    SELECT g.ts, round({_MORE_AGG['ptp']}, 9) AS total_conc, coalesce(bool_or(em), false) AS emission FROM g LEFT JOIN b ON b.slot = g.ts GROUP BY 1""",
+)
+
+
+def _series_rebinned(spark: SparkSession, d: str) -> DataFrame:
+    df = events(spark, d).select("ts", F.col("value").alias("total_conc"), F.when(F.col("user_id") % 5 != 0, (F.col("user_id") % 5).cast("string")).alias("who"))
+    return _rounded(Series1D.from_df(df, "ts", ["total_conc"], by=["who"]).rebin("20min", "sum").df, 6)
+
+
+_register(
+    "rebin_by_series", _series_rebinned,
+    """WITH s AS (SELECT ts, value, CASE WHEN user_id % 5 <> 0 THEN (user_id % 5)::VARCHAR END AS who FROM events), b AS (SELECT who, value, time_bucket(INTERVAL '20 minutes', ts, (SELECT date_trunc('day', min(ts)) FROM s)) AS slot FROM s),
+    g AS (SELECT who, unnest(generate_series(min(slot), max(slot), INTERVAL '20 minutes')) AS ts FROM b GROUP BY who)
+    SELECT g.who, g.ts, round(coalesce(sum(value), 0), 6) AS total_conc FROM g LEFT JOIN b ON b.slot = g.ts AND b.who IS NOT DISTINCT FROM g.who GROUP BY ALL""",
+)
+
 _register("rebin_1s_count_small", lambda spark, d: s1(spark, d).rebin("s", "count", fill_gaps=False).df, _rebin_sql("SELECT * FROM s1", "1 second", "count", gaps=False))
 for _end, _way in (("first", "ASC"), ("last", "DESC")):
     _register(f"rebin_3h_{_end}", lambda spark, d, m=_end: s1(spark, d).rebin("3h", m, fill_gaps=False).df, f"WITH {S1} SELECT time_bucket(INTERVAL '3 hours', ts, (SELECT date_trunc('day', min(ts)) FROM s1)) AS ts, total_conc FROM s1 QUALIFY row_number() OVER (PARTITION BY 1 + epoch_us(time_bucket(INTERVAL '3 hours', ts, (SELECT date_trunc('day', min(ts)) FROM s1))) ORDER BY s1.ts {_way}) = 1")
@@ -150,8 +182,9 @@ _SUMMARY_1D = "min(total_conc) AS min, max(total_conc) AS max, avg(total_conc) A
 _register("summary_1d", lambda spark, d: _rounded(s1(spark, d).mark(ACTIVITIES).summarize(rounded=False), 8), f"WITH {S1}, x AS ({_segments('s1', 'total_conc')}) SELECT segment, round(min, 8) AS min, round(max, 8) AS max, round(mean, 8) AS mean, round(std, 8) AS std, n FROM (SELECT segment, {_SUMMARY_1D} FROM x GROUP BY segment)")
 _register("summary_1d_rounded", lambda spark, d: s1(spark, d).mark(ACTIVITIES).summarize(), f"WITH {S1}, x AS ({_segments('s1', 'total_conc')}) SELECT segment, round_even(min, 3) AS min, round_even(max, 3) AS max, round_even(mean, 3) AS mean, round_even(std, 3) AS std, n FROM (SELECT segment, {_SUMMARY_1D} FROM x GROUP BY segment)")
 _register(
-    "activity_spans", lambda spark, d: s1(spark, d).mark(ACTIVITIES).activity_spans(["Emission", "Decay", "unheard of"]),
-    "SELECT * FROM (VALUES ('Emission', TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-06'), ('Emission', TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-12 12:00:00'), ('Decay', TIMESTAMP '2024-01-20', TIMESTAMP '2024-01-21')) AS t(activity, start, \"end\")",
+    "activity_spans", lambda spark, d: s1(spark, d).mark(ACTIVITIES).observed_spans(["Emission", "Decay", "Nothing", "unheard of"]),
+    f"""WITH {S1}, spans(activity, start, "end") AS (VALUES {', '.join(f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for n in ("Emission", "Decay", "Nothing") for a, b in ([ACTIVITIES[n]] if isinstance(ACTIVITIES[n], tuple) else ACTIVITIES[n]))})
+    SELECT activity, start, "end", min(ts) AS first, max(ts) AS last, count(ts) AS n FROM spans LEFT JOIN s1 ON ts BETWEEN start AND "end" GROUP BY ALL""",
 )
 _register("total_series", lambda spark, d: s1(spark, d).total_series(), "SELECT ts, value AS total FROM events")
 

@@ -319,3 +319,47 @@ def test_long_windows_against_pandas(spark, method, window, block_rows):
     assert out.columns == ["ts", "v", "who"] and set(got) == set(want)
     for k, x in want.items():
         assert (got[k] is None) if np.isnan(x) else got[k] == pytest.approx(x, rel=1e-9, abs=1e-9), k
+
+
+@pytest.mark.parametrize("method", ["skew", "kurt", "sem", "prod", "nunique", "size", "any", "all", "std", "sum"])
+def test_more_aggregates_against_pandas(spark, method):
+    """Buckets of none to many values, of equal ones, with nulls, zeros and negative signs."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for bucket, n in enumerate([5, 0, 1, 2, 3, 4, 40, 0, 6, 7]):
+        for i in range(n):
+            x = 2.0 if bucket == 8 else 0.0 if bucket == 9 else [-1.5, 0.5, 3.0, None, -2.0, 1.25][rng.integers(0, 6)]
+            rows.append((START + timedelta(minutes=10 * bucket, seconds=i), x))
+    got = Series1D.from_df(spark.createDataFrame(rows, "ts timestamp_ntz, total_conc double")).rebin("10min", method)
+    own = pd.Series([np.nan if x is None else x for _, x in rows], index=pd.DatetimeIndex([t for t, _ in rows])).resample("10min")
+    want = own.apply(lambda v: getattr(v, method)()) if method in ("skew", "kurt") else own.agg(getattr(pd.Series, method) if method in ("any", "all") else method)
+    for a, b in zip(values(got), want.tolist(), strict=True):
+        assert a is None if pd.isna(b) else a == pytest.approx(b), method
+
+
+def test_reducers_in_python(spark):
+    s = series(spark, [1, 5, None, 2, 8, 4], step=600).mark({"a": ("2024-03-01 10:00:00", "2024-03-01 10:10:00")})
+    for how in (np.nanmax, lambda v: v.max(), lambda v: max(x for x in v if x == x), F.max):
+        made = s.rebin("20min", how)
+        assert values(made) == [5, 2, 8] and [r.act_a for r in made.df.orderBy("ts").collect()] == [True, False, False]
+    assert values(s.rebin("20min", lambda v: v.iloc[0], python=True)) == [1, None, 8]
+
+
+def test_grids_of_series_are_made_in_pieces(spark, monkeypatch):
+    from aeroframe.operators import series as module
+
+    monkeypatch.setattr(module, "PIECE", 7)
+    rows = [(START, 1, 1.0), (START + timedelta(minutes=200), 1, 2.0), (START, None, 3.0), (START + timedelta(minutes=50), None, 4.0), (START, 2, 5.0)]
+    s = Series1D.from_df(spark.createDataFrame(rows, "ts timestamp_ntz, k long, total_conc double"), by=["k"])
+    got = s.rebin("10min", "sum").df
+    assert {r.k: (r.n, r.total) for r in got.groupBy("k").agg(F.count("*").alias("n"), F.sum("total_conc").alias("total")).collect()} == {1: (21, 3), None: (6, 7), 2: (1, 5)}
+    assert got.select("k", "ts").distinct().count() == 28
+    with pytest.raises(ValueError, match="28 buckets"):
+        s.rebin("10min", "sum", most=27)
+
+
+def test_observed_spans(spark):
+    s = series(spark, range(10)).mark({"a": [("2024-03-01 10:02:30", "2024-03-01 10:05:00"), ("2025-01-01", "2025-01-02")], "b": ("2024-03-01 10:00:00", "2024-03-01 10:00:00")})
+    got = [(r.activity, r.first, r.last, r.n) for r in s.observed_spans().orderBy("activity", "start").collect()]
+    assert got == [("a", START + timedelta(minutes=3), START + timedelta(minutes=5), 3), ("a", None, None, 0), ("b", START, START, 1)]
+    assert s.observed_spans(False).count() == 0 and s.observed_spans(["b", "none"]).count() == 1
