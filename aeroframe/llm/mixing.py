@@ -8,9 +8,10 @@ length classes (powers of two), longer ones being likelier by ``tilt``, and are
 ranked by random odds divided by their inclusion odds. The ranking is cut where
 its words reach the target, at the nearer end of the document on the border.
 
-All figures of the sources stay tables: shares by window, and the rank at the
-border from sums over buckets of the rank, of which only the border bucket of
-each source is sorted. The driver gets the number of sources. The decision is
+All figures of the sources stay tables: they are put in order by ranges, with
+running sums over the ranges, and the rank at the border comes from sums over
+buckets of the rank, of which only the border bucket of each source is sorted.
+The driver gets the number of sources, all words, and one level. The decision is
 then an expression of the row and its source, so documents aren't shuffled.
 
 Draws are hashes of doc_id, text, a seed, and the row's number among rows that
@@ -37,19 +38,43 @@ BUCKET_DOCS = 2048
 BROADCAST_SOURCES = 4096
 
 
-def capped_shares(rows: DataFrame, by: list[str], total: str, weight: str, cap: str, name: str) -> DataFrame:
+def _in_order(rows: DataFrame, scratch: Scratch, name: str, order: list[Column], before: tuple[str, ...] = (), left: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with ``__place`` in a global order, sums of the rows ``before`` and of those ``left`` (itself included).
+
+    Rows are sorted by ranges; only a row for each range meets in one task.
+    """
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = scratch.save(parts.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), name)
+    sums = parts.groupBy("__part").agg(F.count("*").alias("__n"), *(F.sum(c).alias(f"__sum_{c}") for c in {*before, *left}))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    earlier, later = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("__part", F.desc("__part")))
+    base = {"__base": none(F.sum("__n").over(earlier))} | {f"__base_{c}": none(F.sum(f"__sum_{c}").over(earlier)) for c in before} | {f"__rest_{c}": none(F.sum(f"__sum_{c}").over(later)) for c in left}
+    joined = parts.join(F.broadcast(sums.select("__part", *(c.alias(n) for n, c in base.items()))), "__part")
+    up, down = (Window.partitionBy("__part").orderBy(o) for o in ("__at", F.desc("__at")))
+    shown = {f"__left_{c}": F.sum(c).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col(f"__rest_{c}") for c in left}
+    shown |= {f"__before_{c}": none(F.sum(c).over(up.rowsBetween(Window.unboundedPreceding, -1))) + F.col(f"__base_{c}") for c in before}
+    return joined.withColumns(shown).withColumn("__place", F.row_number().over(up) - 1 + F.col("__base")).select(*rows.columns, "__place", *shown)
+
+
+def capped_shares(rows: DataFrame, by: list[str], total: str, weight: str, cap: str, name: str, scratch: Scratch | None = None) -> DataFrame:
     """Shares of ``total`` by weight, none above its cap; the excess is shared again by weight.
 
     A row's level, were all rows that are capped before it full, is what is left
     for each unit of weight; the first row that stays below its cap sets it.
+    Without ``by`` and with ``scratch``, rows are put in order by ranges.
     """
-    order = Window.partitionBy(*by).orderBy(F.col(cap) / F.col(weight), F.xxhash64(*rows.columns))
-    spent = F.coalesce(F.sum(cap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum(weight).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    steps = rows.withColumn("__level", (F.col(total) - spent) / left).withColumn("__step", F.row_number().over(order))
-    open_ = F.when(F.col("__level") * F.col(weight) <= F.col(cap), F.struct("__step", "__level"))
-    level = F.min(open_).over(Window.partitionBy(*by))["__level"]
-    return steps.withColumn(name, F.least(F.coalesce(level * F.col(weight), F.col(cap)), F.col(cap))).drop("__level", "__step")
+    ends = F.col(cap) / F.col(weight), F.xxhash64(*rows.columns)
+    opened = F.when((F.col(total) - F.col(f"__before_{cap}")) / F.col(f"__left_{weight}") * F.col(weight) <= F.col(cap), F.struct(F.col("__place").alias("step"), ((F.col(total) - F.col(f"__before_{cap}")) / F.col(f"__left_{weight}")).alias("level")))
+    if by or scratch is None:
+        up, down = Window.partitionBy(*by).orderBy(*ends), Window.partitionBy(*by).orderBy(*(F.desc(e) for e in ends))
+        steps = rows.withColumn(f"__left_{weight}", F.sum(weight).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        steps = steps.withColumns({f"__before_{cap}": F.coalesce(F.sum(cap).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "__place": F.row_number().over(up)})
+        level = F.min(opened).over(Window.partitionBy(*by))["level"]
+    else:
+        steps = _in_order(rows, scratch, f"{name}-steps", list(ends), (cap,), (weight,))
+        first = steps.agg(F.min(opened).alias("first")).first()[0]
+        level = F.lit(None if first is None else first.level).cast("double")
+    return steps.withColumn(name, F.least(F.coalesce(level * F.col(weight), F.col(cap)), F.col(cap))).select(*rows.columns, name)
 
 
 def words(text: str = "text") -> Column:
@@ -60,14 +85,15 @@ def _class() -> Column:
     return F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(0).cast("int")
 
 
-def plan(sized: DataFrame, share: float, weights: tuple[float, ...], most: int, tilt: float) -> DataFrame:
+def plan(sized: DataFrame, scratch: Scratch, share: float, weights: tuple[float, ...], most: int, tilt: float) -> DataFrame:
     """A row for each source, in code-point order, null last: its words, target, whole copies, what is wanted beyond, and odds by length class."""
-    classes = sized.groupBy("mix_key", _class().alias("class")).agg(F.sum("size").cast("double").alias("words"), F.count("*").alias("docs"))
+    classes = scratch.save(sized.groupBy("mix_key", _class().alias("class")).agg(F.sum("size").cast("double").alias("words"), F.count("*").alias("docs")), "classes")
     own = classes.groupBy("mix_key").agg(F.sum("words").alias("source_words"), F.sum("docs").alias("docs"))
-    place = F.row_number().over(Window.orderBy(F.col("mix_key").asc_nulls_last())) - 1
-    own = own.withColumn("weight", F.get(F.array(*(F.lit(float(w)) for w in weights)), place % len(weights)))
-    own = own.withColumn("all", F.lit(float(share)) * F.sum("source_words").over(Window.partitionBy())).withColumn("cap", most * F.col("source_words"))
-    own = capped_shares(own, [], "all", "weight", "cap", "target")
+    own = _in_order(own, scratch, "by-name", [F.col("mix_key").asc_nulls_last()])
+    own = own.withColumn("weight", F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("__place") % len(weights)).cast("int"))).drop("__place")
+    total = classes.agg(F.sum("words")).first()[0] or 0.0
+    own = own.withColumn("all", F.lit(float(share) * total)).withColumn("cap", most * F.col("source_words"))
+    own = capped_shares(own, [], "all", "weight", "cap", "target", scratch)
     copies = F.when(F.col("source_words") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_words")))).otherwise(0).cast("long")
     own = own.withColumn("copies", copies).withColumn("wanted", F.when((F.col("source_words") > 0) & (F.col("copies") < most), F.col("target") - F.col("copies") * F.col("source_words")).otherwise(0.0))
     own = own.select(F.col("mix_key").alias("mix_source"), F.col("source_words").cast("long").alias("source_size"), "target", "copies", "wanted", F.greatest(F.lit(1), F.floor(F.col("docs") / BUCKET_DOCS)).cast("long").alias("buckets"))
@@ -135,7 +161,7 @@ def _sized(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source
 
 def _cut(sized: DataFrame, scratch: Scratch, share: float, weights: tuple[float, ...], most: int, tilt: float, seed: int) -> DataFrame:
     """The sources' table with the place where each source's ranking is cut."""
-    sources = scratch.save(plan(sized, share, weights, most, tilt), "sources")
+    sources = scratch.save(plan(sized, scratch, share, weights, most, tilt), "sources")
     shown = F.broadcast if sources.count() <= BROADCAST_SOURCES else lambda t: t
     sums = _ranked(sized, shown(sources), seed).where("wanted > 0").groupBy("mix_source", "bucket").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
     run = sums.withColumn("until", F.sum("words").over(Window.partitionBy("mix_source").orderBy("bucket")))

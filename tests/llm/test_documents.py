@@ -367,3 +367,19 @@ def test_pipeline_rejects_unlearned_languages(spark):
     docs = table(spark, rows + [(1000 + i, t) for i, t in enumerate(strange)] + [(2000, "this old house near the water")])
     kept = pipeline.language(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [*range(240), 2000]
+
+
+def test_many_sources_are_put_in_order_by_ranges(spark):
+    """More sources than documents of any: shares add up, weights go by code point, and the time is about linear."""
+    import time
+
+    def mixed(n):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 7 as int))").alias("text"), F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("source"))
+        began = time.perf_counter()
+        row = mixture(docs).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("target").alias("target"), F.max(F.col("target") / F.col("size")).alias("most"), F.sum(F.when(F.col("doc_id") % 3 == 0, F.col("target") / F.col("size")).otherwise(0)).alias("heavy"), F.sum(F.when(F.col("doc_id") % 3 == 1, F.col("target") / F.col("size")).otherwise(0)).alias("light")).first()
+        assert row.n == n and row.target == pytest.approx(1.5 * row["size"]) and row.most <= 2 + 1e-9 and row.heavy > row.light
+        return time.perf_counter() - began
+
+    mixed(300)
+    small, large = mixed(10_000), mixed(100_000)
+    assert large < 10 * small + 20
