@@ -2,14 +2,23 @@
 
 Three fixed patterns give the base spans. The method adds spans: a token after
 a sensitive word is a candidate; it is compressed with a dictionary of code and
-identifiers followed by the text around it, and its marginal bytes are compared
-with its length. Tokens that neither the dictionary nor their surroundings
-explain, and whose signs are spread as in a random string, are reported.
+identifiers followed by the text around it, copies of the token itself taken
+out, and its marginal bytes are compared with its length. Tokens that neither
+the dictionary nor their surroundings explain, and whose signs are spread as in
+a random string, are reported, but UUIDs, names and paths made of words, and
+data marked as base64.
+
+A token is a run of letters, digits and ``+/_-``, of ``LEAST`` signs or more,
+that begins within ``REACH`` code points of a sensitive word's end, or behind a
+full stop that ends such a run (the parts of a dotted token are found one by
+one). A run right behind the word is the rest of a name, unless it begins with
+``/`` or ``-``; a run that begins with ``/`` is a path, and its parts are tokens.
 
 Whole texts are searched; words that a pattern must contain are looked for in
 the bytes first, so most texts never become Python strings. Null texts count as
-empty. Repeated rows give equal results. Other columns are ignored. An empty
-table gives no rows.
+empty; very long texts are searched whole. Repeated rows give equal results;
+spans that tie in their start are ordered by kind. Other columns are ignored. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,9 +52,14 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")  # '=' o
 LEAST = 16  # signs of a candidate, padding included
 REACH = 48  # code points between the word and the token, at most
 AROUND = 1024  # bytes of text on each side that prime the compressor
-NOVELTY = 0.6  # marginal bytes for each byte of the token, at least
+NOVELTY = 0.7  # marginal bytes for each byte of the token, at least
+WORDS = 0.8  # share of a token's letters in words from which it is a name or a path
 SPREAD = 3.2  # bits of entropy of a sign in the token, at least
 
+_UUID = re.compile(r"(?a)[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_WORDLIKE = re.compile(r"(?i)(?=.*[aeiouy])(?:[a-z]{3,15}|(?!.*[^aeiouy]{5})[a-z]{16,})")
+
 #: What code around secrets commonly says; primes the compressor.
 DICTIONARY = " ".join((
     "def class return import from self None True False lambda yield async await const let var function export default public private static final void int string boolean",
@@ -82,7 +96,8 @@ def _compressed(context: bytes, tail: bytes) -> int:
 def novelty(text: str, start: int, end: int) -> float:
     """Bytes that the token adds to its surroundings, for each of its own."""
     token = text[start:end].encode()
-    before, after = text[max(0, start - AROUND) : start].encode()[-AROUND:], text[end : end + AROUND].encode()[:AROUND]
+    before, after = (x.encode().replace(token, b"") for x in (text[max(0, start - AROUND) : start], text[end : end + AROUND]))
+    before, after = before[-AROUND:], after[:AROUND]
     context, lead = after + before, before[-32:]
     return (_compressed(context, lead + token) - _compressed(context, lead)) / len(token)
 
@@ -91,6 +106,37 @@ def _spread(token: str) -> float:
     return -sum(n / len(token) * math.log2(n / len(token)) for n in (token.count(c) for c in set(token)))
 
 
+def _in_words(token: str) -> bool:
+    """Whether nearly all letters are in words, as in names and paths; words don't alternate with digits time and again."""
+    if len(re.findall("[0-9]+", token)) > 3:
+        return False
+    runs = _RUN.findall(token)
+    letters = sum(map(len, runs))
+    return letters > 0 and sum(len(r) for r in runs if _WORDLIKE.fullmatch(r)) >= WORDS * letters
+
+
+def _tokens(text: str, start: int, end: int, glued: bool) -> Iterator[tuple[int, int]]:
+    """The tokens of a run; ``glued`` if a sensitive word ends where it begins."""
+    if glued and text[start] not in "/-":
+        return
+    if text[start] != "/":
+        while start < end and text[start] == "-":
+            start += 1
+        yield start, end
+        return
+    for part in re.finditer("[^/]+", text[start:end]):
+        yield start + part.start(), start + part.end()
+
+
+def _suspicious(text: str, start: int, end: int, known: list[Span]) -> bool:
+    token = text[start:end]
+    if len(token) < LEAST or any(s.start < end and start < s.end for s in known):
+        return False
+    if not re.search("[A-Za-z]", token) or _UUID.fullmatch(token) or text[max(0, start - 8) : start].endswith("base64,") or _in_words(token):
+        return False
+    return _spread(token) >= SPREAD and novelty(text, start, end) >= NOVELTY
+
+
 def novel_spans(text: str, known: list[Span]) -> list[Span]:
     """Candidates in sensitive context that don't compress and touch no base span."""
     out, last = [], 0
@@ -103,14 +149,9 @@ def novel_spans(text: str, known: list[Span]) -> list[Span]:
             if start > reach:
                 break
             last = end
-            token = m.group()
-            # A run right after the word is the rest of a name; its value may follow.
-            if start == word.end() or len(token) < LEAST or any(s.start < end and start < s.end for s in known):
-                continue
-            if not (re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token)):
-                continue
-            if _spread(token) >= SPREAD and novelty(text, start, end) >= NOVELTY:
-                out.append(Span(start, end, "novel", start))
+            if text[end : end + 1] == ".":
+                reach = max(reach, end + 1)
+            out += [Span(a, b, "novel", a) for a, b in _tokens(text, start, end, start == word.end()) if _suspicious(text, a, b, known)]
     return out
 
 

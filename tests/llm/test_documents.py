@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aeroframe.llm import jaccard
+from aeroframe.llm import jaccard, secretscan
 from aeroframe.llm.graph import components
 from aeroframe.llm.jaccard import jaccard_components
 from aeroframe.llm.mixing import capped_shares, mixture, resample
@@ -282,7 +282,8 @@ def test_novelty():
     assert found(f"curl -H 'Authorization: Bearer {key}' https://x") == [("novel", key)]
     assert found(f"client_key -> {key}, done") == [("novel", key)]
     assert found(f"the colour {key} is nice") == []  # no sensitive word
-    assert found(f"{key} " * 3 + f"bearer {key}") == []  # its surroundings explain it
+    assert found(f"{key} " * 3 + f"bearer {key}") == [("novel", key)]  # copies of it don't explain it
+    assert found(f"{key[:20]}, {key[20:]}, bearer {key}") == []  # its surroundings do
     assert found("Authorization: your_api_key_here_1234567890_xxxxxxxxxxxxxxxx") == []
     assert found("the bearer notwithstandingverylongwords") == []
     assert found(f"token={key}") == [("assign", f"token={key}")]  # base spans stay alone
@@ -383,3 +384,92 @@ def test_many_sources_are_put_in_order_by_ranges(spark):
     mixed(300)
     small, large = mixed(10_000), mixed(100_000)
     assert large < 10 * small + 20
+
+
+ALPHABETS = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+LAYOUTS = {
+    "assignment": "client_key={0}\n", "json": '{{"private_key": "{0}", "n": 1}}', "header": "Authorization: Bearer {0}\n", "url": "GET https://x.com/token/{0} HTTP/1.1", "dash": "token-{0}",
+    "twice": "private_key: {0}\nagain private_key: {0}\n", "yaml": "  credential:\n    value: {0}\n", "prose": "The passphrase for the backup is {0} please keep it.", "code": 'conn.set_access_key("{0}")', "dotted": "bearer {0}.{1}.{2} end",
+}
+NAMES = "load rsa signing key from file get user account settings manager service request handler cache index update remove session client config default version internal public value number string parse format render widget report export import batch stream window filter".split()
+
+
+def _secrets(rng):
+    token = lambda: "".join(rng.choice(alphabet) for _ in range(rng.choice([24, 32, 40, 64]))) if (alphabet := rng.choice(ALPHABETS)) else ""
+    for layout, shape in LAYOUTS.items():
+        for _ in range(110):
+            three = [token() for _ in range(3)]
+            used = three if layout == "dotted" else three[:1]
+            yield layout, f"some text before it\n{shape.format(*three)}\nand after", used
+
+
+def _harmless(rng):
+    import base64
+    import uuid
+
+    name = lambda: rng.choice(["_".join, "-".join, lambda w: "".join(x.title() for x in w)])([rng.choice(NAMES) for _ in range(rng.randint(3, 6))]) + rng.choice(["", "2", "_v2", "10"])
+    for _ in range(260):
+        yield "session token id " + str(uuid.UUID(int=rng.getrandbits(128)))
+        yield f"the token is read by {name()}()"
+        yield f"see the password docs at https://docs.example.org/{name()}/{name()}.html"
+        yield f"secret <img src='data:image/png;base64,{base64.b64encode(rng.randbytes(150)).decode()}'>"
+
+
+def test_tokens_in_ten_layouts_and_harmless_strings():
+    rng = random.Random(5)
+    found, n = dict.fromkeys(LAYOUTS, 0), dict.fromkeys(LAYOUTS, 0)
+    for layout, text, tokens in _secrets(rng):
+        spans = scan(text.encode())
+        places = [(m.start(), m.end()) for t in tokens for m in re.finditer(re.escape(t), text)]
+        found[layout] += all(any(s.value <= a and b <= s.end for s in spans) for a, b in places)
+        n[layout] += 1
+    assert sum(n.values()) >= 1000 and all(found[x] >= 0.9 * n[x] for x in n), found
+    harmless = list(_harmless(rng))
+    wrong = sum(any(s.kind == "novel" for s in scan(t.encode())) for t in harmless)
+    assert len(harmless) >= 1000 and wrong <= 0.01 * len(harmless)
+
+
+def brute_novel(text, known):
+    """Sign by sign: runs that begin near behind a sensitive word, or behind the full stop of one."""
+    signs = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-")
+    out, free = [], 0
+    for word in secretscan._SENSITIVE.finditer(text):
+        reach, at = word.end() + secretscan.REACH, max(free, word.end())
+        if free > reach:
+            continue
+        while at < len(text):
+            if text[at] not in signs:
+                at += 1
+                continue
+            start = at
+            if start > reach:
+                break
+            while at < len(text) and text[at] in signs:
+                at += 1
+            pad = at
+            while pad < len(text) and text[pad] == "=":
+                pad += 1
+            at = pad if pad > at and (pad == len(text) or text[pad] not in signs) else at
+            free = at
+            if text[at : at + 1] == ".":
+                reach = max(reach, at + 1)
+            run, first = text[start:at], start
+            if start == word.end() and run[0] not in "/-":
+                continue
+            if run[0] == "/":
+                parts = [(first + sum(len(x) + 1 for x in run.split("/")[:k]), part) for k, part in enumerate(run.split("/")) if part]
+            else:
+                parts = [(first + len(run) - len(run.lstrip("-")), run.lstrip("-"))]
+            for begin, token in parts:
+                if len(token) >= secretscan.LEAST and secretscan._suspicious(text, begin, begin + len(token), known):
+                    out.append((begin, begin + len(token)))
+    return out
+
+
+def test_novel_spans_against_brute_force():
+    rng = random.Random(9)
+    bits = [t for _, t, _ in _secrets(rng)] + list(_harmless(rng)) + ["token", " key", "-", "/", "=", "==", ".", " ", "secret/", "é"]
+    for _ in range(150):
+        text = rng.choice(["", " ", "/"]).join(rng.choice(bits) for _ in range(rng.randint(1, 6)))
+        known = secretscan.base_spans(text)
+        assert [(s.start, s.end) for s in secretscan.novel_spans(text, known)] == brute_novel(text, known)
