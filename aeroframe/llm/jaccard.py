@@ -26,6 +26,8 @@ shingle and link with nothing. Repeated rows and equal sets share a component.
 Rows of one doc_id with different texts count as one document. Rows without an
 id take part by their sets; a component's id is its smallest non-null doc_id,
 or null if it has none. Other columns are ignored. An empty table gives no rows.
+Very long texts are read whole, in blocks of their own. Shingles that tie in
+rarity are ordered by their hash, so every set has one order.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ coefficients included (they are decoded and passed over).
 
 A null or empty text is a payload of 64 zero bytes. A null media value, or one
 that isn't a baseline JPEG, has null features and an error text. Repeated rows
-give equal values. Other columns are ignored. An empty table gives no rows.
+give equal values, and so do rows that tie in their text. A very long text is
+several images, made one by one. Other columns are ignored. An empty table gives
+no rows.
 """
 
 from __future__ import annotations

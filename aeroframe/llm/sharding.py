@@ -9,8 +9,9 @@ number, so a large group of equal documents is divided as well. Slots come from
 counts of buckets and a row number inside each. DataFrame operations only.
 
 Null text counts as empty; null ids, sources and languages have a value of
-their own. Repeated rows are separate rows. An empty table gives no rows. Other
-columns are ignored.
+their own. Repeated rows are separate rows. A very long text is one row: a shard is
+larger than the others by no more than that. An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ Null and empty texts give a document of the end id alone. Repeated rows give a
 document each: rows of one id are ordered by a hash of their texts, and may be
 dealt to several tasks, even where they agree; those that do are written with
 their numbers first, so that a repeated task can't number them otherwise. A
-null id sorts first. An empty table gives a manifest without parts. Other
-columns are ignored.
+null id sorts first. An empty table gives a manifest without parts. Very
+long texts are encoded whole and are one document; where a part is one such
+text, it is larger than the others. Other columns are ignored.
 """
 
 from __future__ import annotations
