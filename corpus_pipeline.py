@@ -25,7 +25,13 @@ LEAST_KNOWN = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled documents; those without letters, without any likely language or strange to all landmarks go."""
+    """Learn from the labelled documents; those without letters, without any likely language or strange to all landmarks go.
+
+    Null and empty texts have no letter and go; very long texts are read whole;
+    repeated rows, and rows that tie in their text, share one decision; without
+    a labelled row, or in an empty table, nothing stays. Columns stay as they
+    are; the decision's own have names that no table has.
+    """
     added, known = ("__language", "__language_score"), "__language_known"
     named = predict(docs, fit(docs), added=added, keep=tuple(docs.columns), share=known)
     return named.where((F.col(added[0]) != "und") & (F.col(added[1]) >= LEAST_SCORE) & (F.col(known) >= LEAST_KNOWN)).drop(*added, known)
@@ -36,7 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id, and all but one of the rows of one id, get keys above
     all ids: each is compared by its own text, and stays where no row of a
-    smaller key is in its group.
+    smaller key is in its group. Null and empty texts, and those without a word,
+    link with nothing and stay; very long texts are compared whole; an empty
+    table gives none. Columns stay as they are.
     """
     key, place, head = "__key", "__place", "__head"
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -56,7 +64,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays, and so do null, empty and very long texts, repeated rows and further columns.
+
+    ``n_chars``, where it is there, follows the text; null where that is null too.
+    """
     clean = redact_documents(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
@@ -64,12 +75,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: documents left out, once or repeated."""
+    """Sources at their target weights: documents left out, once or repeated, with all their columns.
+
+    Null and empty texts have no words and aren't taken; a null source is one of
+    its own; a very long text counts with all its words; repeated rows are drawn
+    one by one, ties by their numbers; an empty table gives none.
+    """
     return resample(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens: every row gives one at least, null and empty texts that of the end alone, very long ones many; an empty table none."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048)
