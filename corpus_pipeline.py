@@ -66,7 +66,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays, and so do null, empty and very long texts, repeated rows and further columns.
 
-    ``n_chars``, where it is there, follows the text; null where that is null too.
+    ``n_chars``, where it is there, follows the text, and stays where that is null.
     """
     clean = redact_documents(docs)
     if "n_chars" in docs.columns:
@@ -77,9 +77,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents left out, once or repeated, with all their columns.
 
-    Null and empty texts have no words and aren't taken; a null source is one of
-    its own; a very long text counts with all its words; repeated rows are drawn
-    one by one, ties by their numbers; an empty table gives none.
+    Null and empty texts have no words, cost nothing and come as often as whole
+    copies of their source do; a null source is one of its own; a very long text
+    counts with all its words; repeated rows are drawn one by one, ties by their
+    numbers; an empty table gives none.
     """
     return resample(docs)
 
