@@ -11,7 +11,7 @@ pieces each (a row's place in its input split salts its group; as the pieces
 are written first, a repeated task can't deal them otherwise). An empty table
 gives no rows. Other columns are ignored. Very long texts are encoded whole, a
 block of their own, and give as many whole sequences as they fill. Pieces that
-tie in size are placed in the order of their numbers.
+tie in size are placed in the order of id, start, checksum and row.
 """
 
 from __future__ import annotations
