@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -14,6 +15,8 @@ from aeroframe.functions.physics import PM_CUTS
 from aeroframe.operators.series import Series1D, union
 from aeroframe.plans.exports import EXPORTS, expected, loaded, other_bins, other_bins_sql
 from aeroframe.plans.fixtures import ACTIVITIES, BINS, EDGES, FINE_BINS, events, s1, s2, s2_marked, s2d, s2m
+from aeroframe.session import shared_root
+from aeroframe.streaming.adapters import deduplicate_stream, rebin_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -364,6 +367,34 @@ _register("opc_counts_to_conc", _opc, "SELECT l_orderkey, l_linenumber, CASE WHE
 _register("ops_deadtime_conc", _ops, "SELECT l_orderkey, l_linenumber, CASE WHEN 60 - l_discount * 600 = 0 THEN NULL ELSE round(l_quantity / (16.67::DOUBLE * (60 - l_discount * 600)), 9) END AS conc FROM lineitem")
 
 
+# Streams
+
+
+def _streamed(spark: SparkSession, d: str, form: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All of events through a stream, to the end of what is there: what has come out by then."""
+    table = events(spark, d)
+    source = spark.readStream.schema(table.schema).parquet(f"{d}/events.parquet*")
+    stream = form(source.select("ts", F.col("value").alias("total_conc"), "event_id"))
+    folder = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _first_of_hour(source: DataFrame) -> DataFrame:
+    return deduplicate_stream(source.withColumn("ts", F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz")), "ts", "2 hours", ["event_id"])
+
+
+#: Streams keep back what the watermark, the last time less the delay, hasn't passed.
+_register(
+    "stream_rebin_10min_sum", lambda spark, d: _rounded(_streamed(spark, d, lambda s: rebin_stream(s, "ts", ["total_conc"], "10min", "sum", "3 hours")), 6),
+    "SELECT time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01')::TIMESTAMP AS ts, round(sum(value), 6) AS total_conc FROM events GROUP BY 1 HAVING time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') + INTERVAL '10 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '3 hours'",
+)
+_register(
+    "stream_keep_first", lambda spark, d: _streamed(spark, d, _first_of_hour),
+    "WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, value AS total_conc, event_id FROM events) SELECT * FROM h WHERE ts <= (SELECT max(ts) FROM h) - INTERVAL '2 hours' QUALIFY row_number() OVER (PARTITION BY ts ORDER BY event_id) = 1",
+)
+
 # Loading
 
 for _dialect in EXPORTS:
