@@ -103,10 +103,12 @@ for _method, _w in (("mean", 5), ("median", 5), ("sum", 4), ("min", 3), ("max",
         f"WITH {S1} SELECT ts, round({_SQL_AGG[_method]}(total_conc) OVER (ORDER BY ts ROWS BETWEEN {_w // 2} PRECEDING AND {(_w - 1) // 2} FOLLOWING), 9) AS total_conc FROM s1",
     )
 
-for _method, _w, _rows, _digits in (("mean", 3600, 4000, 6), ("sum", 101, 1500, 6), ("median", 601, 2000, 9), ("min", 500, 1000, 9), ("max", 1441, 3000, 9)):
+#: Added before means are rounded, as a mean of decimals may lie just on the middle between two.
+_OFF = 1.234567e-7
+for _method, _w, _rows in (("mean", 3600, 4000), ("sum", 101, 1500), ("median", 601, 2000), ("min", 500, 1000), ("max", 1441, 3000)):
     _register(
-        f"smooth_{_method}{_w}_blocks", lambda spark, d, m=_method, w=_w, r=_rows, x=_digits: _rounded(s1(spark, d).smooth(w, m, block_rows=r).df, x),
-        f"WITH {S1} SELECT ts, round({_SQL_AGG[_method]}(total_conc) OVER (ORDER BY ts, total_conc ROWS BETWEEN {_w // 2} PRECEDING AND {(_w - 1) // 2} FOLLOWING), {_digits}) AS total_conc FROM s1",
+        f"smooth_{_method}{_w}_blocks", lambda spark, d, m=_method, w=_w, r=_rows: s1(spark, d).smooth(w, m, block_rows=r).df.select("ts", F.round(F.col("total_conc") + _OFF, 6).alias("total_conc")),
+        f"WITH {S1} SELECT ts, round({_SQL_AGG[_method]}(total_conc) OVER (ORDER BY ts, total_conc ROWS BETWEEN {_w // 2} PRECEDING AND {(_w - 1) // 2} FOLLOWING) + {_number(_OFF)}, 6) AS total_conc FROM s1",
     )
 
 
