@@ -11,15 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from aeroframe.session import file_system, shared_root
 
 
-def small_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Send texts to Python in batches of at most so many rows, for the rest of the session.
+def small_batches(spark: SparkSession, rows: int = 2048, size: int = 1 << 22) -> None:
+    """Send texts to Python in batches of at most so many rows, and of about so many bytes, for the rest of the session.
 
-    Spark's default of 10,000 rows takes tens of MB a batch, on both sides, for long texts.
+    Spark's defaults of 10,000 rows and 64 MB take hundreds of MB for the
+    batches of a task's two sides where texts are long.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= size:
+        spark.conf.set(key, str(size))
 
 
 class Scratch:
