@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aeroframe.llm import jaccard, secretscan
+from aeroframe.llm import jaccard, secretscan, sharding
 from aeroframe.llm.graph import components
 from aeroframe.llm.jaccard import jaccard_components
 from aeroframe.llm.mixing import capped_shares, mixture, resample
@@ -228,10 +228,12 @@ def plain_tree(rows, shards, spans, first=0):
     return plain_tree(left, half, spans, first) | plain_tree(order, shards - half, spans, first + half)
 
 
-@pytest.mark.parametrize("shards", [8, 5])
-def test_shards_are_those_of_a_plain_tree(spark, shards):
+@pytest.mark.parametrize("shards, few", [(8, sharding.FEW), (5, 7), (5, 200)])
+def test_shards_are_those_of_a_plain_tree(spark, monkeypatch, shards, few):
+    """The medians in one window each, and by passes over buckets first; ``few`` = 7 narrows inside ties as well."""
     import zlib
 
+    monkeypatch.setattr(sharding, "FEW", few)
     rng = random.Random(shards)
     rows = [(rng.randrange(4000) if i % 7 else None, "x" * rng.choice([0, 3, 50, 700]), rng.choice(["en", "de", None]), f"s{i % 3}") for i in range(900)] + [(9999, "same", "en", "s0")] * 500
     got = kd_shards(table(spark, rows).coalesce(1), shards)
