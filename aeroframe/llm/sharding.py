@@ -104,7 +104,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
     if shards is None:
         shards = max(1, -(-(whole.bytes or 0) // target_bytes))
     spans = {d: max(1, whole[f"{d}_max"] - whole[f"{d}_min"]) for d in DIMS} if whole.n else {}
-    nodes = spark.range(0, 1, 1, 1).select(F.lit(0).cast("long").alias("node"), F.lit(shards).cast("long").alias("shards"))
+    nodes = spark.range(0, 1, 1, 1).select(F.col("id").alias("node"), F.lit(shards).cast("long").alias("shards"))
     for level in range((shards - 1).bit_length() if whole.n else 0):
         opened, turn = scratch.save(_opened(rows, _halved(nodes), spans), f"nodes-{level}-0"), 0
         while not opened.where(F.col("n") > FEW).isEmpty():
