@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from aeroframe.functions.metrics import no_nan
 from aeroframe.model import ALL_DATA, Activity, Bins, Scale, SeriesMeta, common_bins, moment_of_time, periods
@@ -424,9 +425,12 @@ def union(parts: Sequence[Series1D], check: Sequence[str] = ("serial_number",),
         good = [_as_first(p, first.meta) for p in good]
         bins = common_bins((p.meta.bins for p in good), overlapping)
         first = first._with(first.df, meta=replace(first.meta, bins=bins), values=("total_conc", *bins.columns))
-        good = [_in_bins(p, bins) for p in good]
+    else:
+        bins = None
     join = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    rows = join([p.df.withColumn("__file", F.lit(i)).withColumn("__row", F.monotonically_increasing_id()) for i, p in enumerate(good)])
+    rows = _stacked([(p.df.withColumn("__file", F.lit(i)).withColumn("__row", F.monotonically_increasing_id()), _renamed(p, bins)) for i, p in enumerate(good)])
+    if bins is not None:
+        rows = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in bins.columns), *bins.columns)
     out = first._with(rows).deduplicated(["__file", "__row"])
     extra = [p.extra_data.withColumn("__file", F.lit(i)).withColumn("__row", F.monotonically_increasing_id()) for i, p in enumerate(good) if p.extra_data is not None]
     beside = first_by_time(join(extra), [first.ts], ["__file", "__row"]).drop("__file", "__row") if extra else None
@@ -445,14 +449,29 @@ def _as_first(part: Series1D, meta: SeriesMeta) -> Series1D:
     return part.normalize() if meta.scale is Scale.LOG else part
 
 
-def _in_bins(part: Series1D, bins: Bins) -> Series1D:
-    """The part's bins as those of ``bins`` with the same edges; the others are null."""
-    if part.meta.bins.spans == bins.spans:
-        return part
-    own = dict(zip(part.meta.bins.spans, part.meta.bins.columns, strict=True))
-    columns = [F.col(own[s]).alias(c) if s in own else F.lit(None).cast("double").alias(c) for s, c in zip(bins.spans, bins.columns, strict=True)]
-    rest = [F.col(f"`{c}`") for c in part.df.columns if c not in own.values()]
-    return part._with(part.df.select(*rest, *columns), meta=replace(part.meta, bins=bins), values=("total_conc", *bins.columns))
+def _renamed(part: Series1D, bins: Bins | None) -> dict[str, str]:
+    """The part's bins, each with the column of ``bins`` with the same edges; none where they are the same."""
+    if bins is None or part.meta.bins.spans == bins.spans:
+        return {}
+    column = dict(zip(bins.spans, bins.columns, strict=True))
+    return {own: column[s] for s, own in zip(part.meta.bins.spans, part.meta.bins.columns, strict=True)}
+
+
+def _stacked(frames: Sequence[tuple[DataFrame, dict[str, str]]]) -> DataFrame:
+    """All rows of frames, some of whose columns get other names; null where a frame hasn't a column.
+
+    The new names come from the columns' places in the union. As aliases in a
+    projection they would double, one by one, the forms that Catalyst derives
+    of a total over them: 2**n forms for n bins.
+    """
+    held = [{names.get(c, c): c for c in df.columns} for df, names in frames]
+    kinds = {new: df.schema[own].dataType for (df, _), columns in reversed([*zip(frames, held, strict=True)]) for new, own in columns.items()}
+    order = list(dict.fromkeys(new for columns in held for new in columns))
+    taken = [df.select(*(F.col(f"`{columns[c]}`") if c in columns else F.lit(None).cast(kinds[c]).alias(c) for c in order)) for (df, _), columns in zip(frames, held, strict=True)]
+    named = next((k for k, df in enumerate(taken) if df.columns == order), None)
+    first = frames[0][0].sparkSession.createDataFrame([], StructType([StructField(c, kinds[c]) for c in order])) if named is None else taken.pop(named)
+    taken.insert(0, first)
+    return reduce(DataFrame.union, taken)
 
 
 def _united(periods: DataFrame, *keys: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The driver's contract: every query runs, and every SQL gives its rows (sf0.001 here)."""
 
 import os
+import time
 
 import duckdb
 import pytest
@@ -52,6 +53,13 @@ def test_a_file_for_each_day_whatever_the_partitions(spark, db, name):
     assert shown(got) == shown(db.execute(contract.oracle_sql()[name]).fetchdf())
 
 
+def test_union_of_other_bins_is_planned_soon(spark):
+    made = contract.queries()["folder_union_other_bins"](spark, DATA)
+    began = time.time()
+    made._jdf.queryExecution().optimizedPlan()
+    assert time.time() - began < 15
+
+
 def test_flagship(spark):
     assert contract.entry(spark).count() >= 1
 

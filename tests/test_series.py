@@ -363,3 +363,16 @@ def test_observed_spans(spark):
     got = [(r.activity, r.first, r.last, r.n) for r in s.observed_spans().orderBy("activity", "start").collect()]
     assert got == [("a", START + timedelta(minutes=3), START + timedelta(minutes=5), 3), ("a", None, None, 0), ("b", START, START, 1)]
     assert s.observed_spans(False).count() == 0 and s.observed_spans(["b", "none"]).count() == 1
+
+
+def test_union_names_other_bins_by_their_edges(spark):
+    def made(shift, day):
+        bins = Bins.arithmetic(tuple(float(2**k) for k in range(shift, shift + 15)))
+        return Series2D.from_bins(spark.range(1).selectExpr(f"timestamp_ntz'2024-01-0{day} 00:00:00' ts", *(f"id + {k + 1}D {c}" for k, c in enumerate(bins.columns))), bins).deduplicated(["ts"])
+
+    out = union([made(5, 1), made(0, 2), made(10, 3)])
+    one, two, three = (list(r)[1:] for r in out.df.select("ts", "total_conc", *out.bins.columns).orderBy("ts").collect())
+    numbers = [float(k) for k in range(1, 15)]
+    assert one == [105.0, *[None] * 5, *numbers, *[None] * 5]
+    assert two == [105.0, *numbers, *[None] * 10]
+    assert three == [105.0, *[None] * 10, *numbers]
