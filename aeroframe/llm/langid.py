@@ -40,6 +40,8 @@ TRAIN, LANDMARKS, LONGEST = 3000, 128, 1 << 14
 #: Parts of a language's draws from which the smallest ones are taken first, so that no task gets a whole language.
 PARTS = 256
 GRAMS = 4
+#: Bytes of texts whose n-grams are looked up at once; bounds the working arrays.
+BLOCK = 1 << 18
 RIDGE = 1e-3
 _SLOT_BITS = (22, 18)  # of the first table of slots, and of those for what it can't place
 _SALT = 0x9E3779B97F4A7C15
@@ -132,9 +134,9 @@ class Model:
 
 
 def _blocks(offsets: np.ndarray, vocabulary: Vocabulary) -> Iterator[tuple[int, int]]:
-    """Blocks of about a megabyte, with no more documents than a presence matrix of 16 MB holds."""
+    """Blocks of about ``BLOCK`` bytes, with no more documents than a presence matrix of 16 MB holds."""
     most = max(1, (1 << 22) // len(vocabulary.codes))
-    for i, j in blocks(offsets):
+    for i, j in blocks(offsets, BLOCK):
         for a in range(i, j, most):
             yield a, min(j, a + most)
 

@@ -306,3 +306,25 @@ def test_languages_of_long_texts_only(spark, long_langs):
     assert all((len(r[1].encode()) > LONGEST) == (r[2] in long_langs) for r in rows)
     got = {r.doc_id: r for r in language_id(table(spark, rows)).collect()}
     assert all(got[i].lang_pred == lang for i, _, lang, _ in rows)
+
+
+def test_language_scores_need_little_memory_for_a_batch():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from aeroframe.llm import langid
+
+    texts = pa.array([f"alpha beta {k} gamma delta " * 40 for k in range(4000)])
+    offsets, data = langid.text_bytes(texts)
+    codes = np.concatenate([c for _, c in langid._codes(data[: offsets[5]], offsets[:6])])
+    vocabulary = langid.Vocabulary(codes)
+    model = langid.Model(["a", "b"], vocabulary, np.ones((len(vocabulary.codes), 2), np.float32))
+    tracemalloc.start()
+    try:
+        model.scores(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 25 << 20
