@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroframe.llm.graph import components
-from aeroframe.llm.storage import Scratch, small_batches
+from aeroframe.llm.storage import Scratch, lean, small_batches
 from aeroframe.llm.textbytes import blocks, mix, shingles, text_bytes
 
 #: Bits of the number of counters of the sketch of shingle counts (4 bytes each), at least and at most; one for some 1,600 bytes of text between.
@@ -107,7 +107,7 @@ def shingle_sketch(docs: DataFrame, k: int) -> np.ndarray:
                 total += np.frombuffer(value.as_buffer(), np.int32)
         yield pa.RecordBatch.from_pydict({"part": [key[0].as_py()], "counts": [np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()]})
 
-    made = docs.mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary")
+    made = docs.mapInArrow(lean(count), "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary")
     whole = np.zeros((1 << (bits - _SLICE_BITS), 1 << _SLICE_BITS), np.int32)
     for row in made.collect():  # 2**bits counters in all
         whole[row.part] = np.frombuffer(row.counts, np.int32)
@@ -151,7 +151,7 @@ def _profiles(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
                     ["doc_id", "n", "d1", "d2", "prefix", "parity"],
                 )
 
-    return docs.mapInArrow(profile, "doc_id long, n long, d1 long, d2 long, prefix array<long>, parity array<long>")
+    return docs.mapInArrow(lean(profile), "doc_id long, n long, d1 long, d2 long, prefix array<long>, parity array<long>")
 
 
 def _filter_of(nodes: DataFrame, bits: int) -> np.ndarray:
@@ -194,7 +194,7 @@ def _whole_sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
                 yield found.take(pa.array(np.sort(first)))
 
     marked = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))).alias("slot"))
-    return marked.mapInArrow(sets, "node long, shingles array<long>")
+    return marked.mapInArrow(lean(sets), "node long, shingles array<long>")
 
 
 def _folded(parity: str, words: Column) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from aeroframe.llm.storage import small_batches
+from aeroframe.llm.storage import lean, small_batches
 from aeroframe.llm.textbytes import LOWER, blocks, text_bytes
 
 #: Labelled rows learned from, and landmarks, at most (and one more for a language); bytes of a text that is a landmark before longer ones are.
@@ -178,7 +178,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 own = [np.unique(codes) for _, codes in _codes(LOWER[data[i:j]], np.array([0, j - i]))] if j > i else []
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(own).tobytes() if own else b""], pa.binary())], ["codes"])
 
-    sets = [np.frombuffer(r.codes, np.uint64) for r in drawn(rows, LANDMARKS, LONGEST).select("text").mapInArrow(grams, "codes binary").collect()]  # the different n-grams of LANDMARKS rows
+    sets = [np.frombuffer(r.codes, np.uint64) for r in drawn(rows, LANDMARKS, LONGEST).select("text").mapInArrow(lean(grams), "codes binary").collect()]  # the different n-grams of LANDMARKS rows
     if not sets:
         return None
     vocabulary = Vocabulary(np.concatenate(sets))
@@ -211,7 +211,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     m = len(marks)
     inner, outer, n = np.zeros((m, m)), np.zeros((m, len(languages) + 1)), 0
-    learned = drawn(rows, TRAIN).coalesce(16).mapInArrow(sums, "inner binary, outer binary, n long")
+    learned = drawn(rows, TRAIN).coalesce(16).mapInArrow(lean(sums), "inner binary, outer binary, n long")
     for r in learned.collect():  # 16 rows at most
         inner += np.frombuffer(r.inner).reshape(m, m)
         outer += np.frombuffer(r.outer).reshape(m, -1)
@@ -253,7 +253,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", added:
     schema = StructType(sent.schema.fields[: len(keep)]).add(added[0], StringType()).add(added[1], DoubleType())
     if share:
         schema = schema.add(share, DoubleType())
-    return sent.mapInArrow(classify, schema)
+    return sent.mapInArrow(lean(classify), schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

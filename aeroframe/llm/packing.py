@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.llm.storage import Scratch, small_batches
+from aeroframe.llm.storage import Scratch, lean, small_batches
 from aeroframe.llm.tokencache import memory
 
 #: Stands for a null id while pandas holds it.
@@ -75,7 +75,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, length: int, drops_space:
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, _PIECE)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(pieces, keep=True), _PIECE)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, drops_space: bool = True, group_docs: int = 1024, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

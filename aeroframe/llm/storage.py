@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from aeroframe.session import file_system, shared_root
@@ -26,6 +29,44 @@ def small_batches(spark: SparkSession, rows: int = 2048, size: int = 1 << 22) ->
         spark.conf.set(key, str(size))
 
 
+#: What this Python worker keeps from one task to the next.
+KEPT: dict = {}
+
+
+def _forget() -> None:
+    KEPT.clear()  # here, as closures sent to workers take copies of what they name
+
+
+def _give_back() -> None:
+    """Free pages of Arrow and of malloc (where it is glibc's) go back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` for ``mapInArrow``, giving free memory back after each batch and at the task's end.
+
+    Workers live on for further tasks, and beside the JVM's while idle; else
+    each holds the most that any task took. Without ``keep``, what other
+    operators keep in the worker goes first; they make it anew.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                _give_back()
+
+        if not keep:
+            _forget()
+        yield from function(fed())
+        _give_back()
+
+    return run
+
+
 class Scratch:
     """Written tables that cut lineage; a lost executor only rereads them. They go when the driver's JVM ends."""
 
@@ -88,8 +129,6 @@ class SharedFiles:
 
     def map(self, name: str):
         """The file's bytes as a buffer: memory-mapped where it is local."""
-        import pyarrow as pa
-
         if self.local:
             path = os.path.join(self.path, name)
             return pa.memory_map(path).read_buffer() if os.path.getsize(path) else pa.py_buffer(b"")

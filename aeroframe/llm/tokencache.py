@@ -14,6 +14,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from aeroframe.llm.storage import KEPT
 from aeroframe.llm.textbytes import LOWER, blocks, span_hashes, text_bytes
 
 #: Pieces remembered by one worker; beyond it the memory starts afresh.
@@ -262,11 +263,8 @@ class WordMemory:
         return np.concatenate(parts), np.concatenate(counts)
 
 
-_memories: dict[tuple[str, bool], WordMemory] = {}
-
-
 def memory(path: str, drops_space: bool) -> WordMemory:
     """This worker's memory for a tokenizer file."""
-    if (path, drops_space) not in _memories:
-        _memories[path, drops_space] = WordMemory(path, drops_space)
-    return _memories[path, drops_space]
+    if (path, drops_space) not in KEPT:
+        KEPT[path, drops_space] = WordMemory(path, drops_space)
+    return KEPT[path, drops_space]

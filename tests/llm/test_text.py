@@ -328,3 +328,21 @@ def test_language_scores_need_little_memory_for_a_batch():
     finally:
         tracemalloc.stop()
     assert peak < 25 << 20
+
+
+def test_workers_hold_little_memory_between_tasks(spark):
+    def held(batches):
+        import re
+
+        for batch in batches:
+            with open("/proc/self/smaps_rollup") as f:
+                own = sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", f.read())))
+            yield pa.RecordBatch.from_arrays([pa.array([own] * batch.num_rows)], ["kb"])
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(400)) for _ in range(3000)]
+    docs = table(spark, [(i, x, "en" if i % 2 else "de") for i, x in enumerate(texts)]).repartition(4).cache()
+    pack(docs, WORD).write.format("noop").mode("overwrite").save()
+    language_id(docs).write.format("noop").mode("overwrite").save()
+    docs.unpersist()
+    assert spark.range(0, 64, 1, 16).mapInArrow(held, "kb long").agg(F.max("kb")).first()[0] < 96 << 10
