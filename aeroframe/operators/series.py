@@ -389,6 +389,10 @@ class Series1D:
         """The first row of each time in the given order, by time."""
         return self._with(first_by_time(self.df, [*self.by, self.ts], order).orderBy(self.ts, *self.by))
 
+    def ordered(self, order: Sequence[str]) -> Series1D:
+        """All rows, by time; those of one time in the given order."""
+        return self._with(self.df.orderBy(self.ts, *self.by, *order))
+
 
 def present(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Rows with all of these. A condition for each column: Catalyst derives 2**n forms of one about n columns when they are renamed."""
@@ -408,8 +412,8 @@ def first_by_time(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
 
 
-def union(parts: Sequence[Series1D], check: Sequence[str] = ("serial_number",), overlapping: bool = False) -> Series1D:
-    """All rows of series whose checked metadata equal the first one's; of rows with one time the earliest part's stays.
+def union(parts: Sequence[Series1D], check: Sequence[str] = ("serial_number",), overlapping: bool = False, keep_all: bool = False) -> Series1D:
+    """All rows of series whose checked metadata equal the first one's; of rows with one time the earliest part's stays, or all (``keep_all``).
 
     Size distributions are brought to the first one's moment and normalisation.
     A bin is told by its edges, so bins of different sizes stay apart, null in
@@ -431,10 +435,13 @@ def union(parts: Sequence[Series1D], check: Sequence[str] = ("serial_number",),
     rows = _stacked([(p.df.withColumn("__file", F.lit(i)).withColumn("__row", F.monotonically_increasing_id()), _renamed(p, bins)) for i, p in enumerate(good)])
     if bins is not None:
         rows = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in bins.columns), *bins.columns)
-    out = first._with(rows).deduplicated(["__file", "__row"])
+    out, order = first._with(rows), ["__file", "__row"]
+    out = out.ordered(order) if keep_all else out.deduplicated(order)
     extra = [p.extra_data.withColumn("__file", F.lit(i)).withColumn("__row", F.monotonically_increasing_id()) for i, p in enumerate(good) if p.extra_data is not None]
-    beside = first_by_time(join(extra), [first.ts], ["__file", "__row"]).drop("__file", "__row") if extra else None
-    return out._with(out.df.drop("__file", "__row"), original_data=out.df.drop("__file", "__row"), extra_data=beside)
+    beside = join(extra) if extra else None
+    if extra and not keep_all:
+        beside = first_by_time(beside, [first.ts], order)
+    return out._with(out.df.drop(*order), original_data=out.df.drop(*order), extra_data=beside and beside.drop(*order))
 
 
 def _as_first(part: Series1D, meta: SeriesMeta) -> Series1D:

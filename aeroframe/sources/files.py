@@ -311,10 +311,12 @@ def _series(rows: DataFrame, one: Layout, extra_data: bool) -> Series1D:
     return made
 
 
-def _finished(series: Series1D) -> Series1D:
+def _finished(series: Series1D, keep_all: bool = False) -> Series1D:
     order = ("file_seq", "row_seq")
     extra = series.extra_data
-    return series._with(series.df.drop(*order), extra_data=extra and first_by_time(extra, [series.ts], order).drop(*order))
+    if extra is not None and not keep_all:
+        extra = first_by_time(extra, [series.ts], order)
+    return series._with(series.df.drop(*order), extra_data=extra and extra.drop(*order))
 
 
 def _sampled(series: Series1D) -> Series1D:
@@ -347,8 +349,8 @@ def load(spark: SparkSession, path: str, dialect: str | Callable[[Head], Layout]
         raise ValueError(f"{path}: {error}") from error
 
 
-def load_folder(spark: SparkSession, folder: str, dialect: str | Callable[[Head], Layout], search_word: str = "", max_subfolder: int = 0, check: Sequence[str] = ("serial_number",), extra_data: bool = False, overlapping: bool = False) -> Series1D:
-    """All exports of a folder as one series by time: rows of the earliest file win where times meet.
+def load_folder(spark: SparkSession, folder: str, dialect: str | Callable[[Head], Layout], search_word: str = "", max_subfolder: int = 0, check: Sequence[str] = ("serial_number",), extra_data: bool = False, overlapping: bool = False, keep_all: bool = False) -> Series1D:
+    """All exports of a folder as one series by time: rows of the earliest file win where times meet, or all stay (``keep_all``).
 
     Files that can't be read are left out, as are those whose checked metadata
     differ from the first one's. Files with one layout are read by one scan;
@@ -377,8 +379,9 @@ def load_folder(spark: SparkSession, folder: str, dialect: str | Callable[[Head]
             if not found:
                 continue
             made = made._with(made.df.join(sums.select("file_seq"), "file_seq", "left_semi").select(*made.df.columns))
-        parts.append(_finished(made.deduplicated(["file_seq", "row_seq"])))
+        order = ["file_seq", "row_seq"]
+        parts.append(_finished(made.ordered(order) if keep_all else made.deduplicated(order), keep_all))
     if not parts:
         raise ValueError(f"no file of {name} in {folder}")
-    whole = parts[0] if len(parts) == 1 else union(parts, check=(), overlapping=overlapping)
+    whole = parts[0] if len(parts) == 1 else union(parts, check=(), overlapping=overlapping, keep_all=keep_all)
     return whole._with(whole.df, meta=replace(whole.meta, extra={**whole.meta.extra, "tem_samples": samples})) if samples else whole

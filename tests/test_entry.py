@@ -53,6 +53,16 @@ def test_a_file_for_each_day_whatever_the_partitions(spark, db, name):
     assert shown(got) == shown(db.execute(contract.oracle_sql()[name]).fetchdf())
 
 
+@pytest.mark.parametrize("name", ["load_cpc_focused"])
+def test_days_whose_places_reach_into_the_next_keep_all_rows(spark, tmp_path, name):
+    made = duckdb.connect()
+    made.execute("create table events as select i as event_id, timestamp '2024-01-01' + to_seconds(i // 2) + case when i < 87000 then interval 0 day else interval 1 day end as ts, i % 5 as user_id, 'view' as event_type, (i % 700) / 4 as value, '{}' as props from range(87100) t(i)")
+    made.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = contract.queries()[name](spark, f"file://{tmp_path}").toPandas()
+    assert len(got) == 87100 and got.ts.duplicated().any()
+    assert shown(got) == shown(made.execute(contract.oracle_sql()[name]).fetchdf())
+
+
 def test_union_of_other_bins_is_planned_soon(spark):
     made = contract.queries()["folder_union_other_bins"](spark, DATA)
     began = time.time()

@@ -142,6 +142,18 @@ def test_folder(spark, tmp_path, write):  # T12, T13, J4
         list_files(spark, f"file://{tmp_path}/none")
 
 
+def test_folder_can_keep_all_rows_of_one_time(spark, tmp_path, write):
+    write(exports.ops_direct("10:00:00"), "a.csv")
+    write(exports.ops_direct("10:02:00"), "b.csv")
+    write(exports.ops_direct("10:03:00"), "c.csv", encoding="utf-16")  # read by a scan of its own
+    s = load_folder(spark, f"file://{tmp_path}", "ops", extra_data=True, keep_all=True)
+    rows = s.df.collect()
+    assert [r.ts for r in rows] == sorted(r.ts for r in rows)
+    assert [round(r.bin_000 * 16.67 * 58) for r in rows if r.ts.minute == 4] == [104, 102, 101]  # by files
+    assert s.df.count() == s.extra_data.count() == s.original_data.count() == 15
+    assert load_folder(spark, f"file://{tmp_path}", "ops", extra_data=True).extra_data.count() == 8
+
+
 def test_folder_is_in_order_of_time(spark, tmp_path, write):
     write(exports.ops_direct("12:00:00"), "a 100%.csv")
     write(exports.ops_direct("10:00:00"), "b.csv", encoding="utf-16")
